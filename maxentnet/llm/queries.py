@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maxentnet.llm import licenses, media, mixing, packing, warc
+from maxentnet.llm import fingerprints, licenses, media, mixing, packing, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.against_next(_table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
@@ -39,8 +43,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_media, op5_mixing, op7_warc, op8_packing)}
+    return {f.__name__: f for f in (op1_licenses, op2_media, op4_fingerprints, op5_mixing, op7_warc, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
