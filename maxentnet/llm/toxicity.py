@@ -14,9 +14,10 @@ from maxentnet.llm._text import U64, blocks, joined, prefix_hash, span_hash
 #: Labelled rows that are learned from at most, toxic and ordinary: those whose hashes are least.
 MOST_TOXIC, MOST_ORDINARY = 3000, 5000
 ORDER = 6
-#: Orders up to this one use the counts of both classes together.
-SHARED = 3
 DISCOUNT = 0.75
+#: Of a class's own counts; n-grams that so few of its documents have tell nothing of it.
+CLASS_DISCOUNT = 4.0
+FEATURES = 6
 THRESHOLD = 0.7
 #: Where a word begins and ends.
 BEGIN, END = 1, 2
@@ -56,9 +57,11 @@ def grams(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 class Model:
     """Log-likelihoods of words under both classes.
 
-    Order n's probability is the discounted share of the n-gram among those with its history, and the freed share goes to order
-    n-1. The highest order, and n-grams at a word's begin, count occurrences; the others count the different letters before them.
-    Orders up to SHARED pool both classes, so that an expression rare in a class is smoothed by what both know.
+    A shared Kneser-Ney model pools the classes: order n's probability is the discounted share of the n-gram among those with its
+    history, and the freed share goes to order n-1; the highest order, and n-grams at a word's begin, count occurrences, the others
+    count the different letters before them. Each class discounts its own counts of n-grams with the longest history there is and
+    gives the freed share to the shared model: what is rare in a class is smoothed by what both know, and words new to both differ
+    little.
     """
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
@@ -66,55 +69,55 @@ class Model:
         by_order, weight = grams(data, at), np.repeat(counts, np.diff(at), axis=0).astype(np.float64)
         keys, values = [], []
         for n in range(ORDER, 0, -1):
-            gram = by_order[n - 1]
-            used = gram > 0
-            if n > 1:
-                used[at[:-1]] = False  # the begin mark follows nothing
-            key, inverse = np.unique(gram[used], return_inverse=True)
+            used = by_order[n - 1] > 0
+            used[at[:-1]] = False  # the begin mark follows nothing
+            key, inverse = np.unique(by_order[n - 1][used], return_inverse=True)
             seen = np.stack([np.bincount(inverse, weight[used][:, c], len(key)) for c in (0, 1)], 1)
+            pooled = seen.sum(1)
             if n < ORDER:
-                longer = keys[-1][(keys[-1] >> U64(56)) == U64(n + 1)]
-                follow = np.searchsorted(key, (longer & U64((1 << (8 * n)) - 1)) | (U64(n) << U64(56)))
-                kinds = np.stack([np.bincount(follow, raw[:, c] > 0, len(key)) for c in (0, 1)], 1)
-                begins = ((key >> U64(8 * (n - 1))) & U64(255)) == BEGIN
-                count = np.where(begins[:, None], seen, np.maximum(kinds, 0))
-            else:
-                count = seen
-            raw = seen
-            if n <= SHARED:
-                count = np.repeat(count.sum(1, keepdims=True), 2, 1)
+                kinds = np.zeros(len(key))
+                np.add.at(kinds, np.searchsorted(key, (keys[-1] & U64((1 << (8 * n)) - 1)) | (U64(n) << U64(56))), 1)
+                top = ((key >> U64(8 * (n - 1))) & U64(255)) == BEGIN
+                pooled, seen = np.where(top, pooled, kinds), seen * top[:, None]
             keys.append(key)
-            values.append(count)
+            values.append(np.column_stack((seen, pooled)))
         self.key = np.concatenate(keys[::-1])
         self.count = np.concatenate(values[::-1]).astype(np.float32)
         # of histories: sum and number of what follows
-        order = (self.key >> U64(56)).astype(np.int64)
-        history = np.where(order > 1, ((self.key & U64((1 << 56) - 1)) >> U64(8)) | ((order - 1).astype(U64) << U64(56)), U64(0))
-        self.history, inverse = np.unique(history, return_inverse=True)
-        self.total = np.stack([np.bincount(inverse, self.count[:, c], len(self.history)) for c in (0, 1)], 1).astype(np.float32)
-        self.kinds = np.stack([np.bincount(inverse, self.count[:, c] > 0, len(self.history)) for c in (0, 1)], 1).astype(np.float32)
+        self.history, inverse = np.unique(_history(self.key), return_inverse=True)
+        self.total = np.stack([np.bincount(inverse, self.count[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
+        left = np.column_stack((np.maximum(self.count[:, :2] - CLASS_DISCOUNT, 0), np.maximum(self.count[:, 2] - DISCOUNT, 0)))
+        self.freed = self.total - np.stack([np.bincount(inverse, left[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihoods (ordinary, toxic) of each word."""
         data, at = spelled(words)
-        chance = np.full((len(data), 2), 1 / 256)
-        for gram in grams(data, at):
-            used = gram > 0
-            used[at[:-1]] = False
+        shared, chance = np.full(len(data), 1 / 256), np.ones((len(data), 2))
+        place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
+        for n, gram in enumerate(grams(data, at), 1):
+            used = np.flatnonzero((gram > 0) & (place > 0))
             g = gram[used]
-            order = g >> U64(56)
-            h = np.where(order > U64(1), ((g & U64((1 << 56) - 1)) >> U64(8)) | ((order - U64(1)) << U64(56)), U64(0))
             i, found = _find(self.key, g)
-            j, known = _find(self.history, h)
+            j, known = _find(self.history, _history(g))
             count = np.where(found[:, None], self.count[i], 0)
-            total = np.where(known[:, None], self.total[j], 0)
-            lower = chance[used]
-            part = (np.maximum(count - DISCOUNT, 0) + DISCOUNT * self.kinds[j] * lower) / np.maximum(total, 1e-9)
-            chance[used] = np.where(total > 0, part, lower)
-        chance[at[:-1]] = 1.0
+            total, freed = np.where(known[:, None], self.total[j], 0), self.freed[j]
+            part = _discounted(count[:, 2] - DISCOUNT, total[:, 2], freed[:, 2], shared[used])
+            shared[used] = part
+            top = (place[used] == n - 1) | (n == ORDER)
+            for c in (0, 1):
+                chance[used[top], c] = _discounted(count[top, c] - CLASS_DISCOUNT, total[top, c], freed[top, c], part[top])
         return np.add.reduceat(np.log(chance), at[:-1], axis=0) if len(words) else np.zeros((0, 2))
 
 
+def _history(gram: np.ndarray) -> np.ndarray:
+    order = gram >> U64(56)
+    return np.where(order > U64(1), ((gram & U64((1 << 56) - 1)) >> U64(8)) | ((order - U64(1)) << U64(56)), U64(0))
+
+
+def _discounted(count: np.ndarray, total: np.ndarray, freed: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    return np.where(total > 0, (np.maximum(count, 0) + freed * lower) / np.maximum(total, 1e-9), lower)
+
+
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     i = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return i, keys[i] == wanted
@@ -129,12 +132,12 @@ class Reader:
         self.ratio = np.zeros(0)
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Per text: 1, length-normalised difference of the log-likelihoods, the largest and the mean of the three largest differences of a word, log of the number of words."""
+        """Per text: 1, length-normalised difference of the log-likelihoods, the three largest differences of a word (0 where there are fewer words), log of the number of words."""
         out = []
         for a, b in blocks(texts, _BLOCK):
             data, start, end, first = word_table(texts[a:b])
             if not len(start):
-                out.append(np.zeros((b - a, 5)) + [1, 0, 0, 0, 0])
+                out.append(np.zeros((b - a, FEATURES)) + np.eye(FEATURES)[0])
                 continue
             hashes, at, inverse = np.unique(span_hash(prefix_hash(data), start, end), return_index=True, return_inverse=True)
             i = np.minimum(np.searchsorted(self.seen, hashes), max(len(self.seen) - 1, 0))
@@ -150,22 +153,27 @@ class Reader:
                 self.seen, self.ratio = self.seen[order], self.ratio[order]
                 i = np.searchsorted(self.seen, hashes)
             ratio = self.ratio[i][inverse]
-            rows = np.zeros((b - a, 5))
+            rows = np.zeros((b - a, FEATURES))
             rows[:, 0] = 1
             for k in range(b - a):
                 own = ratio[first[k] : first[k + 1]]
                 if len(own):
-                    top = np.partition(own, max(0, len(own) - 3))[-3:]
-                    rows[k, 1:] = own.mean(), top.max(), top.sum() / 3, np.log(len(own))
+                    top = np.zeros(3)
+                    top[: len(own)] = np.sort(np.partition(own, max(0, len(own) - 3))[-3:])[::-1]
+                    rows[k, 1:] = own.mean(), *top, np.log(len(own))
             out.append(rows)
-        return np.concatenate(out) if out else np.zeros((0, 5))
+        return np.concatenate(out) if out else np.zeros((0, FEATURES))
 
 
 def lowered(column: pa.Array) -> list[bytes]:
     return [(x or "").lower().encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
+    """Weights of the features, the first of which is 1. The penalty is on features in units of their spread."""
+    spread = np.maximum(x.std(0), 1e-9)
+    spread[0] = 1
+    x = x / spread
     w = np.zeros(x.shape[1])
     penalty = np.full(x.shape[1], ridge)
     penalty[0] = 1e-3
@@ -175,7 +183,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
         w += step
         if np.abs(step).max() < 1e-8:
             break
-    return w
+    return w / spread
 
 
 def held_out(key: str):
@@ -205,8 +213,8 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for x, y, f in zip(texts, batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, start, end, _ = word_table([x])
                 raw = data.tobytes()
-                for a, b in zip(start.tolist(), end.tolist(), strict=True):
-                    k = (raw[a:b], 2 * f + y)
+                for w in {raw[a:b] for a, b in zip(start.tolist(), end.tolist(), strict=True)}:
+                    k = (w, 2 * f + y)
                     found[k] = found.get(k, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "c", "n"])
 
@@ -230,15 +238,15 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
             for batch in batches:
                 folds = batch.column(2).to_numpy()
                 texts = lowered(batch.column(0))
-                rows = np.zeros((len(texts), 5))
+                rows = np.zeros((len(texts), FEATURES))
                 for f in (0, 1):
                     mine = np.flatnonzero(folds == f)
                     if len(mine):
                         rows[mine] = readers[f].features([texts[i] for i in mine])
-                yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(rows[:, i]) for i in range(5))], names=["y", *(f"f{i}" for i in range(5))])
+                yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(rows[:, i]) for i in range(FEATURES))], names=["y", *(f"f{i}" for i in range(FEATURES))])
 
-        fitted = learn.mapInArrow(featured, "y int, " + ", ".join(f"f{i} double" for i in range(5))).toArrow()
-        weights = logistic(np.stack([fitted.column(f"f{i}").to_numpy() for i in range(5)], 1), fitted.column("y").to_numpy())
+        fitted = learn.mapInArrow(featured, "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+        weights = logistic(np.stack([fitted.column(f"f{i}").to_numpy() for i in range(FEATURES)], 1), fitted.column("y").to_numpy())
         both.destroy()
         shared = spark.sparkContext.broadcast(whole)
 
