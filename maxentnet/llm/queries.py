@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maxentnet.llm import fingerprints, licenses, media, mixing, packing, toxicity, warc
+from maxentnet.llm import fingerprints, licenses, media, mixing, ngram_join, packing, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -27,6 +27,10 @@ def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_media, op4_fingerprints, op5_mixing, op7_warc, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_media, op3_ngram_join, op4_fingerprints, op5_mixing, op7_warc, op8_packing, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
