@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from maxentnet.llm._text import U64, blocks, joined, prefix_hash, span_hash
 
 #: Labelled rows that are learned from at most, toxic and ordinary: those whose hashes are least.
-MOST_TOXIC, MOST_ORDINARY = 3000, 5000
+MOST_TOXIC, MOST_ORDINARY = 2000, 3000
 ORDER = 6
 DISCOUNT = 0.75
 #: Of a class's own counts; n-grams that so few of its documents have tell nothing of it.
@@ -23,7 +23,7 @@ THRESHOLD = 0.7
 BEGIN, END = 1, 2
 #: ASCII characters outside words are spaces.
 _WORDS = np.array([c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256)], np.uint8)
-_BLOCK = 1 << 22
+_BLOCK = 1 << 21
 
 
 def word_table(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -42,16 +42,14 @@ def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return data, at
 
 
-def grams(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+def grams(data: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
     """For each order n the n-gram that ends at each place, as a number with its order in the top byte; 0 where a word is too short for it."""
     place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
-    out, key = [], data.astype(U64)
+    key = data.astype(U64)
     for n in range(1, ORDER + 1):
         if n > 1:
-            key = key.copy()
             key[n - 1 :] |= data[: len(data) - n + 1].astype(U64) << U64(8 * (n - 1))
-        out.append(np.where(place >= n - 1, key | (U64(n) << U64(56)), U64(0)))
-    return out
+        yield np.where(place >= n - 1, key | (U64(n) << U64(56)), U64(0))
 
 
 class Model:
@@ -66,23 +64,24 @@ class Model:
 
     def __init__(self, words: list[bytes], counts: np.ndarray):
         data, at = spelled(words)
-        by_order, weight = grams(data, at), np.repeat(counts, np.diff(at), axis=0).astype(np.float64)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(at))
         keys, values = [], []
-        for n in range(ORDER, 0, -1):
-            used = by_order[n - 1] > 0
-            used[at[:-1]] = False  # the begin mark follows nothing
-            key, inverse = np.unique(by_order[n - 1][used], return_inverse=True)
-            seen = np.stack([np.bincount(inverse, weight[used][:, c], len(key)) for c in (0, 1)], 1)
+        for gram in grams(data, at):
+            used = np.flatnonzero(gram)
+            used = used[data[used] != BEGIN]  # the begin mark follows nothing
+            key, inverse = np.unique(gram[used], return_inverse=True)
+            keys.append(key)
+            values.append(np.stack([np.bincount(inverse, counts[owner[used], c], len(key)) for c in (0, 1)], 1).astype(np.float32))
+        for n in range(1, ORDER + 1):
+            key, seen = keys[n - 1], values[n - 1]
             pooled = seen.sum(1)
             if n < ORDER:
-                kinds = np.zeros(len(key))
-                np.add.at(kinds, np.searchsorted(key, (keys[-1] & U64((1 << (8 * n)) - 1)) | (U64(n) << U64(56))), 1)
+                shorter = np.searchsorted(key, (keys[n] & U64((1 << (8 * n)) - 1)) | (U64(n) << U64(56)))
                 top = ((key >> U64(8 * (n - 1))) & U64(255)) == BEGIN
-                pooled, seen = np.where(top, pooled, kinds), seen * top[:, None]
-            keys.append(key)
-            values.append(np.column_stack((seen, pooled)))
-        self.key = np.concatenate(keys[::-1])
-        self.count = np.concatenate(values[::-1]).astype(np.float32)
+                pooled, seen = np.where(top, pooled, np.bincount(shorter, minlength=len(key))), seen * top[:, None]
+            values[n - 1] = np.column_stack((seen, pooled)).astype(np.float32)
+        self.key = np.concatenate(keys)
+        self.count = np.concatenate(values)
         # of histories: sum and number of what follows
         self.history, inverse = np.unique(_history(self.key), return_inverse=True)
         self.total = np.stack([np.bincount(inverse, self.count[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
@@ -91,6 +90,8 @@ class Model:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         """Log-likelihoods (ordinary, toxic) of each word."""
+        if len(words) > 1 << 14:
+            return np.concatenate([self(words[i : i + (1 << 14)]) for i in range(0, len(words), 1 << 14)])
         data, at = spelled(words)
         shared, chance = np.full(len(data), 1 / 256), np.ones((len(data), 2))
         place = np.arange(len(data)) - np.repeat(at[:-1], np.diff(at))
@@ -145,7 +146,7 @@ class Reader:
             if new.any():
                 raw = data.tobytes()
                 score = self.model([raw[start[k] : end[k]] for k in at[new]])
-                if len(self.seen) > 1_000_000:  # bounded; what is dropped is scored again when met
+                if len(self.seen) > 500_000:  # bounded; what is dropped is scored again when met
                     self.seen, self.ratio = hashes[~new], self.ratio[i[~new]]
                 self.seen = np.concatenate((self.seen, hashes[new]))
                 self.ratio = np.concatenate((self.ratio, score[:, 1] - score[:, 0]))
