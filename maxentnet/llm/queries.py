@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maxentnet.llm import fingerprints, licenses, media, mixing, ngram_join, packing, toxicity, warc
+from maxentnet.llm import fingerprints, licenses, media, mixing, ngram_join, packing, suffix_dedup, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -51,8 +51,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_media, op3_ngram_join, op4_fingerprints, op5_mixing, op7_warc, op8_packing, op9_toxicity)}
+    return {f.__name__: f for f in (op1_licenses, op2_media, op3_ngram_join, op4_fingerprints, op5_mixing, op7_warc, op8_packing, op9_toxicity, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
