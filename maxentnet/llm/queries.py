@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maxentnet.llm import fingerprints, licenses, media, mixing, ngram_join, packing, suffix_dedup, toxicity, warc
+from maxentnet.llm import fingerprints, licenses, lm, media, mixing, ngram_join, packing, suffix_dedup, toxicity, warc
 
 
 def tokenizer_path() -> str:
@@ -39,6 +39,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -56,7 +60,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_licenses, op2_media, op3_ngram_join, op4_fingerprints, op5_mixing, op7_warc, op8_packing, op9_toxicity, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_licenses, op2_media, op3_ngram_join, op4_fingerprints, op5_mixing, op6_lm, op7_warc, op8_packing, op9_toxicity, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
