@@ -373,7 +373,7 @@ def _kept(columns: list[tuple[str, pa.DataType]], text_out: bool):
             removed.append(len(text) - len(rest))
             runs.append(len(gone))
             if text_out:
-                left.append(rest.decode("utf-8", "replace"))
+                left.append(rest.decode("utf-8", "ignore"))
             else:
                 digest.append(hashlib.sha256(rest).hexdigest())
         last = [pa.array(left, pa.string())] if text_out else [pa.array(digest, pa.string())]
@@ -397,7 +397,7 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """key, the columns in ``keep``, n_bytes, n_removed, n_spans, and kept_sha256 or (``text_out``) kept_text for every row.
 
     Each byte goes that lies in a string of WIDTH bytes which also begins in a document with a smaller whole-number key; strings are
-    those of the input, and none crosses documents. Bytes are those of UTF-8; kept_text shows a cut character as U+FFFD. A null
+    those of the input, and none crosses documents. Bytes are those of UTF-8; kept_text leaves out a character that is cut. A null
     text is an empty one. A null key is neither smaller nor larger: such a row loses nothing and nothing is lost to it. Rows of one
     key don't take from each other; repeated rows get equal results. An empty table gives none; other columns are ignored.
 

@@ -191,8 +191,8 @@ def held_out(key: str):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
-def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """key, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD) for every row of ``df``; only texts enter a score.
+def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", keep: tuple[str, ...] = ()) -> DataFrame:
+    """key, held_out, score (0 to 1), predicted (1 if score >= THRESHOLD), and the columns in ``keep``, for every row of ``df``; only texts enter a score.
 
     Learns from labelled rows that are not held out, MOST_TOXIC and MOST_ORDINARY of them at most. Words are compared letter by
     letter under both models; a logistic function of the features, fitted on halves that the models of the other halves score, turns
@@ -260,7 +260,8 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     values = np.full(part.num_rows, alone)
                 else:
                     values = 1 / (1 + np.exp(-np.clip(reader.features(lowered(part.column(1))) @ weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32))], names=[key, "held_out", "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32)), *part.columns[3:]], names=[key, "held_out", "score", "predicted", *keep])
 
-    source = df.select(key, text, held_out(key).alias("held"))
-    return source.mapInArrow(scored, f"`{key}` {source.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    source = df.select(key, F.col(text).alias("_text"), held_out(key).alias("_held"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
+    return source.mapInArrow(scored, f"`{key}` {source.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int{kept}")
