@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,9 @@ _SPAN = WIDTH - ANCHOR + 1
 _SIDE = _SPAN // 2
 #: Bytes of strings that one suffix array covers, about.
 _REQUEST = 2 << 20
-_SLICE = 4 << 20
+#: Bytes of text that are hashed at once, and anchors that are packed together, about.
+_SLICE = 1 << 20
+_PACKED = 1 << 18
 _LOW48 = U64((1 << 48) - 1)
 
 
@@ -102,22 +105,31 @@ def _anchors(bins: int):
     """Texts -> for each bin the anchors of a slice, packed: anchor and context (6 bytes each), document (8)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids, texts = batch.column(0).fill_null(0).to_numpy(), encoded(batch.column(1))
             texts = [x if k else b"" for x, k in zip(texts, known, strict=True)]
             for a, b in blocks(texts, _SLICE):
                 runs = Runs(texts[a:b])
-                if not len(runs.first):
-                    continue
-                anchor, context, document = runs.anchor, runs.context(), ids[a:b][runs.owner]
-                order, edges = _split((anchor % U64(bins)).astype(np.int64), bins)
-                anchor, context, document = anchor[order], context[order], document[order]
-                full = np.flatnonzero(np.diff(edges)).tolist()
-                for at in range(0, len(full), 256):
-                    some = full[at : at + 256]
-                    data = [_six(anchor[edges[k] : edges[k + 1]]) + _six(context[edges[k] : edges[k + 1]]) + document[edges[k] : edges[k + 1]].astype("<i8").tobytes() for k in some]
-                    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["bin", "data"])
+                held.append((runs.anchor, runs.context(), ids[a:b][runs.owner]))
+                size += len(runs.anchor)
+                if size > _PACKED:
+                    yield from packed(held)
+                    held, size = [], 0
+        if size:
+            yield from packed(held)
+
+    def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        anchor, context, document = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order, edges = _split((anchor % U64(bins)).astype(np.int64), bins)
+        anchor, context, document = anchor[order], context[order], document[order]
+        full = np.flatnonzero(np.diff(edges)).tolist()
+        for at in range(0, len(full), 256):
+            some = full[at : at + 256]
+            data = [_six(anchor[edges[k] : edges[k + 1]]) + _six(context[edges[k] : edges[k + 1]]) + document[edges[k] : edges[k + 1]].astype("<i8").tobytes() for k in some]
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["bin", "data"])
 
     return run
 
@@ -178,6 +190,7 @@ def _sent(bins: int):
     """A room's texts and what was met -> kind 0: spans to remove, for the room; kind 1: strings to compare, for a bin."""
 
     def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        pack = zstandard.ZstdCompressor(level=1).compress
         empty = _SENT.empty_table()
         if not texts.num_rows or not found.num_rows:
             return empty
@@ -195,6 +208,7 @@ def _sent(bins: int):
         once = sorted(once)
         keys, number, data = keys[once], number[once], [data[i] for i in once]
         rows: list[tuple] = []
+        held: list[tuple] = []
         for a, b in blocks(data, _SLICE):
             runs = Runs(data[a:b])
             if not len(runs.first):
@@ -216,14 +230,16 @@ def _sent(bins: int):
             end = np.concatenate((np.minimum(last, place - _SIDE)[left], last[right])) + WIDTH
             key = np.concatenate((span_hash(runs.prefix, (place - _SIDE)[left], (place + ANCHOR)[left]), span_hash(runs.prefix, place[right], (place + ANCHOR + _SIDE)[right]) ^ U64(1)))
             document, base, own = (np.concatenate((x[left], x[right])) for x in (document, base, own))
-            order, edges = _split((key % U64(bins)).astype(np.int64), bins)
-            begin, end, key, document, base, own = (x[order] for x in (begin, end, key, document, base, own))
             raw = runs.data.tobytes()
+            held.append((key, document.astype("<i8"), (begin - base).astype("<i8"), (end - begin).astype("<i4"), own.astype("<i4"), [raw[x:y] for x, y in zip(begin.tolist(), end.tolist(), strict=True)]))
+        if held:
+            columns = [np.concatenate([h[i] for h in held]) for i in range(5)]
+            strings = [x for h in held for x in h[5]]
+            order, edges = _split((columns[0] % U64(bins)).astype(np.int64), bins)
+            columns = [c[order] for c in columns]
             for k in np.flatnonzero(np.diff(edges)).tolist():
-                s = slice(edges[k], edges[k + 1])
-                strings = b"".join([raw[x:y] for x, y in zip(begin[s].tolist(), end[s].tolist(), strict=True)])
-                head = np.array([edges[k + 1] - edges[k]], "<i8").tobytes()
-                rows.append((k, 1, head + key[s].astype("<u8").tobytes() + document[s].astype("<i8").tobytes() + (begin - base)[s].astype("<i8").tobytes() + (end - begin)[s].astype("<i4").tobytes() + own[s].astype("<i4").tobytes() + strings))
+                x, y = edges[k], edges[k + 1]
+                rows.append((k, 1, pack(b"".join([np.array([y - x], "<i8").tobytes(), *(c[x:y].tobytes() for c in columns), *(strings[i] for i in order[x:y].tolist())]))))
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind.type) for i, kind in enumerate(_SENT)], schema=_SENT) if rows else empty
 
     return run
@@ -247,7 +263,7 @@ def _requests(rooms: int):
             for row in batch:
                 if row["kind"] == 0:
                     yield out([(row["bin"], row["data"], None)])
-            parts = [r["data"] for r in batch if r["kind"] == 1]
+            parts = [zstandard.ZstdDecompressor().decompress(r["data"]) for r in batch if r["kind"] == 1]
             if not parts:
                 continue
             columns: list[list] = [[] for _ in range(5)]
@@ -407,8 +423,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
     """
     spark = df.sparkSession
     suffix_array.registered(spark)
-    bins = 2 * _work.parts(spark)
-    rooms = 4 * _work.parts(spark)
+    bins = _work.parts(spark)
+    rooms = _work.parts(spark)
     whole = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *keep)
     room = F.coalesce(F.pmod(F.col("key"), F.lit(rooms)), F.lit(0)).cast("long")
     texts = whole.withColumn("room", room).repartition(_work.parts(spark), "room")

@@ -14,6 +14,8 @@ from maxentnet.llm._text import U64, blocks, joined, prefix_hash, span_hash
 #: Labelled rows that are learned from at most, toxic and ordinary: those whose hashes are least.
 MOST_TOXIC, MOST_ORDINARY = 2000, 3000
 ORDER = 6
+#: From this order on n-grams that occur once are dropped.
+LONG = 5
 DISCOUNT = 0.75
 #: Of a class's own counts; n-grams that so few of its documents have tell nothing of it.
 CLASS_DISCOUNT = 4.0
@@ -82,9 +84,14 @@ class Model:
             values[n - 1] = np.column_stack((seen, pooled)).astype(np.float32)
         self.key = np.concatenate(keys)
         self.count = np.concatenate(values)
-        # of histories: sum and number of what follows
+        # of histories: the sum of what follows. Long n-grams that occur once leave their share to the shorter ones, which keeps the
+        # model small; a history of such alone tells nothing
         self.history, inverse = np.unique(_history(self.key), return_inverse=True)
         self.total = np.stack([np.bincount(inverse, self.count[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
+        stays = (self.key >> U64(56) < U64(LONG)) | (self.count[:, 2] > 1)
+        self.key, self.count, inverse = self.key[stays], self.count[stays], inverse[stays]
+        used, inverse = np.unique(inverse, return_inverse=True)
+        self.history, self.total = self.history[used], self.total[used]
         left = np.column_stack((np.maximum(self.count[:, :2] - CLASS_DISCOUNT, 0), np.maximum(self.count[:, 2] - DISCOUNT, 0)))
         self.freed = self.total - np.stack([np.bincount(inverse, left[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
 
@@ -254,14 +261,16 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value) if weights is not None else None
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 if reader is None:
                     values = np.full(part.num_rows, alone)
                 else:
                     values = 1 / (1 + np.exp(-np.clip(reader.features(lowered(part.column(1))) @ weights, -30, 30)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32)), *part.columns[3:]], names=[key, "held_out", "score", "predicted", *keep])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(values), pa.array((values >= THRESHOLD).astype(np.int32)), *(part.column(i) for i in places)], names=[key, "held_out", "score", "predicted", *keep])
 
-    source = df.select(key, F.col(text).alias("_text"), held_out(key).alias("_held"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
+    others = [c for c in keep if c != text]  # the text travels once
+    places = [1 if c == text else 3 + others.index(c) for c in keep]
+    source = df.select(key, F.col(text).alias("_text"), held_out(key).alias("_held"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(others)))
     kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
     return source.mapInArrow(scored, f"`{key}` {source.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int{kept}")
