@@ -69,7 +69,14 @@ def encoded(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def blocks(texts: list[bytes], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def portions(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in smaller pieces, so that no more texts than these stand in memory as Python's bytes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def blocks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together, one text at least."""
     begin = size = 0
     for i, x in enumerate(texts):

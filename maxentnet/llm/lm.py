@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, blocks, encoded, mix, words
+from maxentnet.llm._text import U64, blocks, encoded, portions, words
 
 #: A word is a symbol of its own if its share of the training tokens is at least this: at most 1/SYMBOL of them. Others are one symbol,
 #: and told apart by their counts.
@@ -24,7 +24,7 @@ ENTRY = 1e-6
 DIVERGENCE = 0.002
 DISCOUNT = 0.75
 RARE, END, BEGIN, FIRST = 0, 1, 2, 3
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
 def held_out(key: str):
@@ -82,7 +82,7 @@ def _word_counts(bins: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, count, fresh = np.zeros(0, U64), np.zeros(0, np.int64), []
-        for batch in batches:
+        for batch in portions(batches):
             texts = encoded(batch.column(0))
             for a, b in blocks(texts, _SLICE):
                 fresh.append(np.unique(words(texts[a:b])[0], return_counts=True))
@@ -145,7 +145,7 @@ def _contexts(symbols, bins: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: Symbols = symbols.value
-        for batch in batches:
+        for batch in portions(batches):
             texts = encoded(batch.column(0))
             for a, b in blocks(texts, _SLICE):
                 hashes, first = words(texts[a:b])
@@ -244,7 +244,7 @@ def _scored(tree, bins: int):
         symbols, model = tree.value
         task, number = TaskContext.get().partitionId(), 0
         logs = np.log10(symbols.counts + 1)
-        for batch in batches:
+        for batch in portions(batches):
             texts = encoded(batch.column(2))
             for a, b in blocks(texts, _SLICE):
                 b_end = b

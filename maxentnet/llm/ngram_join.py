@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, encoded, mix, shingle_sets
+from maxentnet.llm._text import U64, encoded, mix, portions, shingle_sets
 from maxentnet.llm.components import Forest, components
 
 WORDS = 5
@@ -32,13 +32,13 @@ def needed(size: int | np.ndarray) -> int | np.ndarray:
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Keys and shingle sets of some thousand rows."""
     keys, sets, size = [], [], 0
-    for batch in batches:
+    for batch in portions(batches):
         texts = encoded(batch.column(1))
         for key, own in zip(batch.column(0).to_pylist(), shingle_sets(texts, WORDS), strict=True):
             keys.append(key)
             sets.append(own)
             size += len(own)
-            if size > 1 << 20 or len(keys) >= _SLICE:
+            if size > 1 << 19 or len(keys) >= _SLICE:
                 yield keys, sets
                 keys, sets, size = [], [], 0
     if keys:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work, suffix_array
-from maxentnet.llm._text import U64, blocks, encoded, joined, prefix_hash, span_hash
+from maxentnet.llm._text import U64, blocks, encoded, joined, portions, prefix_hash, span_hash
 
 #: Bytes of a string that counts as a repeat.
 WIDTH = 50
@@ -107,7 +107,7 @@ def _anchors(bins: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
-        for batch in batches:
+        for batch in portions(batches):
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             ids, texts = batch.column(0).fill_null(0).to_numpy(), encoded(batch.column(1))
             texts = [x if k else b"" for x, k in zip(texts, known, strict=True)]
