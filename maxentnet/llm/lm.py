@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, blocks, encoded, portions, words
+from maxentnet.llm._text import U64, blocks, encoded, portions, tidy, words
 
 #: A word is a symbol of its own if its share of the training tokens is at least this: at most 1/SYMBOL of them. Others are one symbol,
 #: and told apart by their counts.
@@ -313,7 +313,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     rows = df.select(F.col(key).alias("key"), held_out(key).alias("held_out"), F.col(text).alias("text"))
     train = rows.filter(~F.col("held_out")).select("text")
     ends = df.filter(~held_out(key)).count()
-    vocabulary = _work.by_bin(train.mapInArrow(_word_counts(bins), "bin int, data binary"), "bin").mapInArrow(_vocabulary, "bin int, data binary, words long, tokens long")
+    vocabulary = _work.by_bin(train.mapInArrow(tidy(_word_counts(bins)), "bin int, data binary"), "bin").mapInArrow(tidy(_vocabulary), "bin int, data binary, words long, tokens long")
     vocabulary = _work.written(vocabulary, "vocabulary")
     totals = vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     tokens, kinds = totals["tokens"] + ends, totals["words"] + (ends > 0)
@@ -326,15 +326,15 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
                 on = count >= least
                 yield pa.RecordBatch.from_arrays([pa.array(word[on].view(np.int64)), pa.array(count[on])], names=["word", "count"])
 
-    top = vocabulary.select("data").mapInArrow(frequent, "word long, count long").toArrow()  # at most 1/SYMBOL rows
+    top = vocabulary.select("data").mapInArrow(tidy(frequent), "word long, count long").toArrow()  # at most 1/SYMBOL rows
     symbols = Symbols(top.column("word").to_numpy().view(U64), top.column("count").to_numpy(), tokens, ends)
     shared = spark.sparkContext.broadcast(symbols)
-    counts = _work.by_bin(train.mapInArrow(_contexts(shared, bins), "bin int, data binary"), "bin")
-    found = _work.written(counts.mapInArrow(_tree(shared, bins), "kind int, key long, value double"), "tree").toArrow()  # at most 2 * (1/CONTEXT + 1/ENTRY) rows
+    counts = _work.by_bin(train.mapInArrow(tidy(_contexts(shared, bins)), "bin int, data binary"), "bin")
+    found = _work.written(counts.mapInArrow(tidy(_tree(shared, bins)), "kind int, key long, value double"), "tree").toArrow()  # at most 2 * (1/CONTEXT + 1/ENTRY) rows
     tree = spark.sparkContext.broadcast((symbols, Tree(symbols, *(found.column(c).to_numpy() for c in ("kind", "key", "value")))))
     known = vocabulary.select("bin", F.lit(-1).cast("long").alias("slice"), F.lit(-1).alias("kind"), "data")
-    sent = rows.mapInArrow(_scored(tree, bins), "bin int, slice long, kind int, data binary").unionByName(known)
-    back = _work.by_bin(sent, "bin", "kind").mapInArrow(_looked_up, "bin int, slice long, kind int, data binary")
+    sent = rows.mapInArrow(tidy(_scored(tree, bins)), "bin int, slice long, kind int, data binary").unionByName(known)
+    back = _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_looked_up), "bin int, slice long, kind int, data binary")
     rare_tokens, rare_words = symbols.counts[RARE], kinds - len(symbols.key) - (ends > 0)
     rare_all, all_ = np.log10(rare_tokens + rare_words + 1), np.log10(tokens + kinds + 1)
     kind_of_key = df.schema[key].dataType.simpleString()
@@ -347,4 +347,4 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
             made = [held, pa.array(n_tokens), pa.array((sure + more).astype(np.int64)), pa.array(np.full(len(keys), tokens)), pa.array(base + sums - n_tokens * all_), pa.array(score + sums - rare * rare_all)]
             yield pa.RecordBatch.from_arrays([keys, *(m.cast(kind) for m, (_, kind) in zip(made, _LAST, strict=True))], names=[key, *(n for n, _ in _LAST)])
 
-    return _work.by_bin(back, "slice", "kind", "bin").mapInArrow(gathered, f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(gathered), f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, encoded, mix, portions, shingle_sets
+from maxentnet.llm._text import U64, encoded, mix, portions, shingle_sets, tidy
 from maxentnet.llm.components import Forest, components
 
 WORDS = 5
@@ -80,7 +80,7 @@ def _dealt(df: DataFrame, key: str, text: str, bins: int) -> DataFrame:
             for at in range(0, len(full), 256):
                 yield made([(b, name, 1, shingles[edges[b] : edges[b + 1]].tobytes() + owner[edges[b] : edges[b + 1]].astype(np.uint16).tobytes()) for b in full[at : at + 256]])
 
-    return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(run, "bin int, slice long, kind int, data binary")
+    return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(tidy(run), "bin int, slice long, kind int, data binary")
 
 
 def made(rows: list[tuple]) -> pa.RecordBatch:
@@ -303,8 +303,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     spark = df.sparkSession
     bins = 2 * _work.parts(spark)
-    shared = _work.by_bin(_dealt(df, key, text, bins), "bin", "kind", "slice").mapInArrow(_shared, "bin int, slice long, kind int, data binary")
-    found = _work.written(_work.by_bin(shared, "slice", "kind", "bin").mapInArrow(_candidates, _FOUND), "sets")
+    shared = _work.by_bin(_dealt(df, key, text, bins), "bin", "kind", "slice").mapInArrow(tidy(_shared), "bin int, slice long, kind int, data binary")
+    found = _work.written(_work.by_bin(shared, "slice", "kind", "bin").mapInArrow(tidy(_candidates), _FOUND), "sets")
     documents = found.filter("shingles IS NULL").select("key", "mark", "size")
     sets = _work.written(found.filter("shingles IS NOT NULL").select("mark", "size", "shingles", "counts").dropDuplicates(["mark"]), "distinct-sets")
 
@@ -319,8 +319,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             if shingles:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(marks))], names=["shingle", "mark"])
 
-    postings = _work.by_bin(sets.mapInArrow(prefixes, "shingle long, mark long"), "shingle")
-    groups = components(postings.mapInArrow(_stars, "a long, b long"))
+    postings = _work.by_bin(sets.mapInArrow(tidy(prefixes), "shingle long, mark long"), "shingle")
+    groups = components(postings.mapInArrow(tidy(_stars), "a long, b long"))
     groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
     half = BLOCK // 2
     blocks = F.ceil(F.col("n") / half).cast("int")
@@ -330,7 +330,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     tasks = groups.withColumn("mine", mine).withColumn("other", other)
     tasks = tasks.select("id", F.xxhash64("component", F.when(F.col("other") < 0, -1).otherwise(F.least("mine", "other")), F.when(F.col("other") < 0, -1).otherwise(F.greatest("mine", "other"))).alias("task"))
     joined = tasks.join(sets, F.col("id") == F.col("mark")).select("task", "mark", "size", "shingles", "counts")
-    links = _work.by_bin(joined, "task", "mark").mapInArrow(_joined, "a long, b long")
+    links = _work.by_bin(joined, "task", "mark").mapInArrow(tidy(_joined), "a long, b long")
     near = components(links)
     # documents of one set, then sets of one component, then rows of one key
     classes = documents.filter("size > 0").groupBy("mark").agg(F.min("key").alias("least"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
+from maxentnet.llm._text import tidy
 
 WINDOW = 1024
 END = 0
@@ -116,7 +117,7 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
                 yield pa.RecordBatch.from_arrays([*columns, *([pa.array(held, pa.list_(pa.int32()))] if ids else [])], names=[key, "start", "length", "ids_crc32", "doc_tokens", *(["ids"] if ids else [])])
 
     source = df.select(key, text)
-    return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if ids else ""))
+    return source.mapInArrow(tidy(run), f"`{key}` {source.schema[key].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if ids else ""))
 
 
 def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", window: int = WINDOW, ids: bool = False) -> DataFrame:
@@ -157,4 +158,4 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wind
             yield from packed()
 
     ddl = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in kind if x.name != "group")
-    return cut.mapInArrow(run, f"{ddl}, sequence_id long, offset long")
+    return cut.mapInArrow(tidy(run), f"{ddl}, sequence_id long, offset long")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work, suffix_array
-from maxentnet.llm._text import U64, blocks, encoded, joined, portions, prefix_hash, span_hash
+from maxentnet.llm._text import U64, blocks, encoded, joined, portions, prefix_hash, release, span_hash, tidy
 
 #: Bytes of a string that counts as a repeat.
 WIDTH = 50
@@ -240,6 +240,7 @@ def _sent(bins: int):
             for k in np.flatnonzero(np.diff(edges)).tolist():
                 x, y = edges[k], edges[k + 1]
                 rows.append((k, 1, pack(b"".join([np.array([y - x], "<i8").tobytes(), *(c[x:y].tobytes() for c in columns), *(strings[i] for i in order[x:y].tolist())]))))
+        release()
         return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind.type) for i, kind in enumerate(_SENT)], schema=_SENT) if rows else empty
 
     return run
@@ -392,6 +393,7 @@ def _kept(columns: list[tuple[str, pa.DataType]], text_out: bool):
                 left.append(rest.decode("utf-8", "ignore"))
             else:
                 digest.append(hashlib.sha256(rest).hexdigest())
+        release()
         last = [pa.array(left, pa.string())] if text_out else [pa.array(digest, pa.string())]
         kept = [texts.column(c).combine_chunks() for c, _ in columns]
         return pa.Table.from_arrays([*kept, pa.array([len(x) for x in data], pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), *last], names=[*(c for c, _ in columns), "n_bytes", "n_removed", "n_spans", "kept_text" if text_out else "kept_sha256"])
@@ -428,10 +430,10 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
     whole = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *keep)
     room = F.coalesce(F.pmod(F.col("key"), F.lit(rooms)), F.lit(0)).cast("long")
     texts = whole.withColumn("room", room).repartition(_work.parts(spark), "room")
-    met = _work.by_bin(whole.select("key", "text").mapInArrow(_anchors(bins), "bin int, data binary"), "bin").mapInArrow(_met(rooms), "room long, kind int, data binary")
+    met = _work.by_bin(whole.select("key", "text").mapInArrow(tidy(_anchors(bins)), "bin int, data binary"), "bin").mapInArrow(tidy(_met(rooms)), "room long, kind int, data binary")
     sent = texts.groupBy("room").cogroup(met.groupBy("room")).applyInArrow(_sent(bins), "bin long, kind int, data binary")
-    asked = _work.by_bin(sent, "bin", "kind").mapInArrow(_requests(rooms), "room long, data binary, request binary")
-    answered = asked.select("room", "data", suffix_array.grouped(spark, F.col("request")).alias("flags")).mapInArrow(_answers(rooms), "room long, data binary")
+    asked = _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_requests(rooms)), "room long, data binary, request binary")
+    answered = asked.select("room", "data", suffix_array.grouped(spark, F.col("request")).alias("flags")).mapInArrow(tidy(_answers(rooms)), "room long, data binary")
     columns = [(c, None) for c in ("key", *keep)]
     kept_ddl = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     out = texts.groupBy("room").cogroup(answered.groupBy("room")).applyInArrow(_kept(columns, text_out), f"key long, {kept_ddl}n_bytes long, n_removed long, n_spans long, " + ("kept_text string" if text_out else "kept_sha256 string"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maxentnet.llm._text import U64, blocks, joined, prefix_hash, span_hash
+from maxentnet.llm._text import U64, blocks, joined, prefix_hash, span_hash, tidy
 
 #: Labelled rows that are learned from at most, toxic and ordinary: those whose hashes are least.
 MOST_TOXIC, MOST_ORDINARY = 2000, 3000
@@ -226,7 +226,7 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                     found[k] = found.get(k, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.binary()), pa.array([c for _, c in found], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "c", "n"])
 
-    table = learn.mapInArrow(count, "word binary, c int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4))).orderBy("word").toArrow()
+    table = learn.mapInArrow(tidy(count), "word binary, c int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4))).orderBy("word").toArrow()
     words = table.column("word").to_pylist()
     counts = np.stack([table.column(f"n{c}").to_numpy() for c in range(4)], 1) if words else np.zeros((0, 4))
     seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -253,7 +253,7 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
                         rows[mine] = readers[f].features([texts[i] for i in mine])
                 yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(rows[:, i]) for i in range(FEATURES))], names=["y", *(f"f{i}" for i in range(FEATURES))])
 
-        fitted = learn.mapInArrow(featured, "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
+        fitted = learn.mapInArrow(tidy(featured), "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
         weights = logistic(np.stack([fitted.column(f"f{i}").to_numpy() for i in range(FEATURES)], 1), fitted.column("y").to_numpy())
         both.destroy()
         shared = spark.sparkContext.broadcast(whole)
@@ -273,4 +273,4 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     places = [1 if c == text else 3 + others.index(c) for c in keep]
     source = df.select(key, F.col(text).alias("_text"), held_out(key).alias("_held"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(others)))
     kept = "".join(f", `{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return source.mapInArrow(scored, f"`{key}` {source.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int{kept}")
+    return source.mapInArrow(tidy(scored), f"`{key}` {source.schema[key].dataType.simpleString()}, held_out boolean, score double, predicted int{kept}")
