@@ -8,10 +8,6 @@ from pyspark.sql import functions as F
 from maxentnet.operators.graph import DiGraph
 from maxentnet.plans import scratch
 
-#: Steps between two cuts of the lineage.
-CUT = 8
-
-
 def normalised(graph: DiGraph, weighted: bool = True) -> DataFrame:
     """(src, dst, w): each row of the adjacency matrix divided by its sum."""
     adj = graph.adjacency_matrix(True, True)
@@ -27,13 +23,12 @@ def propagated(edges: DataFrame, values: DataFrame, to: str = "dst", absorb: flo
 
 
 def _iterate(start: DataFrame, step, max_iter: int, tol: float) -> DataFrame:
-    """Applies ``step`` until no value changes by ``tol``; each step is computed once, and the plan is cut every CUT steps."""
-    now = start.persist()
-    for i in range(max_iter):
+    """Applies ``step`` until no value changes by ``tol``. A step is written before the next one reads it twice, so that plans stay short."""
+    now = start.transform(scratch.kept)
+    for _ in range(max_iter):
         new = step(now)
-        new = scratch.written(new, "iteration") if i % CUT == CUT - 1 else new.persist()
+        new = new.transform(scratch.kept)
         change = new.join(now.withColumnRenamed("value", "before"), "vid").agg(F.max(F.abs(F.col("value") - F.col("before")))).first()[0]
-        now.unpersist()
         now = new
         if change is None or change < tol:
             break
@@ -43,10 +38,10 @@ def _iterate(start: DataFrame, step, max_iter: int, tol: float) -> DataFrame:
 def pagerank(graph: DiGraph, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, weighted: bool = True) -> DataFrame:
     """(vid, rank): r <- alpha (P' r + the rank of nodes without links, spread evenly) + (1 - alpha) / N, from 1 / N on, until no rank changes by ``tol``."""
     n = graph.num_vertices
-    edges = normalised(graph, weighted).persist()
-    vertices = graph.vertices.select("vid").persist()
+    edges = normalised(graph, weighted).transform(scratch.kept)
+    vertices = graph.vertices.select("vid").transform(scratch.kept)
     ends = edges.select(F.col("src").alias("vid")).distinct()
-    hanging = vertices.join(ends, "vid", "left_anti").persist()
+    hanging = vertices.join(ends, "vid", "left_anti").transform(scratch.kept)
 
     def step(now: DataFrame) -> DataFrame:
         lost = now.join(hanging, "vid").agg(F.coalesce(F.sum("value"), F.lit(0.0))).first()[0]
@@ -60,9 +55,9 @@ def pagerank(graph: DiGraph, alpha: float = 0.85, max_iter: int = 100, tol: floa
 def trophic_depth(graph: DiGraph, final, max_iter: int = 100, tol: float = 1e-3) -> DataFrame:
     """(vid, depth): d_i <- (final_i + sum_j w_ij (d_j + 1)) / (out strength_i + final_i), from ``final`` on; nodes with neither are not divided."""
     ends = graph._property(final).toDF("vid", "final")
-    edges = graph.adjacency_matrix(True, True).persist()
+    edges = graph.adjacency_matrix(True, True).transform(scratch.kept)
     total = graph.out_strength()
-    fixed = graph.vertices.select("vid").join(ends, "vid", "left").join(total, "vid", "left").fillna(0.0).persist()
+    fixed = graph.vertices.select("vid").join(ends, "vid", "left").join(total, "vid", "left").fillna(0.0).transform(scratch.kept)
 
     def step(now: DataFrame) -> DataFrame:
         new = fixed.join(propagated(edges, now, "src", 1.0), "vid", "left")

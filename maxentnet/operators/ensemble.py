@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from maxentnet.functions.uniform import uniform
 from maxentnet.operators.graph import DIRECTIONS, DiGraph, Graph, MultiDiGraph, adjacency_of
-from maxentnet.plans import pairs
+from maxentnet.plans import pairs, scratch
 
 INF = float("inf")
 
@@ -161,7 +161,7 @@ class Ensemble:
 
     def _degree(self, which: str, name: str, recompute: bool) -> DataFrame:
         self._fitted()
-        table = self._keep("degrees", lambda: self._degrees(self.selfloops).persist(), recompute)
+        table = self._keep("degrees", lambda: self._degrees(self.selfloops).transform(scratch.kept), recompute)
         return table.select("vid", F.col(which).alias(name))
 
     def expected_num_edges(self, recompute: bool = False) -> float:
@@ -192,7 +192,7 @@ class Ensemble:
         own = F.col("self") if which != "und" else (F.lit(0.0) + F.col("self") if selfloops else 2 * F.col("self") - F.col("self") * F.col("self"))
         change = 0 if selfloops and which != "und" else (-(2 * F.col("self") - F.col("self") * F.col("self")) + F.col("self")) * F.col("prop") if selfloops else -own * F.col("prop")
         top = members.join(values, "vid").join(sums, "pid").select("vid", (F.col("sum") + change).alias("sum"))
-        degree = self._keep("degrees", lambda: self._degrees(self.selfloops).persist(), deg_recompute) if selfloops == self.selfloops else self._degrees(selfloops)
+        degree = self._keep("degrees", lambda: self._degrees(self.selfloops).transform(scratch.kept), deg_recompute) if selfloops == self.selfloops else self._degrees(selfloops)
         out = degree.join(top, "vid", "left").select("vid", F.when(F.col(which) > 0, F.coalesce(F.col("sum"), F.lit(0.0)) / F.col(which)).otherwise(0.0).alias("av_nn"))
         return out
 
@@ -343,7 +343,7 @@ class Ensemble:
         if ref_g is not None and ref_g.labels is not None and labels is not None:
             labels = ref_g.labels
         kind = DiGraph if labels is None else MultiDiGraph
-        return kind.from_edges(vertices, adj.persist(), self.num_vertices, groups, labels, getattr(self, "num_labels", None) if labels is not None else None, weighted)
+        return kind.from_edges(vertices, adj.transform(scratch.kept), self.num_vertices, groups, labels, getattr(self, "num_labels", None) if labels is not None else None, weighted)
 
 
 def dyad_of(model, i: Column, j: Column) -> Column:

@@ -12,6 +12,7 @@ from maxentnet.functions.kernels import Exponential, Kernel, Logistic
 from maxentnet.operators.ensemble import INF, Ensemble, number, numeric, take, whole
 from maxentnet.operators.graph import DiGraph
 from maxentnet.operators.solver import Newton, solve
+from maxentnet.plans import scratch
 from maxentnet.plans.pairs import BROADCAST_ROWS, Compressed, cross
 
 
@@ -79,7 +80,7 @@ class FitnessModel(Ensemble):
                 frame = self.spark.createDataFrame([(i, float(v)) for i, v in enumerate(prop)], f"vid long, {name} double")
             both.append(frame)
         every = self._all_vertices().join(both[0], "vid", "left").join(both[1], "vid", "left")
-        return every.select("vid", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in "xy")).persist()
+        return every.select("vid", *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in "xy")).transform(scratch.kept)
 
     def prop_dyad(self, i: Column, j: Column) -> Column | None:
         """Factor of the pair of vids i and j; None is 1 for all, and lets nodes with equal fitness be one."""
@@ -150,7 +151,7 @@ class FitnessModel(Ensemble):
                 profiles = self.nodes.select(F.col("vid").alias("pid"), "x", "y", F.lit(1).cast("long").alias("n"))
                 return profiles, self.nodes.select("vid", F.col("vid").alias("pid")), self.num_vertices
             keyed = self.nodes.select("vid", F.struct("x", "y").alias("pid"))
-            profiles = keyed.groupBy("pid").agg(F.count("*").alias("n")).select("pid", "pid.x", "pid.y", "n").persist()
+            profiles = keyed.groupBy("pid").agg(F.count("*").alias("n")).select("pid", "pid.x", "pid.y", "n").transform(scratch.kept)
             return profiles, keyed, profiles.count()
 
         return self._keep("profiles", build, False)

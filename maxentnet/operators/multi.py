@@ -14,6 +14,7 @@ from maxentnet.operators.ensemble import INF, Ensemble, numeric, take, whole
 from maxentnet.operators.fitness import start_of
 from maxentnet.operators.graph import Graph, MultiDiGraph, adjacency_of
 from maxentnet.operators.solver import Newton, solve
+from maxentnet.plans import scratch
 from maxentnet.plans.pairs import Compressed
 from maxentnet.sources.ingest import numbered
 
@@ -113,7 +114,7 @@ class MultiFitnessModel(Ensemble):
                 frame = self.spark.createDataFrame([(int(i), int(k), float(prop[i, k])) for i, k in np.argwhere(prop != 0)], f"vid long, label_id long, {name} double")
             both.append(frame)
         every = both[0].join(both[1], ["vid", "label_id"], "full")
-        return every.select("vid", F.col("label_id").cast("long").alias("label_id"), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in "xy")).filter("x > 0 OR y > 0").persist()
+        return every.select("vid", F.col("label_id").cast("long").alias("label_id"), *(F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in "xy")).filter("x > 0 OR y > 0").transform(scratch.kept)
 
     # parameters
 
@@ -196,10 +197,10 @@ class MultiFitnessModel(Ensemble):
             keyed = self.nodes.groupBy("vid").agg(rows.alias("key"))
             empty = F.array().cast("array<struct<label_id:bigint,x:double,y:double>>")
             keyed = self._all_vertices().join(keyed, "vid", "left").select("vid", F.coalesce("key", empty).alias("key"))
-            ids = numbered(keyed, "key", "pid").persist()
-            profiles = keyed.groupBy("key").agg(F.count("*").alias("n")).join(ids, "key").select("pid", "key", "n").persist()
-            long = profiles.select("pid", F.explode("key").alias("k")).select("pid", "k.label_id", "k.x", "k.y").persist()
-            return profiles, keyed.join(ids, "key").select("vid", "pid").persist(), long
+            ids = numbered(keyed, "key", "pid").transform(scratch.kept)
+            profiles = keyed.groupBy("key").agg(F.count("*").alias("n")).join(ids, "key").select("pid", "key", "n").transform(scratch.kept)
+            long = profiles.select("pid", F.explode("key").alias("k")).select("pid", "k.label_id", "k.x", "k.y").transform(scratch.kept)
+            return profiles, keyed.join(ids, "key").select("vid", "pid").transform(scratch.kept), long
 
         return self._keep("profiles", build, False)
 
@@ -284,7 +285,7 @@ class MultiFitnessModel(Ensemble):
 
     def _degree_by_label(self, which: str, name: str, recompute: bool) -> DataFrame:
         self._fitted()
-        return self._keep("degrees_by_label", lambda: self._degrees_by_label().persist(), recompute).select("vid", "label_id", F.col(which).alias(name))
+        return self._keep("degrees_by_label", lambda: self._degrees_by_label().transform(scratch.kept), recompute).select("vid", "label_id", F.col(which).alias(name))
 
     def expected_degree_by_label(self, recompute: bool = False) -> DataFrame:
         return self._degree_by_label("und", "degree", recompute)

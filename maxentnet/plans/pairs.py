@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maxentnet.plans import scratch
+
 #: A side is broadcast if it is counted and has no more rows than this.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,9 +48,9 @@ class Compressed:
         key = ["label_id"] if labelled else []
         self.labelled = labelled
         self.nodes = nodes
-        self.outs = nodes.filter("x > 0").groupBy(*key, "x").agg(F.count("*").alias("n")).persist()
-        self.ins = nodes.filter("y > 0").groupBy(*([F.col("label_id").alias("label_in")] if labelled else []), "y").agg(F.count("*").alias("m")).persist()
-        self.selves = nodes.filter("x > 0 AND y > 0").groupBy(*key, "x", "y").agg(F.count("*").alias("n")).persist()
+        self.outs = nodes.filter("x > 0").groupBy(*key, "x").agg(F.count("*").alias("n")).transform(scratch.kept)
+        self.ins = nodes.filter("y > 0").groupBy(*([F.col("label_id").alias("label_in")] if labelled else []), "y").agg(F.count("*").alias("m")).transform(scratch.kept)
+        self.selves = nodes.filter("x > 0 AND y > 0").groupBy(*key, "x", "y").agg(F.count("*").alias("n")).transform(scratch.kept)
         self.rows = self.ins.count()
 
     def pairs(self) -> DataFrame:

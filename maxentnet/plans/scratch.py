@@ -41,3 +41,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """For ``transform``: what several later plans read is written once. Their plans then begin at a scan, where cached frames would nest."""
+    return written(df, "kept")

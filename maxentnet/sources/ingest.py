@@ -81,10 +81,10 @@ def ingest(v, e, v_id, src, dst, weight=None, v_group=None, edge_label=None, spa
     vertices = numbered(keyed, "node_key", "vid")
     groups = labels = num_groups = num_labels = None
     if v_group:
-        groups = numbered(keyed, "group_key", "group_id").persist()
+        groups = numbered(keyed, "group_key", "group_id").transform(scratch.kept)
         num_groups = groups.count()
         vertices = vertices.join(keyed, "node_key").join(groups, "group_key").select("vid", "node_key", "group_id", "group_key")
-    vertices = vertices.persist()
+    vertices = vertices.transform(scratch.kept)
     num_vertices = vertices.count()
     wanted = [key(src).alias("src_key"), key(dst).alias("dst_key"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
     edges = e.select(*wanted, *([key(edge_label).alias("label_key")] if edge_label else []))
@@ -97,11 +97,11 @@ def ingest(v, e, v_id, src, dst, weight=None, v_group=None, edge_label=None, spa
         raise AssertionError("Zero or negative edge weights are not supported.")
     by = ["src", "dst"]
     if edge_label:
-        labels = numbered(found, "label_key", "label_id").persist()
+        labels = numbered(found, "label_key", "label_id").transform(scratch.kept)
         num_labels = labels.count()
         found = found.join(labels, "label_key")
         by = ["label_id", *by]
-    adj = found.groupBy(*by).agg((F.sum("w") if weight else F.lit(1.0)).alias("w")).persist()
+    adj = found.groupBy(*by).agg((F.sum("w") if weight else F.lit(1.0)).alias("w")).transform(scratch.kept)
     ends = adj.select(F.col("src").alias("vid")).union(adj.select("dst"))
     alone = vertices.join(ends, "vid", "left_anti")
     names = [r["node_key"] for r in alone.select("node_key").orderBy("node_key").limit(11).collect()]
