@@ -1,47 +1,12 @@
-"""Tables and files that a job keeps in the folder which the whole cluster shares."""
+"""Tables and files in the folder that the whole cluster shares, and rows dealt to bins."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-_LEFT: list = []
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder's URI under spark.checkpoint.dir; a temporary folder where that is unset, as in local tests. It is removed at the end of the process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = context.get() if context.isDefined() else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="maxentnet-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    if not _LEFT:
-        atexit.register(_clear)
-    _LEFT.append((spark, path))
-    return path
-
-
-def _clear() -> None:
-    for spark, path in _LEFT:
-        try:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended; the cluster's own clean-up takes the folder
-            return
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The frame, computed once and read back from a shared table: its lineage ends here, and a lost executor costs nothing of it."""
-    spark = df.sparkSession
-    path = folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from maxentnet.plans.scratch import folder, written
+
+__all__ = ["by_bin", "folder", "parts", "written"]
 
 
 def parts(spark: SparkSession) -> int:
