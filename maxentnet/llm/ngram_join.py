@@ -338,5 +338,5 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     named = named.select("mark", F.col("class"), "least")
     top = named.groupBy("class").agg(F.min("least").alias("component_id"))
     named = named.join(top, "class").select("mark", "component_id")
-    out = documents.join(named, "mark", "left").select(F.col("key"), F.col("size").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("component_id", "key")).alias("component_id"))
+    out = documents.join(named, "mark", "left").select(F.col("key"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
     return out.select(F.col("key").cast(df.schema[key].dataType).alias(key), "n_shingles", "component_id")
