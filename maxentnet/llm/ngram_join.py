@@ -19,7 +19,7 @@ WORDS = 5
 #: Linked when 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Distinct sets that one task holds in a tree, about; a larger group of candidates is dealt out as pairs of blocks.
-BLOCK = 4096
+BLOCK = 1024
 #: Rows of a slice, so that a place in it takes two bytes.
 _SLICE = 1 << 15
 
