@@ -15,7 +15,7 @@ def graph(spark):
 
 
 def model(kind, selfloops, **more):
-    return KINDS[kind](num_vertices=4, prop_out=OUT4, prop_in=IN4, selfloops=selfloops, **({"param": Z4[kind, selfloops]} | more))
+    return KINDS[kind](**({"num_vertices": 4, "prop_out": OUT4, "prop_in": IN4, "selfloops": selfloops, "param": Z4[kind, selfloops]} | more))
 
 
 @pytest.mark.parametrize(("kind", "selfloops"), CASES)
