@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, blocks, encoded, portions, tidy, words
+from maxentnet.llm._text import U64, blocks, encoded, portions, release, tidy, words
 
 #: A word is a symbol of its own if its share of the training tokens is at least this: at most 1/SYMBOL of them. Others are one symbol,
 #: and told apart by their counts.
@@ -162,6 +162,16 @@ def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
 
+def _parts_of(group: np.ndarray, rows: int = 1 << 18) -> Iterator[slice]:
+    """Slices of about so many rows of groups in order, none of which is cut."""
+    edges = np.append(_starts(group), len(group))
+    at = 0
+    while at < len(edges) - 1:
+        to = max(at + 1, int(np.searchsorted(edges, edges[at] + rows, side="right")) - 1)
+        yield slice(int(edges[at]), int(edges[to]))
+        at = to
+
+
 def grown(context: np.ndarray, next_: np.ndarray, count: np.ndarray, parent: np.ndarray, least_context: float, least_entry: float):
     """One level of the tree: of contexts (in order) and the counts of their next symbols, those to keep.
 
@@ -191,13 +201,19 @@ def _tree(symbols, bins: int):
         known: Symbols = symbols.value
         for rows in _grouped(batches, "bin"):
             key, count = _unpacked(rows, "<i8", "<u4")
+            rows.clear()
             key, count = _add_up(key, count.astype(np.int64))
-            one, n = _add_up((key >> 40 << 20) | (key & 0xFFFFF), count)
-            entry, chance, keep, start, free = grown(one >> 20, one & 0xFFFFF, n, known.chance[one & 0xFFFFF], CONTEXT * known.tokens, ENTRY * known.tokens)
-            parent = chance[np.searchsorted(one, (key >> 40 << 20) | (key & 0xFFFFF))]
-            entry2, chance2, keep2, start2, free2 = grown(key >> 20, key & 0xFFFFF, count, parent, CONTEXT * known.tokens, ENTRY * known.tokens)
-            for kind, keys, values in ((1, one[entry], chance[entry]), (2, (one >> 20)[start[keep]], free[keep]), (3, key[entry2], chance2[entry2]), (4, (key >> 20)[start2[keep2]], free2[keep2])):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.log10(np.maximum(values, 1e-300)))], names=["kind", "key", "value"])
+            for part in _parts_of(key >> 40):
+                yield from level(known, key[part], count[part])
+            release()
+
+    def level(known: Symbols, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+        one, n = _add_up((key >> 40 << 20) | (key & 0xFFFFF), count)
+        entry, chance, keep, start, free = grown(one >> 20, one & 0xFFFFF, n, known.chance[one & 0xFFFFF], CONTEXT * known.tokens, ENTRY * known.tokens)
+        parent = chance[np.searchsorted(one, (key >> 40 << 20) | (key & 0xFFFFF))]
+        entry2, chance2, keep2, start2, free2 = grown(key >> 20, key & 0xFFFFF, count, parent, CONTEXT * known.tokens, ENTRY * known.tokens)
+        for kind, keys, values in ((1, one[entry], chance[entry]), (2, (one >> 20)[start[keep]], free[keep]), (3, key[entry2], chance2[entry2]), (4, (key >> 20)[start2[keep2]], free2[keep2])):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.log10(np.maximum(values, 1e-300)))], names=["kind", "key", "value"])
 
     return run
 
