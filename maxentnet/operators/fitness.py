@@ -13,7 +13,7 @@ from maxentnet.operators.ensemble import INF, Ensemble, number, numeric, take, w
 from maxentnet.operators.graph import DiGraph
 from maxentnet.operators.solver import Newton, solve
 from maxentnet.plans import scratch
-from maxentnet.plans.pairs import BROADCAST_ROWS, Compressed, cross
+from maxentnet.plans.pairs import Compressed, cross
 
 
 def start_of(x0, most: int = 1, many: str = "The model requires one parameter.") -> np.ndarray:
@@ -203,6 +203,3 @@ class ScaleInvariantModel(FitnessModel):
     """p = 1 - exp(-z x_i y_j): groups of nodes are linked by the same law as nodes."""
 
     kernel: Kernel = Exponential()
-
-
-__all__ = ["BROADCAST_ROWS", "FitnessModel", "ScaleInvariantModel", "start_of"]

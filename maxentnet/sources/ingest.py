@@ -42,7 +42,7 @@ def key(spec: str | list[str]) -> Column:
 def numbered(keys: DataFrame, column: str, number: str) -> DataFrame:
     """Distinct keys with 0, 1, ... in their order. Beyond WINDOW_KEYS keys each range of a sorted table is numbered from where the one before ends."""
     distinct = keys.select(column).distinct()
-    if keys.sparkSession.conf.get("spark.sql.adaptive.enabled") and distinct.count() <= WINDOW_KEYS:
+    if distinct.count() <= WINDOW_KEYS:
         return distinct.withColumn(number, (F.row_number().over(W.orderBy(column)) - 1).cast("long"))
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = distinct.repartitionByRange(parts, column).sortWithinPartitions(column)
