@@ -8,22 +8,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, blocks, encoded, portions, release, tidy, words
-
-#: A word is a symbol of its own if its share of the training tokens is at least this: at most 1/SYMBOL of them. Others are one symbol,
-#: and told apart by their counts.
-SYMBOL = 1e-6
-#: Least share of the training tokens for a context, and for a next symbol to have its own entry in one: both bound the tree.
-CONTEXT = 1e-5
-ENTRY = 1e-6
+from maxentnet.llm._text import U64, blocks, encoded, mix, portions, release, tidy, words
+
+#: Least occurrences, in the training texts, of a context and of a next symbol with its own entry in one: what occurs once has no others to be
+#: scored by. Neither depends on the size of the table.
+CONTEXT = 2
+ENTRY = 2
 #: Least gain (nats an occurrence, each occurrence scored by the others) over the next shorter context.
 DIVERGENCE = 0.002
 DISCOUNT = 0.75
 RARE, END, BEGIN, FIRST = 0, 1, 2, 3
+#: In place of a word's hash: what follows and what precedes a text.
+_END, _BEGIN = U64(1), U64(2)
+_ODD = U64(0x9E3779B97F4A7C15)
 _SLICE = 2 << 20
 
 
@@ -105,58 +106,15 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Symbols:
-    """Numbers of words: their own for frequent ones, RARE for the others."""
+    """Chances of symbols after no context, of a vocabulary in one table."""
 
     def __init__(self, key: np.ndarray, count: np.ndarray, tokens: int, ends: int):
         order = np.argsort(key)
         self.key, self.count = key[order], count[order]
-        self.tokens = tokens
         self.counts = np.concatenate(([tokens - ends - int(self.count.sum()), ends, 0], self.count)).astype(np.float64)
         self.chance = (self.counts + 1) / (tokens + len(self.counts) - 1)
         self.chance[BEGIN] = 1e-300  # never a next symbol
 
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.key):
-            return np.zeros(len(hashes), np.int64)
-        i = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
-        return np.where(self.key[i] == hashes, i + FIRST, RARE)
-
-
-def _sequence(symbols: Symbols, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts' symbols, an END after each: symbol, the one before, the one before that (BEGIN before a text), and the text's index."""
-    size = np.diff(first)
-    owner = np.repeat(np.arange(len(size)), size + 1)
-    next_ = np.full(len(owner), END, np.int64)
-    begin = np.cumsum(size + 1) - size - 1
-    word = np.ones(len(owner), bool)
-    word[begin + size] = False
-    next_[word] = symbols(hashes[first[0] : first[-1]])
-    last, older = np.full(len(owner), BEGIN, np.int64), np.full(len(owner), BEGIN, np.int64)
-    last[1:], older[2:] = next_[:-1], next_[:-2]
-    last[begin] = BEGIN
-    older[begin] = BEGIN
-    inner = begin[size > 0] + 1
-    older[inner] = BEGIN
-    return next_, last, older, owner
-
-
-def _contexts(symbols, bins: int):
-    """Training texts -> counts of three symbols in a row, packed by bin of the middle one."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Symbols = symbols.value
-        for batch in portions(batches):
-            texts = encoded(batch.column(0))
-            for a, b in blocks(texts, _SLICE):
-                hashes, first = words(texts[a:b])
-                next_, last, older, _ = _sequence(known, hashes, first)
-                key, count = np.unique(last << 40 | older << 20 | next_, return_counts=True)
-                rows = list(_packed((key >> 40) % bins, bins, key, count.astype("<u4")))
-                for at in range(0, len(rows), 256):
-                    yield _rows(rows[at : at + 256], *_BIN)
-
-    return run
-
 
 def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
@@ -194,120 +152,145 @@ def grown(context: np.ndarray, next_: np.ndarray, count: np.ndarray, parent: np.
     return entry & keep[of], np.where(keep[of], chance, parent), keep, start, free
 
 
-def _tree(symbols, bins: int):
-    """A bin's counts -> rows (kind, key, log10 value): 1 chances after one word, 2 freed shares of one word, 3 and 4 those of two."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Symbols = symbols.value
-        for rows in _grouped(batches, "bin"):
-            key, count = _unpacked(rows, "<i8", "<u4")
-            rows.clear()
-            key, count = _add_up(key, count.astype(np.int64))
-            for part in _parts_of(key >> 40):
-                yield from level(known, key[part], count[part])
-            release()
+_SENT = (("bin", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("alive", pa.int64()))
+_SENT_DDL = "bin int, slice long, kind int, data binary, alive long"
 
-    def level(known: Symbols, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-        one, n = _add_up((key >> 40 << 20) | (key & 0xFFFFF), count)
-        entry, chance, keep, start, free = grown(one >> 20, one & 0xFFFFF, n, known.chance[one & 0xFFFFF], CONTEXT * known.tokens, ENTRY * known.tokens)
-        parent = chance[np.searchsorted(one, (key >> 40 << 20) | (key & 0xFFFFF))]
-        entry2, chance2, keep2, start2, free2 = grown(key >> 20, key & 0xFFFFF, count, parent, CONTEXT * known.tokens, ENTRY * known.tokens)
-        for kind, keys, values in ((1, one[entry], chance[entry]), (2, (one >> 20)[start[keep]], free[keep]), (3, key[entry2], chance2[entry2]), (4, (key >> 20)[start2[keep2]], free2[keep2])):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.astype(np.int64)), pa.array(np.log10(np.maximum(values, 1e-300)))], names=["kind", "key", "value"])
 
-    return run
+def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(rows), 256):
+        yield _rows(rows[at : at + 256], *_SENT)
 
 
-class Tree:
-    def __init__(self, symbols: Symbols, kind: np.ndarray, key: np.ndarray, value: np.ndarray):
-        self.root = np.log10(symbols.chance)
-        self.tables = {}
-        for k in (1, 2, 3, 4):
-            own = np.flatnonzero(kind == k)
-            own = own[np.argsort(key[own])]
-            self.tables[k] = key[own], value[own]
-
-    def _get(self, kind: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, value = self.tables[kind]
-        if not len(key):
-            return np.zeros(len(wanted), bool), np.zeros(len(wanted))
-        i = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        return key[i] == wanted, value[i]
-
-    def __call__(self, next_: np.ndarray, last: np.ndarray, older: np.ndarray) -> np.ndarray:
-        """log10 chance of each symbol in the state of its longest kept context."""
-        out = np.zeros(len(next_))
-        todo = np.arange(len(next_))
-        for state, entry, context in ((4, 3, last << 20 | older), (2, 1, last)):
-            kept, free = self._get(state, context[todo])
-            at = todo[kept]
-            found, value = self._get(entry, context[at] << 20 | next_[at])
-            out[at] += np.where(found, value, free[kept])
-            done = np.zeros(len(todo), bool)
-            done[np.flatnonzero(kept)[found]] = True
-            todo = todo[~done]
-        out[todo] += self.root[next_[todo]]
-        return out
-
-
-_SENT = (("bin", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()))
-
-
-def _scored(tree, bins: int):
-    """Texts -> kind 0: a slice's documents with what frequent words give; kind 1: its rare words by bin, packed: word, document's place, count."""
+def _sliced(bins: int):
+    """Texts -> kind 0: a slice's documents and symbols, an END after each text; kind 1: its distinct symbols by bin, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbols, model = tree.value
         task, number = TaskContext.get().partitionId(), 0
-        logs = np.log10(symbols.counts + 1)
         for batch in portions(batches):
             texts = encoded(batch.column(2))
             for a, b in blocks(texts, _SLICE):
-                b_end = b
-                for a in range(a, b_end, 1 << 15):  # a place takes two bytes
-                    b = min(b_end, a + (1 << 15))
-                    hashes, first = words(texts[a:b])
-                    next_, last, older, owner = _sequence(symbols, hashes, first)
-                    n = b - a
-                    rare = next_ == RARE
-                    score = np.bincount(owner, model(next_, last, older), n)
-                    base = np.bincount(owner, np.where(rare, 0.0, logs[next_]), n)
-                    sure = np.bincount(owner, ~rare & (symbols.counts[next_] > 0), n)
-                    name = task << 32 | number
-                    number += 1
-                    table = pickle.dumps((batch.column(0).slice(a, n), batch.column(1).slice(a, n), np.diff(first) + 1, np.bincount(owner, rare, n), score, base, sure), protocol=5)
-                    yield _rows([(name % bins, name, 0, table)], *_SENT)
-                    hashes = hashes[symbols(hashes) == RARE]
-                    place = owner[rare].astype("<u2")
-                    order = np.lexsort((place, hashes))
-                    hashes, place = hashes[order], place[order]
-                    start = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (place[1:] != place[:-1])))) if len(hashes) else np.zeros(0, np.int64)
-                    count = np.diff(np.append(start, len(hashes))).astype("<u4")
-                    rows = [(k, name, 1, d) for k, d in _packed((hashes[start] % U64(bins)).astype(np.int64), bins, hashes[start], place[start], count)]
-                    for at in range(0, len(rows), 256):
-                        yield _rows(rows[at : at + 256], *_SENT)
+                hashes, first = words(texts[a:b])
+                size = np.diff(first) + 1
+                symbol = np.full(int(size.sum()), _END)
+                word = np.ones(len(symbol), bool)
+                word[np.cumsum(size) - 1] = False
+                symbol[word] = hashes[first[0] : first[-1]]
+                distinct, index = np.unique(symbol, return_inverse=True)
+                state = {"key": batch.column(0).slice(a, b - a), "held": batch.column(1).slice(a, b - a), "size": size, "words": distinct, "index": index.astype("<u2" if len(distinct) < 1 << 16 else "<u4")}
+                name = task << 32 | number
+                number += 1
+                yield from _sent([(name % bins, name, 0, pickle.dumps(state, protocol=5), 0)])
+                yield from _sent([(k, name, 1, d, 0) for k, d in _packed((distinct % U64(bins)).astype(np.int64), bins, distinct)])
 
     return run
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bin's vocabulary (kind -1) and rare words -> for each slice, documents' sums of log10(c + 1) and numbers of known tokens. Tables pass."""
+    """A bin's vocabulary (kind -1) and words asked for (kind 1) -> their counts, in the same order. Tables pass."""
     for rows in _grouped(batches, "bin"):
         key, count = _unpacked([r for r in rows if r["kind"] == -1], "<u8", "<i8")
         out = []
         for row in rows:
             if row["kind"] == 0:
-                yield _rows([(row["bin"], row["slice"], 0, row["data"])], *_SENT)
+                yield from _sent([(row["bin"], row["slice"], 0, row["data"], 0)])
             elif row["kind"] == 1:
-                word, place, times = _unpacked([row], "<u8", "<u2", "<u4")
+                word = np.frombuffer(row["data"], "<u8")
                 i = np.minimum(np.searchsorted(key, word), max(len(key) - 1, 0))
                 c = np.where(key[i] == word, count[i], 0) if len(key) else np.zeros(len(word), np.int64)
-                places, inverse = np.unique(place, return_inverse=True)
-                sums = np.bincount(inverse, times * np.log10(c + 1.0), len(places))
-                sure = np.bincount(inverse, times * (c > 0), len(places)).astype("<u4")
-                out.append((row["bin"], row["slice"], 1, places.tobytes() + sums.tobytes() + sure.tobytes()))
-        for at in range(0, len(out), 256):
-            yield _rows(out[at : at + 256], *_SENT)
+                out.append((row["bin"], row["slice"], 1, c.astype("<i8").tobytes(), 0))
+        yield from _sent(out)
+
+
+def _resumed(rows: list[dict], level: int, bins: int, tokens: int, kinds: int, ends: int) -> tuple[dict, np.ndarray, np.ndarray]:
+    """A slice after what came back of ``level`` (0: its symbols' counts): its state, the places still looked at and their chances."""
+    state = pickle.loads(next(r["data"] for r in rows if r["kind"] == 0))
+    back = b"".join(r["data"] for r in rows if r["kind"] == 1)
+    owner = np.repeat(np.arange(len(state["size"])), state["size"])
+    n = len(state["size"])
+    if not level:
+        count = np.empty(len(state["words"]), np.int64)
+        count[np.argsort((state["words"] % U64(bins)).astype(np.int64), kind="stable")] = np.frombuffer(back, "<i8")
+        count[state["words"] == _END] = ends
+        count = count[state["index"]]
+        state |= {"base": np.bincount(owner, np.log10(count + 1.0), n) - state["size"] * np.log10(tokens + kinds + 1), "known": np.bincount(owner, count > 0, n), "score": np.zeros(n)}
+        return state, np.arange(len(owner)), ((count + 1) / (tokens + kinds + 1)).astype("<f4")
+    at, value = state["at"], np.frombuffer(back, "<f4")[state["place"]]
+    done = value < 0
+    state["score"] = state["score"] + np.bincount(owner[at[done]], np.log10(-value[done].astype(np.float64)), n)
+    return state, at[~done].astype(np.int64), value[~done]
+
+
+def _asked(level: int, bins: int, *totals: int):
+    """Slices -> kind 0: their states; kind 1: what they ask of the contexts of ``level`` words, by bin of the context, packed: context, next symbol, its chance in the next shorter one, training occurrences."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "slice"):
+            name = rows[0]["slice"]
+            state, at, chance = _resumed(rows, level - 1, bins, *totals)
+            rows.clear()
+            size = state["size"]
+            owner = np.repeat(np.arange(len(size)), size)
+            inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+            ended = inner[at] < level - 1  # the shorter context reached the text's begin
+            state["score"] = state["score"] + np.bincount(owner[at[ended]], np.log10(chance[ended].astype(np.float64)), len(size))
+            at, chance = at[~ended], chance[~ended]
+            symbol = state["words"][state["index"]]
+            context = np.zeros(len(at), U64)
+            for k in range(1, level + 1):
+                context = mix(context * _ODD + np.where(inner[at] >= k, symbol[np.maximum(at - k, 0)], _BEGIN))
+            next_ = symbol[at]
+            _, first, inverse = np.unique(mix(context ^ mix(next_ * _ODD)), return_index=True, return_inverse=True)
+            train = ~state["held"].to_numpy(zero_copy_only=False)
+            count = np.bincount(inverse, train[owner[at]], len(first)).astype("<u4")
+            to = (context[first] % U64(bins)).astype(np.int64)
+            order = np.lexsort((context[first], to))  # equal contexts stand together, which packs well
+            to, first = to[order], first[order]
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            state |= {"at": at.astype("<u4"), "place": place[inverse]}
+            yield from _sent([(name % bins, name, 0, pickle.dumps(state, protocol=5), 0)])
+            yield from _sent([(k, name, 1, d, 0) for k, d in _packed(to, bins, context[first], next_[first], chance[first], count[order])])
+
+    return run
+
+
+def _answered(level: int):
+    """A bin's contexts, of all slices -> chances in them, in the order that they were asked for; below 0 where no longer context is looked at."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches, "bin"):
+            for row in rows:
+                if row["kind"] == 0:
+                    yield from _sent([(row["bin"], row["slice"], 0, row["data"], 0)])
+            rows = [r for r in rows if r["kind"] == 1]
+            if not rows:
+                continue
+            edges = np.cumsum([0, *(len(r["data"]) // 24 for r in rows)])
+            context, next_, parent, count = _unpacked(rows, "<u8", "<u8", "<f4", "<u4")
+            for row in rows:
+                row["data"] = None
+            order = np.lexsort((next_, context))
+            context, next_ = context[order], next_[order]
+            start = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (next_[1:] != next_[:-1]))))
+            times = np.diff(np.append(start, len(order)))
+            context, next_, parent, count = context[start], next_[start], parent[order[start]].astype(np.float64), np.add.reduceat(count[order].astype(np.int64), start)
+            value = np.empty(len(start), "<f4")
+            for part in _parts_of(context):
+                _, chance, keep, begins, _ = grown(context[part], next_[part], count[part], parent[part], CONTEXT, ENTRY)
+                longer = keep if level > 1 else np.add.reduceat(count[part], begins) >= CONTEXT
+                longer = np.repeat(longer, np.diff(np.append(begins, part.stop - part.start)))
+                value[part] = np.where(longer, chance, -chance)
+            out = np.empty(len(order), "<f4")
+            out[order] = np.repeat(value, times)
+            yield from _sent([(r["bin"], r["slice"], 1, out[x:y].tobytes(), int((out[x:y] > 0).sum())) for r, x, y in zip(rows, edges[:-1], edges[1:], strict=True)])
+            release()
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 _LAST = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
@@ -317,12 +300,12 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns from the rows that are not held out.
 
     Tokens are the lower-cased words of the whole text and one end. base_score adds up log10((c + 1) / (N + V + 1)). score is the log10
-    probability under a suffix tree: contexts of one and two words that are frequent and diverge from the shorter one keep their own
-    next-symbol chances, smoothed by the shorter one's; each token is scored in the longest kept context before it. Words below SYMBOL
-    are one symbol there, times (c + 1) / (n + v + 1) among the n tokens and v words of that kind. Counts cover all training texts: of all
-    words, and of all runs of three symbols. Only what SYMBOL, CONTEXT and ENTRY bound is broadcast; rare words' counts are looked up
-    where they lie. A null text is an empty one (its end is a token); a null key is trained on; repeated rows count each; an empty
-    table gives none; without training rows N and V are 0.
+    probability under a suffix tree, whose root has those chances: contexts that occur twice or more and diverge from the shorter one
+    keep their own next-symbol chances, smoothed by the shorter one's; each token is scored in the longest kept context before it.
+    Contexts of one and two words are all tried, longer ones where the next shorter one is kept, of any length. The tree is never in one
+    place: level by level, the texts send their contexts to the bins where these are counted over all training texts, and get their
+    chances back; nothing is broadcast. A null text is an empty one (its end is a token); a null key is trained on; repeated rows count
+    each; an empty table gives none; without training rows N and V are 0.
     """
     spark = df.sparkSession
     bins = 2 * _work.parts(spark)
@@ -331,36 +314,29 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     ends = df.filter(~held_out(key)).count()
     vocabulary = _work.by_bin(train.mapInArrow(tidy(_word_counts(bins)), "bin int, data binary"), "bin").mapInArrow(tidy(_vocabulary), "bin int, data binary, words long, tokens long")
     vocabulary = _work.written(vocabulary, "vocabulary")
-    totals = vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
-    tokens, kinds = totals["tokens"] + ends, totals["words"] + (ends > 0)
-    least = max(1.0, SYMBOL * tokens)
-
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                word, count = _unpacked([row], "<u8", "<i8")
-                on = count >= least
-                yield pa.RecordBatch.from_arrays([pa.array(word[on].view(np.int64)), pa.array(count[on])], names=["word", "count"])
-
-    top = vocabulary.select("data").mapInArrow(tidy(frequent), "word long, count long").toArrow()  # at most 1/SYMBOL rows
-    symbols = Symbols(top.column("word").to_numpy().view(U64), top.column("count").to_numpy(), tokens, ends)
-    shared = spark.sparkContext.broadcast(symbols)
-    counts = _work.by_bin(train.mapInArrow(tidy(_contexts(shared, bins)), "bin int, data binary"), "bin")
-    found = _work.written(counts.mapInArrow(tidy(_tree(shared, bins)), "kind int, key long, value double"), "tree").toArrow()  # at most 2 * (1/CONTEXT + 1/ENTRY) rows
-    tree = spark.sparkContext.broadcast((symbols, Tree(symbols, *(found.column(c).to_numpy() for c in ("kind", "key", "value")))))
-    known = vocabulary.select("bin", F.lit(-1).cast("long").alias("slice"), F.lit(-1).alias("kind"), "data")
-    sent = rows.mapInArrow(tidy(_scored(tree, bins)), "bin int, slice long, kind int, data binary").unionByName(known)
-    back = _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_looked_up), "bin int, slice long, kind int, data binary")
-    rare_tokens, rare_words = symbols.counts[RARE], kinds - len(symbols.key) - (ends > 0)
-    rare_all, all_ = np.log10(rare_tokens + rare_words + 1), np.log10(tokens + kinds + 1)
+    sums = vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    tokens, kinds = sums["tokens"] + ends, sums["words"] + (ends > 0)
+    totals = bins, tokens, kinds, ends
+    known = vocabulary.select("bin", F.lit(-1).cast("long").alias("slice"), F.lit(-1).alias("kind"), "data", F.lit(0).cast("long").alias("alive"))
+    sent = rows.mapInArrow(tidy(_sliced(bins)), _SENT_DDL).unionByName(known)
+    back = _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_looked_up), _SENT_DDL)
+    level, alive, last = 0, 1, None
+    while alive:
+        level += 1
+        sent = _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(_asked(level, *totals)), _SENT_DDL)
+        path = _work.folder(spark, f"level-{level}")
+        _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_answered(level)), _SENT_DDL).write.parquet(path)
+        back = spark.read.schema(_SENT_DDL).parquet(path)
+        if last:
+            _delete(spark, last)
+        last = path
+        alive = back.agg(F.sum("alive")).first()[0]
     kind_of_key = df.schema[key].dataType.simpleString()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "slice"):
-            keys, held, n_tokens, rare, score, base, sure = pickle.loads(next(r["data"] for r in rows if r["kind"] == 0))
-            place, sums, more = _unpacked([r for r in rows if r["kind"] == 1], "<u2", "<f8", "<u4")
-            sums, more = np.bincount(place, sums, len(keys)), np.bincount(place, more, len(keys))
-            made = [held, pa.array(n_tokens), pa.array((sure + more).astype(np.int64)), pa.array(np.full(len(keys), tokens)), pa.array(base + sums - n_tokens * all_), pa.array(score + sums - rare * rare_all)]
-            yield pa.RecordBatch.from_arrays([keys, *(m.cast(kind) for m, (_, kind) in zip(made, _LAST, strict=True))], names=[key, *(n for n, _ in _LAST)])
+            state, _, _ = _resumed(rows, level, *totals)
+            made = [state["held"], pa.array(state["size"]), pa.array(state["known"].astype(np.int64)), pa.array(np.full(len(state["size"]), tokens)), pa.array(state["base"]), pa.array(state["score"])]
+            yield pa.RecordBatch.from_arrays([state["key"], *(m.cast(kind) for m, (_, kind) in zip(made, _LAST, strict=True))], names=[key, *(n for n, _ in _LAST)])
 
     return _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(gathered), f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -199,6 +199,56 @@ def test_suffix_tree_is_a_distribution():
     assert chance[entry].sum() + free[0] * symbols.chance[rest].sum() == pytest.approx(1)
 
 
+def tree_scores(rows):
+    """log10 chances of texts under the suffix tree, by dictionaries."""
+    out = lambda k: k is not None and zlib.crc32(str(k).encode()) % 7 == 2
+    texts = [(k, [*(t or "").split(), "\n"]) for k, t in rows]
+    count = Counter(w for k, ws in texts if not out(k) for w in ws)
+    n, v = sum(count.values()), len(count)
+    chance = {(i, j): (count[w] + 1) / (n + v + 1) for i, (_, ws) in enumerate(texts) for j, w in enumerate(ws)}
+    alive, level = set(chance), 0
+    while alive:
+        level += 1
+        groups = {}
+        for i, j in alive:
+            if j >= level - 1:
+                groups.setdefault(tuple(texts[i][1][j - k] if j >= k else None for k in range(1, level + 1)), []).append((i, j))
+        alive = set()
+        for places in groups.values():
+            seen = Counter(texts[i][1][j] for i, j in places if not out(texts[i][0]))
+            parent = {texts[i][1][j]: chance[i, j] for i, j in places}
+            total = sum(seen.values())
+            own = {w: c for w, c in seen.items() if c >= 2}
+            free = 1 - sum((c - 0.75) / total for c in own.values())
+            gain = sum(c * math.log((max(c - 1.75, 0) / (total - 1) if w in own else 0) / parent[w] + free) for w, c in seen.items()) if total > 1 else 0
+            if keep := total >= 2 and own and gain > 0.002 * total:
+                for i, j in places:
+                    w = texts[i][1][j]
+                    chance[i, j] = ((own[w] - 0.75) / total if w in own else 0) + free * chance[i, j]
+            if keep or level == 1 and total >= 2:
+                alive.update(places)
+    return Counter((k, round(sum(math.log10(chance[i, j]) for j in range(len(ws))), 2)) for i, (k, ws) in enumerate(texts)), level
+
+
+def test_contexts_of_any_length_and_table_size(spark):
+    held = [k for k in range(5000, 6000) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    free = [k for k in range(5000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    rows = list(zip(free, ["a x y p", "b x y q", "c z y r"] * 6, strict=False)) + [(held[0], "a x y p"), (held[1], "a x y q")]
+    rng = np.random.default_rng(1)
+    rows += [(k, " ".join(rng.choice(list("abcxypq"), 25))) for k in free[100:130]]
+    schema = "doc_id long, text string"
+    want, levels = tree_scores(rows)
+    got = by_row(lm.score(spark.createDataFrame(rows, schema)).select("doc_id", F.round("score", 2).alias("s")), "doc_id", "s")
+    assert levels > 3 and sorted(k for k, _ in got) == sorted(k for k, _ in want)
+    assert np.allclose([s for _, s in sorted(got)], [s for _, s in sorted(want)], atol=0.02)
+    # the third word before tells p from q, on a small table as on one with two million other words
+    few = spark.createDataFrame(rows[:20], schema)
+    more = spark.range(1, 21).selectExpr("-id AS doc_id", "concat_ws(' ', transform(sequence(1, 100000), i -> concat('w', i % 1000 + 1000 * id))) AS text")
+    for df in (few, few.union(more)):
+        by = {r["doc_id"]: r["score"] for r in lm.score(df).filter("doc_id > 0").collect()}
+        assert by[held[0]] - by[held[1]] > 0.5
+
+
 def test_warc(spark):
     pages = [(3, "http://a", "<p>x</p>"), (1, None, "<p>x</p>"), (2, "u\r\nv", None), (5, "e", ""), (9, "b", "é" * 4000), (4, "c", "é" * 4000), (None, "d", "<p>x</p>"), (7, "z", "only"), (1, None, "<p>x</p>")]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, k int").repartition(2)
