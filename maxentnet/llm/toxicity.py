@@ -9,13 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maxentnet.llm._text import U64, blocks, joined, prefix_hash, span_hash, tidy
+from maxentnet.llm._text import U64, blocks, joined, prefix_hash, release, span_hash, tidy
 
 #: Labelled rows that are learned from at most, toxic and ordinary: those whose hashes are least.
-MOST_TOXIC, MOST_ORDINARY = 2000, 3000
+MOST_TOXIC, MOST_ORDINARY = 3000, 5000
 ORDER = 6
-#: From this order on n-grams that occur once are dropped.
-LONG = 5
 DISCOUNT = 0.75
 #: Of a class's own counts; n-grams that so few of its documents have tell nothing of it.
 CLASS_DISCOUNT = 4.0
@@ -84,14 +82,9 @@ class Model:
             values[n - 1] = np.column_stack((seen, pooled)).astype(np.float32)
         self.key = np.concatenate(keys)
         self.count = np.concatenate(values)
-        # of histories: the sum of what follows. Long n-grams that occur once leave their share to the shorter ones, which keeps the
-        # model small; a history of such alone tells nothing
+        # of histories: the sum of what follows
         self.history, inverse = np.unique(_history(self.key), return_inverse=True)
         self.total = np.stack([np.bincount(inverse, self.count[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
-        stays = (self.key >> U64(56) < U64(LONG)) | (self.count[:, 2] > 1)
-        self.key, self.count, inverse = self.key[stays], self.count[stays], inverse[stays]
-        used, inverse = np.unique(inverse, return_inverse=True)
-        self.history, self.total = self.history[used], self.total[used]
         left = np.column_stack((np.maximum(self.count[:, :2] - CLASS_DISCOUNT, 0), np.maximum(self.count[:, 2] - DISCOUNT, 0)))
         self.freed = self.total - np.stack([np.bincount(inverse, left[:, c], len(self.history)) for c in range(3)], 1).astype(np.float32)
 
@@ -233,16 +226,18 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     alone = (seen.get(1, 0) + 1) / (seen.get(0, 0) + seen.get(1, 0) + 2)
     weights = shared = None
     if len(seen) == 2 and counts[:, 1::2].any() and counts[:, 0::2].any():
+        # one model at a time is in the driver's memory
+        shared = spark.sparkContext.broadcast(Model(words, counts[:, :2] + counts[:, 2:]))
+        release()
         halves = []
         for f in (0, 1):
             own = counts[:, 2 * (1 - f) : 2 * (1 - f) + 2]
             used = own.sum(1) > 0
-            halves.append(Model([w for w, u in zip(words, used, strict=True) if u], own[used]) if own[:, 0].any() and own[:, 1].any() else None)
-        whole = Model(words, counts[:, :2] + counts[:, 2:])
-        both = spark.sparkContext.broadcast([h or whole for h in halves])
+            halves.append(spark.sparkContext.broadcast(Model([w for w, u in zip(words, used, strict=True) if u], own[used])) if own[:, 0].any() and own[:, 1].any() else shared)
+            release()
 
         def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            readers = [Reader(m) for m in both.value]
+            readers = [Reader(h.value) for h in halves]
             for batch in batches:
                 folds = batch.column(2).to_numpy()
                 texts = lowered(batch.column(0))
@@ -255,8 +250,9 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
         fitted = learn.mapInArrow(tidy(featured), "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
         weights = logistic(np.stack([fitted.column(f"f{i}").to_numpy() for i in range(FEATURES)], 1), fitted.column("y").to_numpy())
-        both.destroy()
-        shared = spark.sparkContext.broadcast(whole)
+        for h in halves:
+            if h is not shared:
+                h.destroy()
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(shared.value) if weights is not None else None

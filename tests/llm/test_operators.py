@@ -337,6 +337,15 @@ def test_toxicity(spark):
     assert len(alone) == 1 and alone[0]["score"] < 0.05
 
 
+def test_toxicity_keeps_all_counts():
+    assert (toxicity.MOST_TOXIC, toxicity.MOST_ORDINARY) == (3000, 5000)
+    words = [b"abcdefgh", b"abcxyz"]
+    model = toxicity.Model(words, np.array([[1, 0], [0, 1]]))
+    for gram in toxicity.grams(*toxicity.spelled(words)):
+        used = gram[(gram > 0) & (toxicity.spelled(words)[0] != toxicity.BEGIN)]
+        assert np.isin(used, model.key).all() and np.isin(toxicity._history(used), model.history).all()
+
+
 def test_suffix_arrays(spark):
     texts = [b"", b"a", b"aaaa", b"banana", b"mississippi", b"ab" * 50, b"aab" * 40 + b"aa", bytes(RNG.integers(0, 256, 300, np.uint8)), bytes(RNG.integers(97, 99, 200, np.uint8))]
     texts += [bytes(RNG.integers(97, 99, n, np.uint8)) for n in range(1, 40)]
