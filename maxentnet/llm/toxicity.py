@@ -196,7 +196,7 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     Learns from labelled rows that are not held out, MOST_TOXIC and MOST_ORDINARY of them at most. Words are compared letter by
     letter under both models; a logistic function of the features, fitted on halves that the models of the other halves score, turns
-    them into a chance. A null text is an empty one, with the features of no words; a null key is never held out nor labelled; of
+    them into a chance at the labels' own share of toxic ones, whatever the caps leave. A null text is an empty one, with the features of no words; a null key is never held out nor labelled; of
     several labels for a key the largest holds; repeated rows get repeated results; other columns are ignored. With labels of
     one class only (or none), every score is the share of toxic labels, one of each added.
     """
@@ -222,8 +222,9 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     table = learn.mapInArrow(tidy(count), "word binary, c int, n long").groupBy("word").agg(*(F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in range(4))).orderBy("word").toArrow()
     words = table.column("word").to_pylist()
     counts = np.stack([table.column(f"n{c}").to_numpy() for c in range(4)], 1) if words else np.zeros((0, 4))
-    seen = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    alone = (seen.get(1, 0) + 1) / (seen.get(0, 0) + seen.get(1, 0) + 2)
+    every = {r["y"]: r["n"] for r in known.filter(F.col("y").isin(0, 1)).groupBy("y").agg(F.count("*").alias("n")).collect()}
+    seen = {y: min(n, MOST_TOXIC if y else MOST_ORDINARY) for y, n in every.items()}
+    alone = (every.get(1, 0) + 1) / (every.get(0, 0) + every.get(1, 0) + 2)
     weights = shared = None
     if len(seen) == 2 and counts[:, 1::2].any() and counts[:, 0::2].any():
         # one model at a time is in the driver's memory
@@ -250,6 +251,8 @@ def score(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
         fitted = learn.mapInArrow(tidy(featured), "y int, " + ", ".join(f"f{i} double" for i in range(FEATURES))).toArrow()
         weights = logistic(np.stack([fitted.column(f"f{i}").to_numpy() for i in range(FEATURES)], 1), fitted.column("y").to_numpy())
+        # the caps change the classes' shares; a score is a chance at the labels' own
+        weights[0] += np.log(every[1] / every[0]) - np.log(seen[1] / seen[0])
         for h in halves:
             if h is not shared:
                 h.destroy()

@@ -346,6 +346,13 @@ def test_toxicity_keeps_all_counts():
         assert np.isin(used, model.key).all() and np.isin(toxicity._history(used), model.history).all()
 
 
+def test_toxicity_scores_at_the_labels_own_share(spark, monkeypatch):
+    df = spark.createDataFrame([(i, prose(20)) for i in range(600)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")  # the texts tell nothing
+    monkeypatch.setattr(toxicity, "MOST_ORDINARY", 40)
+    assert abs(toxicity.score(df, lab).agg(F.median("score")).first()[0] - 0.1) < 0.1
+
+
 def test_suffix_arrays(spark):
     texts = [b"", b"a", b"aaaa", b"banana", b"mississippi", b"ab" * 50, b"aab" * 40 + b"aa", bytes(RNG.integers(0, 256, 300, np.uint8)), bytes(RNG.integers(97, 99, 200, np.uint8))]
     texts += [bytes(RNG.integers(97, 99, n, np.uint8)) for n in range(1, 40)]
