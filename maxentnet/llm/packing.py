@@ -36,10 +36,10 @@ def coder(path: str):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"] for x in spec.get("added_tokens", [])}
+        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
         to_byte = byte_characters()
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        _coders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _coders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
     return _coders[path]
 
 
@@ -97,13 +97,13 @@ def pieces(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wi
     """Tokenizes whole texts, appends END, cuts full windows: key, start, length, ids_crc32, doc_tokens and, if asked, the ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = coder(path).encode_ordinary
+        encode = coder(path).encode
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 row, start, length, crc, total, held = [], [], [], [], [], []
                 for i, x in enumerate(part.column(1).to_pylist()):
-                    tokens = np.array([*encode(x or ""), END], "<u4")
+                    tokens = np.array([*encode(x or "", allowed_special="all"), END], "<u4")
                     for s in range(0, len(tokens), window):
                         piece = tokens[s : s + window]
                         row.append(i)

@@ -297,6 +297,15 @@ def test_packing(docs, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_packing_reads_added_tokens(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    tok = tokenizers.Tokenizer.from_file(tokenizer_path())
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(df, tokenizer_path(), ids=True).collect()}
+    assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)} and 50256 in got[0]
+
+
 def test_best_fit_equals_a_plain_search():
     lengths = RNG.integers(1, 1025, 700)
     at, offset = packing.best_fit(lengths)
