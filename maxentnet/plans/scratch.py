@@ -22,7 +22,7 @@ def folder(spark: SparkSession, name: str) -> str:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = kept.get() if kept.isDefined() else None
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("Set spark.checkpoint.dir to a folder that the driver and all executors share.")
         base = "file://" + tempfile.mkdtemp(prefix="maxentnet-")
         spark.sparkContext.setCheckpointDir(base)
