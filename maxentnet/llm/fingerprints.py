@@ -9,16 +9,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, mix, powers
+from maxentnet.llm._text import U64, mix, powers, tidy
 
-#: Names of phrases kept in a fingerprint: the least ones, a sample of all that is the same for equal phrases.
-KEPT = 64
-#: Levels whose names a fingerprint samples; phrases of these are about 10 and 30 characters long.
-LEVELS = (2, 3)
-TOP = 16
-_LEVEL = [mix(np.array([x], U64))[0] for x in range(1, TOP + 2)]
+#: Names kept in a fingerprint unless told otherwise: the least ones, a sample of all that is the same for equal phrases. A likeness of
+#: two samples is off from that of all names by sqrt(x (1 - x) / SAMPLE) in the mean of squares, 0.0625 at most.
+SAMPLE = 64
+#: The lowest level whose names count; its phrases are about 10 characters long, those of each level above 3 times as long.
+LOWEST = 2
+_RUN = mix(np.array([1], U64))[0]
+
+
+def _level(level: int) -> np.uint64:
+    return mix(np.array([level + 1], U64))[0]
 
 
 def _lowest(x: np.ndarray) -> np.ndarray:
@@ -32,7 +37,8 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
     Repeats of a name become one block, named by it and its length. Neighbours then differ, and three rounds of coin tossing
     (twice the lowest bit in which a label differs from the one before, plus that bit) leave labels below 8 that still differ; a
-    phrase begins at each label larger than both neighbours.
+    phrase begins at each label larger than both neighbours (beyond a sequence's ends there are smaller ones), but for the second
+    label of a sequence: phrases have two labels at least, the last one aside, so that each level halves a sequence.
     """
     head = np.empty(len(names), bool)
     head[0] = True
@@ -41,7 +47,7 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     at = np.flatnonzero(head)
     runs = np.diff(np.append(at, len(names)))
     names, first = names[at], first[at]
-    names = np.where(runs > 1, mix(names + _LEVEL[0] * runs.astype(U64)), names)
+    names = np.where(runs > 1, mix(names + _RUN * runs.astype(U64)), names)
     label = names
     for _ in range(3):
         differ = np.empty_like(label)
@@ -50,9 +56,11 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         bit = _lowest(differ)
         bit[first] = 0
         label = U64(2) * bit + ((label >> bit) & U64(1))
-    low = np.full(1, -1)
     label = label.astype(np.int64)
-    begins = (label > np.concatenate((low, label[:-1]))) & (label > np.concatenate((label[1:], low)))
+    none = np.full(1, -1)
+    after = np.where(np.append(first[1:], True), -1, np.concatenate((label[1:], none)))
+    begins = (label > np.concatenate((none, label[:-1]))) & (label > after)
+    begins[1:] &= ~first[:-1]
     begins |= first
     start = np.flatnonzero(begins)
     power, inverse = powers(len(names) + 1)
@@ -62,42 +70,39 @@ def parse(names: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(U64)), first[start]
 
 
-def fingerprints(texts: list[str]) -> list[np.ndarray]:
-    """Sorted least names of each text; a text too short for LEVELS gives the name of its whole, an empty text none."""
+def fingerprints(texts: list[str], sample: int | None = SAMPLE) -> list[np.ndarray]:
+    """Sorted names of each text's phrases, from level LOWEST up to the one phrase that is the whole text; the least ``sample`` (None: all). An empty text has none. Each text's are its own, whatever stands beside it."""
     out: list[np.ndarray] = []
     begin = size = 0
     for i, x in enumerate([*texts, None]):
         if x is None or size and size + len(x) > 1 << 20:
-            out += _block(texts[begin:i])
+            out += _block(texts[begin:i], sample)
             begin, size = i, 0
         size += len(x or "")
     return out
 
 
-def _block(texts: list[str]) -> list[np.ndarray]:
+def _block(texts: list[str], sample: int | None) -> list[np.ndarray]:
     out = [np.zeros(0, U64)] * len(texts)
-    full = [i for i, x in enumerate(texts) if x]
-    if not full:
+    owner = np.array([i for i, x in enumerate(texts) if x], np.int64)
+    if not len(owner):
         return out
-    sizes = np.array([len(texts[i]) for i in full])
-    names = mix(np.frombuffer("".join(texts[i] for i in full).encode("utf-32-le", "surrogatepass"), "<u4").astype(U64) + U64(1))
+    sizes = np.array([len(texts[i]) for i in owner])
+    names = mix(np.frombuffer("".join(texts[i] for i in owner).encode("utf-32-le", "surrogatepass"), "<u4").astype(U64) + U64(1))
     first = np.zeros(len(names), bool)
     first[np.concatenate(([0], np.cumsum(sizes)[:-1]))] = True
-    owner = np.array(full)
-    taken, of = [], []
-    for level in range(1, TOP + 1):
+    taken, of, level = [], [], 0
+    while len(names):
+        level += 1
         names, first = parse(names, first)
         counts = np.diff(np.append(np.flatnonzero(first), len(names)))
-        single = counts == 1  # ends here: its whole has a name
-        keep = np.repeat((single | (level == TOP)) if level not in LEVELS else np.ones(len(counts), bool), counts)
-        taken.append(mix(names[keep] + _LEVEL[level]) if level in LEVELS else names[keep])
-        of.append(np.repeat(owner, counts)[keep])
-        go = np.repeat(~single, counts)
-        if level in LEVELS and level < max(LEVELS):
-            go[:] = True  # a short text has its names on all of LEVELS
-        names, first, owner = names[go], first[go], owner[~single] if not (level in LEVELS and level < max(LEVELS)) else owner
-        if not len(names) or level >= max(LEVELS):
-            break
+        if level < LOWEST:
+            continue
+        taken.append(mix(names + _level(level)))
+        of.append(np.repeat(owner, counts))
+        going = counts > 1
+        go = np.repeat(going, counts)
+        names, first, owner = names[go], first[go], owner[going]
     names, of = np.concatenate(taken), np.concatenate(of)
     order = np.lexsort((names, of))
     names, of = names[order], of[order]
@@ -106,15 +111,15 @@ def _block(texts: list[str]) -> list[np.ndarray]:
     names, of = names[new], of[new]
     at = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
     for a, b in zip(at, np.append(at[1:], len(of)), strict=True):
-        out[of[a]] = names[a : min(b, a + KEPT)]
+        out[of[a]] = names[a : b if sample is None else min(b, a + sample)]
     return out
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of common names among the least KEPT of both: about that of all their names. Two without names are alike."""
+def likeness(a: np.ndarray, b: np.ndarray, sample: int | None = SAMPLE) -> float:
+    """Share of common names among the least ``sample`` of both (None: of all): about, or exactly, that of all their names. Two without names are alike."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    both = np.union1d(a, b)[:KEPT]
+    both = np.union1d(a, b)[:sample]
     return float((np.intersect1d(a, b, assume_unique=True) <= both[-1]).sum() / len(both))
 
 
@@ -127,42 +132,74 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and the fingerprint of each text, in no shuffle; a null text is an empty one, repeated rows give repeated results."""
+def fingerprint(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int | None = SAMPLE) -> DataFrame:
+    """key and the fingerprint of each text, in no shuffle; a null text is an empty one, repeated rows give repeated results, keys are of any kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = fingerprints([x or "" for x in batch.column(1).to_pylist()])
+            found = fingerprints([x or "" for x in batch.column(1).to_pylist()], sample)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(text_of, found), pa.string())], names=[key, "fingerprint"])
 
     source = df.select(key, text)
     return source.mapInArrow(run, f"`{key}` {source.schema[key].dataType.simpleString()}, fingerprint string")
 
 
-def against_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _ranges(rows: DataFrame, count: int):
+    """A Column function of (k, h): the range of a row in the order of k from the largest on, null ones last and by h; and the range that needs the row as its end, if any.
+
+    The cuts are numbers that the driver holds, a few for each of ``count`` ranges. Equal keys are in one range, null ones in as
+    many as their number asks for.
+    """
+    cuts = rows.select("k").approxQuantile("k", [i / count for i in range(1, count)], 1 / (4 * count)) if count > 1 else []
+    cuts = np.array(sorted({int(x) for x in cuts}), np.int64)
+    n, nulls = rows.agg(F.count("*"), F.count_if(F.col("k").isNull())).first()
+    parts = -(-nulls * count // max(n, 1))  # of the null keys, whose hashes are spread evenly
+
+    def place(k: pa.Array, h: np.ndarray) -> np.ndarray:
+        empty = k.is_null().to_numpy(zero_copy_only=False)
+        known = k.fill_null(0).to_numpy()
+        high = ((h >> 32) + (1 << 31)) * parts >> 32  # h from its least value on, as one of ``parts``
+        return np.where(empty, len(cuts) + 1 + high, len(cuts) - np.searchsorted(cuts, known, side="right"))
+
+    def first_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place(batch.column(0), batch.column(1).to_numpy()).astype(np.int32)), batch.column(0), batch.column(1)], names=["part", "k", "h"])
+
+    tops = rows.select("k", "h").mapInArrow(first_of, "part int, k long, h long").groupBy("part").agg(F.max("k").alias("k"), F.min("h").alias("h")).collect()  # a row for each range
+    tops = {r["part"]: (r["k"], r["h"]) for r in tops}
+    filled = sorted(tops)
+    before = np.zeros(max(filled, default=0) + 1, np.int32)
+    top = np.zeros(len(before), np.int64)
+    for i, p in enumerate(filled):
+        before[p], top[p] = filled[i - 1], tops[p][1] if tops[p][0] is None else tops[p][0]
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            k, h = batch.column(0), batch.column(1).to_numpy()
+            part = place(k, h)
+            leads = np.where(k.is_null().to_numpy(zero_copy_only=False), h, k.fill_null(0).to_numpy()) == top[part]
+            again = pa.array(np.flatnonzero(leads))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32)), pa.array(np.zeros(len(part), np.int32))], names=["k", "h", "t", "part", "ahead"])
+            yield pa.RecordBatch.from_arrays([*(c.take(again) for c in batch.columns), pa.array(before[part[leads]]), pa.array(np.ones(len(again), np.int32))], names=["k", "h", "t", "part", "ahead"])
+
+    return rows.select("k", "h", "t").mapInArrow(dealt, "k long, h long, t string, part int, ahead int")
+
+
+def against_next(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int | None = SAMPLE) -> DataFrame:
     """Each text against its edited form and against the next document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next smaller whole-number key (null keys last, equal keys by text; after the last the first).
-    A null text is an empty one; an empty table gives none; other columns are ignored. Rows are dealt by ranges of the key, each
-    with a copy of the row that begins the next range, and read in order.
+    The next document is that of the next smaller key (null keys last; equal keys by a hash of the text, then the text; after the last
+    the first). Keys are whole numbers; others raise a TypeError. A null text is an empty one; an empty table gives none; other columns
+    are ignored. Rows are dealt by ranges of the key, each with a copy of the row that begins the next range, and read in order.
     """
+    kind = df.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"The column {key} must hold whole numbers, not {kind.simpleString()}.")
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
     count = _work.parts(spark)
-    cuts = rows.select("k").approxQuantile("k", [i / count for i in range(1, count)], 1 / (4 * count)) if count > 1 else []
-    cuts = sorted({int(x) for x in cuts})
-    # range 0 has the largest keys, the range after all cuts has the null keys
-    part = F.when(F.col("k").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(F.array(*(F.lit(x).cast("long") for x in cuts)), lambda c: c > F.col("k"))) if cuts else F.lit(0))
-    rows = rows.withColumn("part", part.cast("int"))
-    tops = {r["part"]: r["top"] for r in rows.groupBy("part").agg(F.max("k").alias("top")).collect()}  # a row for each range
-    filled = sorted(tops)
-    before = {p: filled[i - 1] for i, p in enumerate(filled)}
-    leads = [F.when((F.col("part") == p) & F.col("k").eqNullSafe(F.lit(tops[p]).cast("long")), F.lit(before[p])) for p in filled]
-    lead = F.coalesce(*leads) if leads else F.lit(None).cast("int")
-    own = F.struct(F.col("part").alias("part"), F.lit(0).alias("ahead"))
-    dealt = rows.withColumn("to", F.explode(F.when(lead.isNull(), F.array(own)).otherwise(F.array(own, F.struct(lead.alias("part"), F.lit(1).alias("ahead"))))))
-    dealt = dealt.select("k", "t", F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"))
-    dealt = dealt.repartition(count, "part").sortWithinPartitions("part", "ahead", F.col("k").desc_nulls_last(), "t")
+    dealt = _ranges(rows, count).repartition(count, "part").sortWithinPartitions("part", "ahead", F.col("k").desc_nulls_last(), "h", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of one range, in order; the last one waits for its next
@@ -176,7 +213,7 @@ def against_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                 return
             texts = [t for _, t in held]
             other = [edited(a, b) for a, b in zip(texts, texts[1:], strict=False)]
-            mine, theirs = fingerprints(texts), fingerprints(other)
+            mine, theirs = fingerprints(texts, sample), fingerprints(other, sample)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([k for k, _ in todo], pa.int64()),
@@ -184,8 +221,8 @@ def against_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in other], pa.string()),
                     pa.array(list(map(text_of, mine[:-1])), pa.string()),
                     pa.array(list(map(text_of, theirs)), pa.string()),
-                    pa.array([likeness(a, b) for a, b in zip(mine, theirs, strict=False)], pa.float64()),
-                    pa.array([likeness(a, b) for a, b in zip(mine, mine[1:], strict=False)], pa.float64()),
+                    pa.array([likeness(a, b, sample) for a, b in zip(mine, theirs, strict=False)], pa.float64()),
+                    pa.array([likeness(a, b, sample) for a, b in zip(mine, mine[1:], strict=False)], pa.float64()),
                 ],
                 names=["k", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
             )
@@ -205,5 +242,6 @@ def against_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                     if over or size > 1 << 20:
                         yield from flush(over)
 
-    out = dealt.mapInArrow(run, "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    return out.withColumnRenamed("k", key)
+    dealt = dealt.select("k", "t", "part", "ahead")
+    out = dealt.mapInArrow(tidy(run), "k long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.select(F.col("k").cast(kind).alias(key), *out.columns[1:])

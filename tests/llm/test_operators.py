@@ -8,9 +8,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from maxentnet.llm import fingerprints, licenses, lm, media, mixing, ngram_join, packing, suffix_array, suffix_dedup, toxicity, warc
+from maxentnet.llm._text import mix
 from maxentnet.llm.components import components
 from maxentnet.llm.queries import tokenizer_path
 
@@ -141,23 +143,88 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def plain_names(text):
+    """Names of all phrases of a text by a parser of one symbol at a time."""
+    full = (1 << 64) - 1
+    one = lambda x: int(mix(np.array([x & full], np.uint64))[0])
+    base, out, level = 0x9E3779B97F4A7C15, set(), 0
+    names = [one(ord(c) + 1) for c in text]
+    while names and (level < 2 or len(names) > 1):
+        level += 1
+        runs = []
+        for x in names:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [one(x + one(1) * n) if n > 1 else x for x, n in runs]
+        label = names
+        for _ in range(3):
+            tossed = [label[0] & 1]
+            for a, b in zip(label, label[1:], strict=False):
+                bit = ((a ^ b) & -(a ^ b)).bit_length() - 1
+                tossed.append(2 * bit + (b >> bit & 1))
+            label = tossed
+        padded = [*label, -1]
+        begins = [0] + [i for i in range(2, len(names)) if label[i] > label[i - 1] and label[i] > padded[i + 1]]
+        names = [one(sum(names[i] * pow(base, i - a, 1 << 64) for i in range(a, b)) + b - a) for a, b in zip(begins, [*begins[1:], len(names)], strict=True)]
+        if level >= fingerprints.LOWEST:
+            out |= {one(x + one(level + 1)) for x in names}
+    return sorted(out)
+
+
 def test_fingerprints(docs, none):
     got = fingerprints.against_next(docs).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), np.int64(np.uint64(xxhash.xxh64((r[1] or "").encode(), 42).intdigest()))))
     want = Counter()
     for a, b in zip(order, [*order[1:], order[0]], strict=True):
         x, y = a[1] or "", b[1] or ""
-        want[a[0], len(x), hashlib.sha256(fingerprints.edited(x, y).encode()).hexdigest()] += 1
-    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+        e = fingerprints.edited(x, y)
+        own, other, following = (np.array(plain_names(t), np.uint64)[:64] for t in (x, e, y)) if len(x) + len(y) < 5000 else (fingerprints.fingerprints([t])[0] for t in (x, e, y))
+        want[a[0], len(x), hashlib.sha256(e.encode()).hexdigest(), fingerprints.text_of(own), fingerprints.text_of(other), fingerprints.likeness(own, other), fingerprints.likeness(own, following)] += 1
+    assert Counter(tuple(r) for r in got) == want
     by = {r["doc_id"]: r for r in got}
     assert by[1]["fingerprint"] == by[2]["fingerprint"] and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
     assert by[2]["near_next"] == 1.0 and 0.1 < by[12]["near_edited"] < 0.7
     assert fingerprints.against_next(none).count() == 0 and fingerprints.fingerprint(docs).count() == len(ROWS)
+    with pytest.raises(TypeError, match="whole numbers"):
+        fingerprints.against_next(docs.withColumn("doc_id", F.col("doc_id").cast("string")))
+    small = docs.filter("doc_id < 1000").select(F.col("doc_id").cast("int").alias("doc_id"), "text")
+    assert fingerprints.against_next(small).schema["doc_id"].dataType.simpleString() == "int"
+
+
+def test_next_rows_over_many_ranges(spark):
+    rows = [(i % 37 if i % 5 else None, f"{i} {prose(3)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = [(k, t, np.int64(np.uint64(xxhash.xxh64(t.encode(), 42).intdigest()))) for k, t in rows]
+    order = sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    want = Counter((a[0], hashlib.sha256(fingerprints.edited(a[1], b[1]).encode()).hexdigest()) for a, b in zip(order, [*order[1:], order[0]], strict=True))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert by_row(fingerprints.against_next(df), "doc_id", "edited_sha256") == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_fingerprints_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(7)
+    texts = [t or "" for _, t, _ in ROWS[:20]] + ["".join(rng.choice(list("ab c"), rng.integers(0, 60))) for _ in range(200)]
+    alone = [fingerprints.fingerprints([t])[0].tolist() for t in texts]
+    for _ in range(3):
+        order = rng.permutation(len(texts))
+        assert [x.tolist() for x in fingerprints.fingerprints([texts[i] for i in order])] == [alone[i] for i in order]
+    for t in texts[20:]:
+        assert fingerprints.fingerprints([t], None)[0].tolist() == plain_names(t)
+    every = fingerprints.fingerprints([LONG, edited(LONG, *range(0, 30_000, 40))], None)
+    some = [x[: fingerprints.SAMPLE] for x in every]
+    exact = fingerprints.likeness(*every, None)
+    assert 0.2 < exact < 0.9 and abs(fingerprints.likeness(*some) - exact) < 0.19  # three standard errors
 
 
 def test_phrases_do_not_depend_on_offset():
     a, b = fingerprints.fingerprints([LONG[:3000], "shift" + LONG[:3000] + "end"])
-    assert fingerprints.likeness(a, b) > 0.85 and fingerprints.likeness(a, fingerprints.fingerprints([LONG[9000:12000]])[0]) < 0.2
+    assert fingerprints.likeness(a, b) > 0.8 and fingerprints.likeness(a, fingerprints.fingerprints([LONG[9000:12000]])[0]) < 0.2
     assert fingerprints.fingerprints(["", "a", "aaaa"])[0].size == 0
 
 
