@@ -35,8 +35,10 @@ FREEDOM = {"mit": 1.0, "isc": 1.0, "bsd": 1.0, "apache": 1.0, "cc0": 1.0, "unlic
 UNKNOWN = 0.5
 #: A to Z become small, the other ASCII characters that stand in no word become spaces.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-_TAG_IN_TEXT = re.compile(r"spdx[^0-9a-z]{1,8}license[^0-9a-z]{1,8}identifier[ \t]*[:=]?[ \t]*([^\n]*)", re.I)
+_WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+_AFTER_TAG = re.compile(rb"[ \t]*[:=]?[ \t]*([^\n]*)")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
+_BLANK = re.compile(r"[ \t]*")
 _BINDS = {"or": 1, "and": 2, "with": 3}
 
 
@@ -51,12 +53,12 @@ def automaton(phrases: dict[str, tuple]) -> ahocorasick.Automaton:
 
 def to_postfix(text: str) -> list[str]:
     """Shunting-yard: the longest well-formed licence expression at the start of ``text``, operators after their operands; [] if there is none."""
-    best: list[str] = []
+    best: tuple[int, list[str]] = 0, []  # so many of ``out``, then these operators
     out: list[str] = []
     ops: list[str] = []
     operand = False  # whether the last token ended an operand
     at = 0
-    while m := _TOKEN.match(text, at + len(text[at:]) - len(text[at:].lstrip(" \t"))):
+    while m := _TOKEN.match(text, _BLANK.match(text, at).end()):
         token, low, at = m[0], m[0].lower(), m.end()
         if low in _BINDS:
             if not operand:
@@ -81,8 +83,8 @@ def to_postfix(text: str) -> list[str]:
             out.append(token.rstrip(".:-"))
             operand = True
         if operand and "(" not in ops:
-            best = out + ops[::-1]
-    return best
+            best = len(out), ops[::-1]
+    return out[: best[0]] + best[1]
 
 
 def family(identifier: str) -> str:
@@ -115,15 +117,24 @@ class Scanner:
                 phrases.setdefault(phrase, []).append((kind, label))
         self.find = automaton({k: (v,) for k, v in phrases.items()})
 
+    @staticmethod
+    def after(tags: list[tuple[int, int]], line: str, text: bytes) -> Iterator[str]:
+        """What stands in the text after each tag, up to the next tag or the line's end. Tags are the places of the spaces around them in the line of words."""
+        spaces = {m.start(): i for i, m in enumerate(re.finditer(" ", line))}  # place of a space: the word after it
+        spans = [m.span() for m in _WORD.finditer(text.translate(_TO_WORDS))]
+        places = sorted((spans[spaces[a]][0], spans[spaces[b] - 1][1]) for a, b in tags)
+        for (_, end), (following, _) in zip(places, [*places[1:], (len(text), 0)], strict=True):
+            yield _AFTER_TAG.match(text, end, max(end, following))[1].decode("utf-8", "replace")
+
     def __call__(self, text: bytes) -> dict:
         found = text.translate(_TO_WORDS).split()
         line = f" {b' '.join(found).decode('utf-8', 'surrogateescape')} "
-        n_base, first, last, tagged = 0, None, None, False
+        n_base, first, last, tags = 0, None, None, []
         base, labels, freedom = set(), set(), []
         for end, (size, uses) in self.find.iter(line):
             for kind, label in uses:
                 if kind == "tag":
-                    tagged = True
+                    tags.append((end - size, end))
                     continue
                 labels.add(label)
                 if kind == "base":
@@ -133,13 +144,12 @@ class Scanner:
                     first = start if first is None else min(first, start)
                     last = start if last is None else max(last, start)
         expressions = []
-        if tagged:
-            for m in _TAG_IN_TEXT.finditer(text.decode("utf-8", "replace")):
-                if postfix := to_postfix(m[1]):
-                    names, value = evaluate(postfix)
-                    labels |= names
-                    freedom.append(value)
-                    expressions.append(" ".join(postfix))
+        for stated in self.after(tags, line, text) if tags else ():
+            if postfix := to_postfix(stated):
+                names, value = evaluate(postfix)
+                labels |= names
+                freedom.append(value)
+                expressions.append(" ".join(postfix))
         freedom += [FREEDOM.get(family(x), UNKNOWN) for x in labels] if not freedom else []
         return {
             "n_words": len(found),
@@ -162,7 +172,8 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", base: dict[str,
     """One row per input row, in no shuffle: word count, places of the base phrases, labels of base phrases, added notices and tagged expressions.
 
     n_words, n_base, first_word, last_word count words of the whole text (a null is an empty text: 0, 0, null, null, "", "");
-    labels are distinct, sorted and comma-joined; score is the confidence that the text states a licence: 0 without any sign, and
+    labels are distinct, sorted and comma-joined. An expression is the longest well-formed one after an identifier tag (all that the
+    automaton finds, whatever separates their words), before the next tag and the line's end. score is the confidence that the text states a licence: 0 without any sign, and
     each base place or added label halves its distance from 1, a parsed expression quarters it. freedom is that of the strictest
     notice or expression, null if none; expressions are in postfix order. Null keys pass through, repeated rows give repeated
     results, an empty table none, other columns are ignored.

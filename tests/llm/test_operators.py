@@ -85,6 +85,22 @@ def test_licence_expressions(text, postfix):
     assert licenses.to_postfix(text) == postfix
 
 
+@pytest.mark.parametrize(
+    ("text", "labels", "expressions"),
+    [
+        ("SPDX-License-Identifier: MIT SPDX-License-Identifier: Apache-2.0", "apache-2.0,mit", ["MIT", "Apache-2.0"]),
+        ("x spdx" + "-" * 10 + "LICENSE" + " \n" * 20 + "Identifier = (MIT or ISC) */\nMIT", "isc,mit", ["MIT ISC or"]),
+        ("SPDX License Identifier\nMIT", "", []),
+        ("é SPDX-License-Identifier: ISC é\n" * 3, "isc", ["ISC"] * 3),
+        ("spdx-license-identifierx: MIT", "", []),
+        ("SPDX-License-Identifier: " + " or ".join(["MIT"] * 20_000), "mit", [" ".join(["MIT", *["MIT or"] * 19_999])]),
+    ],
+)
+def test_licence_tags(text, labels, expressions):
+    got = licenses.Scanner()(text.encode())
+    assert (got["labels"], got["expressions"]) == (labels, expressions)
+
+
 def test_media(spark, docs, none):
     got = by_row(media.media_columns(docs), "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32")
     want = Counter()
