@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maxentnet.plans.scratch import folder, written
+from maxentnet.plans.scratch import folder, forget, written
 
-__all__ = ["by_bin", "folder", "parts", "written"]
+__all__ = ["by_bin", "folder", "forget", "parts", "written"]
 
 
 def parts(spark: SparkSession) -> int:

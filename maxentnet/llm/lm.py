@@ -7,8 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
@@ -21,11 +22,12 @@ ENTRY = 2
 #: Least gain (nats an occurrence, each occurrence scored by the others) over the next shorter context.
 DIVERGENCE = 0.002
 DISCOUNT = 0.75
-RARE, END, BEGIN, FIRST = 0, 1, 2, 3
 #: In place of a word's hash: what follows and what precedes a text.
 _END, _BEGIN = U64(1), U64(2)
 _ODD = U64(0x9E3779B97F4A7C15)
-_SLICE = 2 << 20
+#: Bytes of text in a slice, about, and in the part of it whose words are hashed at once.
+_SLICE = 4 << 20
+_PART = 1 << 20
 
 
 def held_out(key: str):
@@ -85,7 +87,7 @@ def _word_counts(bins: int):
         key, count, fresh = np.zeros(0, U64), np.zeros(0, np.int64), []
         for batch in portions(batches):
             texts = encoded(batch.column(0))
-            for a, b in blocks(texts, _SLICE):
+            for a, b in blocks(texts, _PART):
                 fresh.append(np.unique(words(texts[a:b])[0], return_counts=True))
                 if sum(len(k) for k, _ in fresh) > 1 << 20:
                     key, count = _add_up(np.concatenate([key, *(k for k, _ in fresh)]), np.concatenate([count, *(c for _, c in fresh)]))
@@ -105,17 +107,6 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([(rows[0]["bin"], key.tobytes() + count.tobytes(), len(key), int(count.sum()))], *_BIN, ("words", pa.int64()), ("tokens", pa.int64()))
 
 
-class Symbols:
-    """Chances of symbols after no context, of a vocabulary in one table."""
-
-    def __init__(self, key: np.ndarray, count: np.ndarray, tokens: int, ends: int):
-        order = np.argsort(key)
-        self.key, self.count = key[order], count[order]
-        self.counts = np.concatenate(([tokens - ends - int(self.count.sum()), ends, 0], self.count)).astype(np.float64)
-        self.chance = (self.counts + 1) / (tokens + len(self.counts) - 1)
-        self.chance[BEGIN] = 1e-300  # never a next symbol
-
-
 def _starts(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
 
@@ -130,8 +121,8 @@ def _parts_of(group: np.ndarray, rows: int = 1 << 18) -> Iterator[slice]:
         at = to
 
 
-def grown(context: np.ndarray, next_: np.ndarray, count: np.ndarray, parent: np.ndarray, least_context: float, least_entry: float):
-    """One level of the tree: of contexts (in order) and the counts of their next symbols, those to keep.
+def grown(context: np.ndarray, count: np.ndarray, parent: np.ndarray, least_context: float, least_entry: float):
+    """One level of the tree: of contexts (in order, a row for each next symbol) and the counts of their next symbols, those to keep.
 
     ``parent`` is each next symbol's chance in the next shorter context. A kept entry has its discounted share and the part of the freed
     share that its parent gives it; all else is the freed share times the parent's chance. A context stays if it is frequent and, each
@@ -154,6 +145,8 @@ def grown(context: np.ndarray, next_: np.ndarray, count: np.ndarray, parent: np.
 
 _SENT = (("bin", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("alive", pa.int64()))
 _SENT_DDL = "bin int, slice long, kind int, data binary, alive long"
+#: Kinds of rows: a bin's vocabulary, a slice's texts, its state between levels, what is asked of a bin or answered to a slice.
+VOCABULARY, TEXTS, STATE, ASKED = -1, 0, 1, 2
 
 
 def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -161,151 +154,236 @@ def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows[at : at + 256], *_SENT)
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: equal bytes stand together, which packs well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
+
+
+def _packed_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _unpacked_bytes(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _question(context: np.ndarray, size: np.ndarray, next_: np.ndarray, chance: np.ndarray, count: np.ndarray) -> bytes:
+    """Contexts (48 bits of each), how many next symbols each has, and these with 32 bits of their hashes, their chances in the next shorter context and their training occurrences."""
+    six = context.view(np.uint8).reshape(len(context), 8)[:, :6].T.tobytes()
+    body = b"".join((six, *map(_planes, (size.astype("<u4"), next_, chance, count.astype("<u4")))))
+    return np.array([len(context), len(next_)], "<u4").tobytes() + _packed_bytes(body)
+
+
+def _asked_of(data: bytes) -> tuple[np.ndarray, ...]:
+    contexts, n = np.frombuffer(data, "<u4", 2).tolist()
+    body = _unpacked_bytes(data[8:])
+    eight = np.zeros((contexts, 8), np.uint8)
+    eight[:, :6] = np.frombuffer(body, np.uint8, 6 * contexts).reshape(6, contexts).T
+    at = 6 * contexts
+    size = _from_planes(body, "<u4", contexts, at)
+    at += 4 * contexts
+    return eight.view("<u8").reshape(contexts), size, *(_from_planes(body, kind, n, at + 4 * n * i) for i, kind in enumerate(("<u4", "<f4", "<u4")))
+
+
 def _sliced(bins: int):
-    """Texts -> kind 0: a slice's documents and symbols, an END after each text; kind 1: its distinct symbols by bin, packed."""
+    """Texts -> TEXTS: a slice's documents and symbols, an END after each text; ASKED: its distinct symbols by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for batch in portions(batches):
+        for batch in portions(batches, 4096):
             texts = encoded(batch.column(2))
             for a, b in blocks(texts, _SLICE):
-                hashes, first = words(texts[a:b])
-                size = np.diff(first) + 1
-                symbol = np.full(int(size.sum()), _END)
-                word = np.ones(len(symbol), bool)
-                word[np.cumsum(size) - 1] = False
-                symbol[word] = hashes[first[0] : first[-1]]
-                distinct, index = np.unique(symbol, return_inverse=True)
-                state = {"key": batch.column(0).slice(a, b - a), "held": batch.column(1).slice(a, b - a), "size": size, "words": distinct, "index": index.astype("<u2" if len(distinct) < 1 << 16 else "<u4")}
+                parts, sizes = [], []
+                for x, y in blocks(texts[a:b], _PART):
+                    hashes, first = words(texts[a + x : a + y])
+                    size = np.diff(first) + 1
+                    symbol = np.full(int(size.sum()), _END)
+                    word = np.ones(len(symbol), bool)
+                    word[np.cumsum(size) - 1] = False
+                    symbol[word] = hashes[first[0] : first[-1]]
+                    parts.append(symbol)
+                    sizes.append(size)
+                distinct, index = np.unique(np.concatenate(parts), return_inverse=True)
+                fits = "<u2" if len(distinct) < 1 << 16 else "<u4"
+                own = pa.array(range(a, b))
+                state = {"key": batch.column(0).take(own), "held": batch.column(1).take(own), "size": np.concatenate(sizes), "words": distinct, "fits": fits, "index": _planes(index.astype(fits))}
                 name = task << 32 | number
                 number += 1
-                yield from _sent([(name % bins, name, 0, pickle.dumps(state, protocol=5), 0)])
-                yield from _sent([(k, name, 1, d, 0) for k, d in _packed((distinct % U64(bins)).astype(np.int64), bins, distinct)])
+                yield from _sent([(name % bins, name, TEXTS, _packed_bytes(pickle.dumps(state, protocol=5)), 0)])
+                yield from _sent([(k, name, ASKED, d, 0) for k, d in _packed((distinct % U64(bins)).astype(np.int64), bins, distinct)])
 
     return run
 
 
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bin's vocabulary (kind -1) and words asked for (kind 1) -> their counts, in the same order. Tables pass."""
+    """A bin's vocabulary and words asked for -> their counts, in the same order."""
     for rows in _grouped(batches, "bin"):
-        key, count = _unpacked([r for r in rows if r["kind"] == -1], "<u8", "<i8")
+        key, count = _unpacked([r for r in rows if r["kind"] == VOCABULARY], "<u8", "<i8")
         out = []
         for row in rows:
-            if row["kind"] == 0:
-                yield from _sent([(row["bin"], row["slice"], 0, row["data"], 0)])
-            elif row["kind"] == 1:
+            if row["kind"] == ASKED:
                 word = np.frombuffer(row["data"], "<u8")
                 i = np.minimum(np.searchsorted(key, word), max(len(key) - 1, 0))
                 c = np.where(key[i] == word, count[i], 0) if len(key) else np.zeros(len(word), np.int64)
-                out.append((row["bin"], row["slice"], 1, c.astype("<i8").tobytes(), 0))
+                out.append((row["bin"], row["slice"], ASKED, _planes(c.astype("<i8")), 0))
         yield from _sent(out)
 
 
-def _resumed(rows: list[dict], level: int, bins: int, tokens: int, kinds: int, ends: int) -> tuple[dict, np.ndarray, np.ndarray]:
-    """A slice after what came back of ``level`` (0: its symbols' counts): its state, the places still looked at and their chances."""
-    state = pickle.loads(next(r["data"] for r in rows if r["kind"] == 0))
-    back = b"".join(r["data"] for r in rows if r["kind"] == 1)
-    owner = np.repeat(np.arange(len(state["size"])), state["size"])
-    n = len(state["size"])
-    if not level:
-        count = np.empty(len(state["words"]), np.int64)
-        count[np.argsort((state["words"] % U64(bins)).astype(np.int64), kind="stable")] = np.frombuffer(back, "<i8")
-        count[state["words"] == _END] = ends
-        count = count[state["index"]]
-        state |= {"base": np.bincount(owner, np.log10(count + 1.0), n) - state["size"] * np.log10(tokens + kinds + 1), "known": np.bincount(owner, count > 0, n), "score": np.zeros(n)}
-        return state, np.arange(len(owner)), ((count + 1) / (tokens + kinds + 1)).astype("<f4")
-    at, value = state["at"], np.frombuffer(back, "<f4")[state["place"]]
-    done = value < 0
-    state["score"] = state["score"] + np.bincount(owner[at[done]], np.log10(-value[done].astype(np.float64)), n)
-    return state, at[~done].astype(np.int64), value[~done]
+class Slice:
+    """Some texts' places, with what is known of them before a level: ``at``, the places still looked at; ``chance``, theirs in the
+    longest context so far; ``rare``, of every place, whether the run of words that the last level saw end there occurs less than
+    CONTEXT times in training (a longer context that ends so needs no look); and each text's scores."""
+
+    def __init__(self, rows: list[dict], level: int, bins: int, tokens: int, kinds: int, ends: int):
+        """After what came back of ``level`` (0: the symbols' counts)."""
+        texts = pickle.loads(_unpacked_bytes(next(r["data"] for r in rows if r["kind"] == TEXTS)))
+        self.key, self.held, self.size, self.words = texts["key"], texts["held"], texts["size"], texts["words"]
+        self.bins, n = bins, len(self.size)
+        self.owner = np.repeat(np.arange(n), self.size)
+        index = _from_planes(texts["index"], texts["fits"], len(self.owner), 0)
+        self.symbol = self.words[index]
+        self.inner = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        back = [r["data"] for r in rows if r["kind"] == ASKED]
+        if not level:
+            count = np.empty(len(self.words), np.int64)
+            count[np.argsort((self.words % U64(bins)).astype(np.int64), kind="stable")] = np.concatenate([_from_planes(x, "<i8", len(x) // 8, 0) for x in back])
+            count[self.words == _END] = ends
+            count = count[index]
+            self.base = np.bincount(self.owner, np.log10(count + 1.0), n) - self.size * np.log10(tokens + kinds + 1)
+            self.known, self.score = np.bincount(self.owner, count > 0, n).astype(np.int64), np.zeros(n)
+            self.at, self.chance, self.rare = np.arange(len(self.owner)), ((count + 1) / (tokens + kinds + 1)).astype("<f4"), count < CONTEXT
+            return
+        state = pickle.loads(next(r["data"] for r in rows if r["kind"] == STATE))
+        self.base, self.known, self.score = state["base"], state["known"], state["score"]
+        self.rare = np.unpackbits(np.frombuffer(state["rare"], np.uint8), count=len(self.owner)).astype(bool)
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(state["at"], np.uint8), count=len(self.owner)))
+        value, seldom = [np.zeros(0, "<f4")], [np.zeros(0, bool)]
+        for x in back:
+            (m,) = np.frombuffer(x, "<u4", 1).tolist()
+            body = _unpacked_bytes(x[4:])
+            value.append(_from_planes(body, "<f4", m, 0))
+            seldom.append(np.unpackbits(np.frombuffer(body, np.uint8, -1, 4 * m), count=m).astype(bool))
+        place = self.runs(level, at)[-1]  # as they were asked for
+        value, self.rare[at] = np.concatenate(value)[place], np.concatenate(seldom)[place]
+        self.settle(at[value < 0], -value[value < 0])
+        self.at, self.chance = at[value > 0], value[value > 0]
+
+    def settle(self, at: np.ndarray, chance: np.ndarray) -> None:
+        """These places are scored with these chances."""
+        self.score = self.score + np.bincount(self.owner[at], np.log10(chance.astype(np.float64)), len(self.size))
+
+    def runs(self, level: int, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Distinct pairs of a context of ``level`` words and a next symbol at the places: the distinct contexts (in order), the number of pairs of each, then of each pair the next symbol (32 bits of its hash) and a place; and the pair of each place."""
+        context = np.zeros(len(at), U64)
+        for k in range(1, level + 1):
+            context = mix(context * _ODD + np.where(self.inner[at] >= k, self.symbol[np.maximum(at - k, 0)], _BEGIN))
+        contexts, rank = np.unique(context, return_inverse=True)
+        pair = rank.astype(U64) << U64(32) | self.symbol[at] >> U64(32) if len(at) else np.zeros(0, U64)
+        pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
+        return contexts, np.bincount((pairs >> U64(32)).astype(np.int64), minlength=len(contexts)), pairs.astype("<u4"), first, place
+
+    def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
+        """What the texts ask of the contexts of ``level`` words, by bin. Places whose context reaches over the text's begin or is rare are done."""
+        before = np.where(self.inner[self.at] > 0, self.rare[np.maximum(self.at - 1, 0)], False)
+        ended = (self.inner[self.at] < level - 1) | before
+        self.rare[self.at[before]] = True
+        self.settle(self.at[ended], self.chance[ended])
+        self.at, self.chance = self.at[~ended], self.chance[~ended]
+        contexts, size, next_, first, place = self.runs(level, self.at)
+        count = np.bincount(place, ~self.held.to_numpy(zero_copy_only=False)[self.owner[self.at]], len(next_))
+        to = bin_of(contexts, self.bins)
+        start = np.concatenate(([0], np.cumsum(size)))
+        edges = np.searchsorted(to, np.arange(self.bins + 1))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            a, b = edges[k], edges[k + 1]
+            x, y = start[a], start[b]
+            yield k, _question(contexts[a:b], size[a:b], next_[x:y], self.chance[first[x:y]], count[x:y])
+
+    def state(self) -> bytes:
+        at = np.zeros(len(self.owner), bool)
+        at[self.at] = True
+        return pickle.dumps({"base": self.base, "known": self.known, "score": self.score, "rare": np.packbits(self.rare).tobytes(), "at": np.packbits(at).tobytes()}, protocol=5)
+
+
+def bin_of(context: np.ndarray, bins: int) -> np.ndarray:
+    """The bin by the hash's upper bits, in order of the hash: the lower 48 tell the contexts of a bin apart."""
+    return ((context >> U64(40)) * U64(bins) >> U64(24)).astype(np.int64)
 
 
 def _asked(level: int, bins: int, *totals: int):
-    """Slices -> kind 0: their states; kind 1: what they ask of the contexts of ``level`` words, by bin of the context, packed: context, next symbol, its chance in the next shorter one, training occurrences."""
+    """Slices -> STATE, and ASKED by bin of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "slice"):
             name = rows[0]["slice"]
-            state, at, chance = _resumed(rows, level - 1, bins, *totals)
+            texts = Slice(rows, level - 1, bins, *totals)
             rows.clear()
-            size = state["size"]
-            owner = np.repeat(np.arange(len(size)), size)
-            inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-            ended = inner[at] < level - 1  # the shorter context reached the text's begin
-            state["score"] = state["score"] + np.bincount(owner[at[ended]], np.log10(chance[ended].astype(np.float64)), len(size))
-            at, chance = at[~ended], chance[~ended]
-            symbol = state["words"][state["index"]]
-            context = np.zeros(len(at), U64)
-            for k in range(1, level + 1):
-                context = mix(context * _ODD + np.where(inner[at] >= k, symbol[np.maximum(at - k, 0)], _BEGIN))
-            next_ = symbol[at]
-            _, first, inverse = np.unique(mix(context ^ mix(next_ * _ODD)), return_index=True, return_inverse=True)
-            train = ~state["held"].to_numpy(zero_copy_only=False)
-            count = np.bincount(inverse, train[owner[at]], len(first)).astype("<u4")
-            to = (context[first] % U64(bins)).astype(np.int64)
-            order = np.lexsort((context[first], to))  # equal contexts stand together, which packs well
-            to, first = to[order], first[order]
-            place = np.empty(len(order), "<u4")
-            place[order] = np.arange(len(order))
-            state |= {"at": at.astype("<u4"), "place": place[inverse]}
-            yield from _sent([(name % bins, name, 0, pickle.dumps(state, protocol=5), 0)])
-            yield from _sent([(k, name, 1, d, 0) for k, d in _packed(to, bins, context[first], next_[first], chance[first], count[order])])
+            out = [(k, name, ASKED, d, 0) for k, d in texts.ask(level)]
+            yield from _sent([(name % bins, name, STATE, texts.state(), 0)])
+            yield from _sent(out)
 
     return run
 
 
 def _answered(level: int):
-    """A bin's contexts, of all slices -> chances in them, in the order that they were asked for; below 0 where no longer context is looked at."""
+    """A bin's contexts, of all slices -> chances in them, in the order that they were asked for, below 0 where no longer context is looked at; and whether context and next symbol together are rare."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "bin"):
-            for row in rows:
-                if row["kind"] == 0:
-                    yield from _sent([(row["bin"], row["slice"], 0, row["data"], 0)])
-            rows = [r for r in rows if r["kind"] == 1]
+            yield from _sent([tuple(r[n] for n, _ in _SENT) for r in rows if r["kind"] == STATE])
+            rows = [r for r in rows if r["kind"] == ASKED]
             if not rows:
                 continue
-            edges = np.cumsum([0, *(len(r["data"]) // 24 for r in rows)])
-            context, next_, parent, count = _unpacked(rows, "<u8", "<u8", "<f4", "<u4")
+            read = []
             for row in rows:
+                read.append(_asked_of(row["data"]))
                 row["data"] = None
-            order = np.lexsort((next_, context))
-            context, next_ = context[order], next_[order]
-            start = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (next_[1:] != next_[:-1]))))
+            context, size, next_, parent, count = (np.concatenate(x) for x in zip(*read, strict=True))
+            edges = np.cumsum([0, *(len(r[2]) for r in read)])
+            del read
+            rank = np.repeat(np.unique(context, return_inverse=True)[1], size)
+            pair = rank.astype(U64) << U64(32) | next_
+            order = np.argsort(pair, kind="stable")
+            start = _starts(pair[order])
             times = np.diff(np.append(start, len(order)))
-            context, next_, parent, count = context[start], next_[start], parent[order[start]].astype(np.float64), np.add.reduceat(count[order].astype(np.int64), start)
+            rank, parent = rank[order[start]], parent[order[start]].astype(np.float64)
+            count = np.add.reduceat(count[order].astype(np.int64), start)
             value = np.empty(len(start), "<f4")
-            for part in _parts_of(context):
-                _, chance, keep, begins, _ = grown(context[part], next_[part], count[part], parent[part], CONTEXT, ENTRY)
+            for part in _parts_of(rank):
+                _, chance, keep, begins, _ = grown(rank[part], count[part], parent[part], CONTEXT, ENTRY)
                 longer = keep if level > 1 else np.add.reduceat(count[part], begins) >= CONTEXT
                 longer = np.repeat(longer, np.diff(np.append(begins, part.stop - part.start)))
                 value[part] = np.where(longer, chance, -chance)
-            out = np.empty(len(order), "<f4")
-            out[order] = np.repeat(value, times)
-            yield from _sent([(r["bin"], r["slice"], 1, out[x:y].tobytes(), int((out[x:y] > 0).sum())) for r, x, y in zip(rows, edges[:-1], edges[1:], strict=True)])
+            out, seldom = np.empty(len(order), "<f4"), np.empty(len(order), bool)
+            out[order], seldom[order] = np.repeat(value, times), np.repeat(count < CONTEXT, times)
+            for row, x, y in zip(rows, edges[:-1], edges[1:], strict=True):
+                body = _planes(out[x:y]) + np.packbits(seldom[x:y]).tobytes()
+                yield from _sent([(row["bin"], row["slice"], ASKED, np.array([y - x], "<u4").tobytes() + _packed_bytes(body), int((out[x:y] > 0).sum()))])
             release()
 
     return run
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 _LAST = [("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
 
-def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int | None = None) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; learns from the rows that are not held out.
 
     Tokens are the lower-cased words of the whole text and one end. base_score adds up log10((c + 1) / (N + V + 1)). score is the log10
     probability under a suffix tree, whose root has those chances: contexts that occur twice or more and diverge from the shorter one
     keep their own next-symbol chances, smoothed by the shorter one's; each token is scored in the longest kept context before it.
-    Contexts of one and two words are all tried, longer ones where the next shorter one is kept, of any length. The tree is never in one
-    place: level by level, the texts send their contexts to the bins where these are counted over all training texts, and get their
-    chances back; nothing is broadcast. A null text is an empty one (its end is a token); a null key is trained on; repeated rows count
-    each; an empty table gives none; without training rows N and V are 0.
+    Contexts of one and two words are all tried, longer ones where the next shorter one is kept, of any length or up to ``depth``
+    words. The tree is never in one place: level by level, the texts send their contexts to the bins where these are counted over all
+    training texts, and get their chances back; nothing is broadcast. Texts themselves are written once, as numbered words, and meet
+    the answers by slices; contexts known to occur once are not sent. A null text is an empty one (its end is a token); a null key is
+    trained on; repeated rows count each; an empty table gives none; without training rows N and V are 0. Words, contexts and pairs of a
+    context and a word are told apart by hashes of 64 bits, 48 with their bin, and 32 within a context.
     """
     spark = df.sparkSession
     bins = 2 * _work.parts(spark)
@@ -317,26 +395,30 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     sums = vocabulary.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     tokens, kinds = sums["tokens"] + ends, sums["words"] + (ends > 0)
     totals = bins, tokens, kinds, ends
-    known = vocabulary.select("bin", F.lit(-1).cast("long").alias("slice"), F.lit(-1).alias("kind"), "data", F.lit(0).cast("long").alias("alive"))
-    sent = rows.mapInArrow(tidy(_sliced(bins)), _SENT_DDL).unionByName(known)
-    back = _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_looked_up), _SENT_DDL)
-    level, alive, last = 0, 1, None
-    while alive:
+    known = vocabulary.select("bin", F.lit(-1).cast("long").alias("slice"), F.lit(VOCABULARY).alias("kind"), "data", F.lit(0).cast("long").alias("alive"))
+    sent = _work.written(rows.mapInArrow(tidy(_sliced(bins)), _SENT_DDL), "slices")
+    back = _work.written(_work.by_bin(sent.filter(F.col("kind") == ASKED).unionByName(known), "bin", "kind").mapInArrow(tidy(_looked_up), _SENT_DDL), "counts")
+    _work.forget(vocabulary)
+    texts = sent.filter(F.col("kind") == TEXTS)
+
+    def slices(back: DataFrame) -> DataFrame:
+        return _work.by_bin(texts.unionByName(back), "slice", "kind", "bin")
+
+    level, alive = 0, 1
+    while alive and level != depth:
         level += 1
-        sent = _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(_asked(level, *totals)), _SENT_DDL)
-        path = _work.folder(spark, f"level-{level}")
-        _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_answered(level)), _SENT_DDL).write.parquet(path)
-        back = spark.read.schema(_SENT_DDL).parquet(path)
-        if last:
-            _delete(spark, last)
-        last = path
+        asked = slices(back).mapInArrow(tidy(_asked(level, *totals)), _SENT_DDL)
+        new = _work.written(_work.by_bin(asked, "bin", "kind").mapInArrow(tidy(_answered(level)), _SENT_DDL), f"level-{level}")
+        _work.forget(back)
+        back = new
         alive = back.agg(F.sum("alive")).first()[0]
     kind_of_key = df.schema[key].dataType.simpleString()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "slice"):
-            state, _, _ = _resumed(rows, level, *totals)
-            made = [state["held"], pa.array(state["size"]), pa.array(state["known"].astype(np.int64)), pa.array(np.full(len(state["size"]), tokens)), pa.array(state["base"]), pa.array(state["score"])]
-            yield pa.RecordBatch.from_arrays([state["key"], *(m.cast(kind) for m, (_, kind) in zip(made, _LAST, strict=True))], names=[key, *(n for n, _ in _LAST)])
+            done = Slice(rows, level, *totals)
+            done.settle(done.at, done.chance)
+            made = [done.held, *map(pa.array, (done.size, done.known, np.full(len(done.size), tokens), done.base, done.score))]
+            yield pa.RecordBatch.from_arrays([done.key, *(m.cast(kind) for m, (_, kind) in zip(made, _LAST, strict=True))], names=[key, *(n for n, _ in _LAST)])
 
-    return _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(gathered), f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return slices(back).mapInArrow(tidy(gathered), f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
