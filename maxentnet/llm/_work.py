@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from maxentnet.plans.scratch import folder, forget, written
+from maxentnet.plans.scratch import delete, folder, forget, written
 
-__all__ = ["by_bin", "folder", "forget", "parts", "written"]
+__all__ = ["Blobs", "blob", "by_bin", "delete", "folder", "forget", "parts", "written"]
 
 
 def parts(spark: SparkSession) -> int:
@@ -17,3 +20,31 @@ def parts(spark: SparkSession) -> int:
 def by_bin(df: DataFrame, key: str, *then: str) -> DataFrame:
     """Rows dealt by ``key`` and in the order of ``key`` and ``then`` within each partition."""
     return df.repartition(parts(df.sparkSession), key).sortWithinPartitions(key, *then)
+
+
+class Blobs:
+    """Byte strings put one after another into one file of a folder (any that pyarrow opens); the file's name is never used twice, so a repeated task leaves the first one's alone."""
+
+    def __init__(self, base: str):
+        self.store, self.path = fs.FileSystem.from_uri(base)
+        self.name, self.at, self.out = uuid.uuid4().hex, 0, None
+
+    def put(self, data: bytes) -> tuple[str, int, int]:
+        """The place: name, offset and length."""
+        if self.out is None:
+            self.store.create_dir(self.path, recursive=True)
+            self.out = self.store.open_output_stream(f"{self.path}/{self.name}")
+        self.out.write(data)
+        self.at += len(data)
+        return self.name, self.at - len(data), len(data)
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+def blob(base: str, place: tuple[str, int, int]) -> bytes:
+    store, path = fs.FileSystem.from_uri(base)
+    name, offset, length = place
+    with store.open_input_file(f"{path}/{name}") as f:
+        return f.read_at(length, offset)

@@ -26,7 +26,7 @@ DISCOUNT = 0.75
 _END, _BEGIN = U64(1), U64(2)
 _ODD = U64(0x9E3779B97F4A7C15)
 #: Bytes of text in a slice, about, and in the part of it whose words are hashed at once.
-_SLICE = 4 << 20
+_SLICE = 8 << 20
 _PART = 1 << 20
 
 
@@ -107,46 +107,52 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([(rows[0]["bin"], key.tobytes() + count.tobytes(), len(key), int(count.sum()))], *_BIN, ("words", pa.int64()), ("tokens", pa.int64()))
 
 
-def _starts(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, a place of each, and of each place the number's index. Which of equal numbers' places, is not told."""
+    order = np.argsort(x)
+    head = np.ones(len(x), bool)
+    head[1:] = x[order[1:]] != x[order[:-1]]
+    index = np.empty(len(x), np.int64)
+    index[order] = np.cumsum(head) - 1
+    first = order[head]
+    return x[first], first, index
 
 
-def _parts_of(group: np.ndarray, rows: int = 1 << 18) -> Iterator[slice]:
-    """Slices of about so many rows of groups in order, none of which is cut."""
-    edges = np.append(_starts(group), len(group))
-    at = 0
-    while at < len(edges) - 1:
-        to = max(at + 1, int(np.searchsorted(edges, edges[at] + rows, side="right")) - 1)
-        yield slice(int(edges[at]), int(edges[to]))
-        at = to
+def freed(total: np.ndarray, entries: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The share that a context's next symbols leave to the next shorter context: of those without an entry, and DISCOUNT of each kind with one."""
+    return (total - entries + DISCOUNT * kinds) / np.maximum(total, 1)
 
 
-def grown(context: np.ndarray, count: np.ndarray, parent: np.ndarray, least_context: float, least_entry: float):
-    """One level of the tree: of contexts (in order, a row for each next symbol) and the counts of their next symbols, those to keep.
+def grown(of: np.ndarray, count: np.ndarray, parent: np.ndarray, lone: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One level of the tree: of contexts 0, 1, ... the counts of next symbols (a row for each context and next symbol), their chances in the
+    next shorter context, and for each context the number of next symbols that occur once, without rows. Gives for each context total,
+    occurrences and number of the entries, and whether it stays.
 
-    ``parent`` is each next symbol's chance in the next shorter context. A kept entry has its discounted share and the part of the freed
-    share that its parent gives it; all else is the freed share times the parent's chance. A context stays if it is frequent and, each
-    occurrence scored by the counts of the others, diverges from its parent. Gives for each row whether it is kept as an entry and its
-    chance, then the kept contexts, and their freed shares.
+    A next symbol that occurs ENTRY times or more has an entry: its discounted share of the total, and the part of the freed share that
+    its parent gives it; all else has the freed share times the parent's chance. A context stays if it occurs CONTEXT times or more and,
+    each occurrence scored by the counts of the others, diverges from the next shorter one by DIVERGENCE.
     """
-    start = _starts(context)
-    size = np.diff(np.append(start, len(context)))
-    total = np.add.reduceat(count, start).astype(np.float64) if len(start) else np.zeros(0)
-    of = np.repeat(np.arange(len(start)), size)
-    entry = (count >= max(2.0, least_entry)) & (total[of] >= least_context)
-    part = np.where(entry, (count - DISCOUNT) / np.maximum(total[of], 1), 0.0)
-    free = 1 - np.bincount(of, part, len(start))
-    chance = part + free[of] * parent
+    n = len(lone)
+    entry = count >= ENTRY
+    total = np.bincount(of, count, n) + lone
+    entries, kinds = np.bincount(of, count * entry, n), np.bincount(of, entry, n)
+    free = freed(total, entries, kinds)
     others = np.where(entry, np.maximum(count - 1 - DISCOUNT, 0) / np.maximum(total[of] - 1, 1), 0.0) + free[of] * parent
-    gain = np.bincount(of, count * np.log(np.maximum(others, 1e-300) / parent), len(start)) if len(start) else total
-    keep = (total >= least_context) & (gain > DIVERGENCE * total) & (np.bincount(of, entry, len(start)) > 0)
-    return entry & keep[of], np.where(keep[of], chance, parent), keep, start, free
+    gain = np.bincount(of, count * np.log(np.maximum(others, 1e-300) / parent), n) + (total - np.bincount(of, count, n)) * np.log(np.maximum(free, 1e-300))
+    return total, entries, kinds, (total >= CONTEXT) & (kinds > 0) & (gain > DIVERGENCE * total)
+
+
+def rounded(chance: np.ndarray) -> np.ndarray:
+    """Chances as 2 bytes: -log2 in steps of 1/1024. What diverges is told by these; scores have the chances themselves."""
+    return np.clip(np.rint(-1024 * np.log2(chance.astype(np.float64))), 0, 65535).astype("<u2")
 
 
 _SENT = (("bin", pa.int32()), ("slice", pa.int64()), ("kind", pa.int32()), ("data", pa.binary()), ("alive", pa.int64()))
 _SENT_DDL = "bin int, slice long, kind int, data binary, alive long"
-#: Kinds of rows: a bin's vocabulary, a slice's texts, its state between levels, what is asked of a bin or answered to a slice.
-VOCABULARY, TEXTS, STATE, ASKED = -1, 0, 1, 2
+#: Kinds of rows: a bin's vocabulary, the places of a slice's texts and state, what is asked of a bin or answered to a slice.
+VOCABULARY, STATE, ASKED = -1, 1, 2
+#: In an answer: no longer context is looked at; it is, but this one isn't kept; this one is kept.
+DONE, PASSED, KEPT = 0, 1, 2
 
 
 def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -154,68 +160,60 @@ def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows[at : at + 256], *_SENT)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """The numbers' first bytes, then their second ones, and so on: equal bytes stand together, which packs well."""
-    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
-
-
-def _from_planes(data: bytes, kind: str, n: int, at: int) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n)
-
-
-def _packed_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def _numbers(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, packed: the first bytes of all, then the second ones, and so on."""
+    heads = np.array([len(c) for c in columns], "<u4").tobytes()
+    return heads + zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns))
 
 
-def _unpacked_bytes(data: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(data)
+def _from_numbers(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u4", len(kinds)).tolist()
+    body = zstandard.ZstdDecompressor().decompress(data[4 * len(kinds) :])
+    out, at = [], 0
+    for n, kind in zip(sizes, kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
+    return out
 
 
-def _question(context: np.ndarray, size: np.ndarray, next_: np.ndarray, chance: np.ndarray, count: np.ndarray) -> bytes:
-    """Contexts (48 bits of each), how many next symbols each has, and these with 32 bits of their hashes, their chances in the next shorter context and their training occurrences."""
-    six = context.view(np.uint8).reshape(len(context), 8)[:, :6].T.tobytes()
-    body = b"".join((six, *map(_planes, (size.astype("<u4"), next_, chance, count.astype("<u4")))))
-    return np.array([len(context), len(next_)], "<u4").tobytes() + _packed_bytes(body)
+def _gaps(x: np.ndarray) -> np.ndarray:
+    """Numbers in order as differences, which pack well."""
+    return np.diff(x, prepend=U64(0))
 
 
-def _asked_of(data: bytes) -> tuple[np.ndarray, ...]:
-    contexts, n = np.frombuffer(data, "<u4", 2).tolist()
-    body = _unpacked_bytes(data[8:])
-    eight = np.zeros((contexts, 8), np.uint8)
-    eight[:, :6] = np.frombuffer(body, np.uint8, 6 * contexts).reshape(6, contexts).T
-    at = 6 * contexts
-    size = _from_planes(body, "<u4", contexts, at)
-    at += 4 * contexts
-    return eight.view("<u8").reshape(contexts), size, *(_from_planes(body, kind, n, at + 4 * n * i) for i, kind in enumerate(("<u4", "<f4", "<u4")))
+def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Slices of texts: keys, whether held out, sizes in symbols (an END after each text), distinct symbols, and the symbols' indices in these."""
+    for batch in portions(batches, 8192):
+        texts = encoded(batch.column(2))
+        for a, b in blocks(texts, _SLICE):
+            parts, sizes = [], []
+            for x, y in blocks(texts[a:b], _PART):
+                hashes, first = words(texts[a + x : a + y])
+                size = np.diff(first) + 1
+                symbol = np.full(int(size.sum()), _END)
+                word = np.ones(len(symbol), bool)
+                word[np.cumsum(size) - 1] = False
+                symbol[word] = hashes[first[0] : first[-1]]
+                parts.append(symbol)
+                sizes.append(size)
+            distinct, _, index = _distinct(np.concatenate(parts))
+            own = pa.array(range(a, b))
+            yield {"key": batch.column(0).take(own), "held": batch.column(1).take(own), "size": np.concatenate(sizes), "words": distinct, "index": index}
 
 
-def _sliced(bins: int):
-    """Texts -> TEXTS: a slice's documents and symbols, an END after each text; ASKED: its distinct symbols by bin."""
+def _sliced(bins: int, base: str):
+    """Texts -> files of their slices as numbered words; rows STATE: a slice's place; ASKED: its distinct words, by bin."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        for batch in portions(batches, 4096):
-            texts = encoded(batch.column(2))
-            for a, b in blocks(texts, _SLICE):
-                parts, sizes = [], []
-                for x, y in blocks(texts[a:b], _PART):
-                    hashes, first = words(texts[a + x : a + y])
-                    size = np.diff(first) + 1
-                    symbol = np.full(int(size.sum()), _END)
-                    word = np.ones(len(symbol), bool)
-                    word[np.cumsum(size) - 1] = False
-                    symbol[word] = hashes[first[0] : first[-1]]
-                    parts.append(symbol)
-                    sizes.append(size)
-                distinct, index = np.unique(np.concatenate(parts), return_inverse=True)
-                fits = "<u2" if len(distinct) < 1 << 16 else "<u4"
-                own = pa.array(range(a, b))
-                state = {"key": batch.column(0).take(own), "held": batch.column(1).take(own), "size": np.concatenate(sizes), "words": distinct, "fits": fits, "index": _planes(index.astype(fits))}
-                name = task << 32 | number
-                number += 1
-                yield from _sent([(name % bins, name, TEXTS, _packed_bytes(pickle.dumps(state, protocol=5)), 0)])
-                yield from _sent([(k, name, ASKED, d, 0) for k, d in _packed((distinct % U64(bins)).astype(np.int64), bins, distinct)])
+        task, out = TaskContext.get().partitionId(), _work.Blobs(base)
+        for number, texts in enumerate(_texts_of(batches)):
+            distinct, index = texts.pop("words"), texts.pop("index")
+            place = out.put(pickle.dumps(texts | {"numbers": _numbers(_gaps(distinct), index.astype("<u4"))}, protocol=5))
+            name = task << 32 | number
+            yield from _sent([(name % bins, name, STATE, pickle.dumps((place, None)), 1)])
+            yield from _sent([(k, name, ASKED, d, 0) for k, d in _packed((distinct % U64(bins)).astype(np.int64), bins, distinct)])
+        out.close()
 
     return run
 
@@ -223,6 +221,7 @@ def _sliced(bins: int):
 def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A bin's vocabulary and words asked for -> their counts, in the same order."""
     for rows in _grouped(batches, "bin"):
+        yield from _sent([tuple(r[n] for n, _ in _SENT) for r in rows if r["kind"] == STATE])
         key, count = _unpacked([r for r in rows if r["kind"] == VOCABULARY], "<u8", "<i8")
         out = []
         for row in rows:
@@ -230,108 +229,133 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 word = np.frombuffer(row["data"], "<u8")
                 i = np.minimum(np.searchsorted(key, word), max(len(key) - 1, 0))
                 c = np.where(key[i] == word, count[i], 0) if len(key) else np.zeros(len(word), np.int64)
-                out.append((row["bin"], row["slice"], ASKED, _planes(c.astype("<i8")), 0))
+                out.append((row["bin"], row["slice"], ASKED, _numbers(c.astype("<i8")), 0))
         yield from _sent(out)
 
 
 class Slice:
-    """Some texts' places, with what is known of them before a level: ``at``, the places still looked at; ``chance``, theirs in the
-    longest context so far; ``rare``, of every place, whether the run of words that the last level saw end there occurs less than
-    CONTEXT times in training (a longer context that ends so needs no look); and each text's scores."""
-
-    def __init__(self, rows: list[dict], level: int, bins: int, tokens: int, kinds: int, ends: int):
-        """After what came back of ``level`` (0: the symbols' counts)."""
-        texts = pickle.loads(_unpacked_bytes(next(r["data"] for r in rows if r["kind"] == TEXTS)))
-        self.key, self.held, self.size, self.words = texts["key"], texts["held"], texts["size"], texts["words"]
-        self.bins, n = bins, len(self.size)
+    """Some texts' places between two levels: ``at``, those still looked at, and ``chance``, theirs in the longest context so far.
+
+    ``rare`` tells of every place whether the run of words that ends there, as long as the last level saw, occurs less than CONTEXT
+    times in training. Then a longer context that ends so needs no look, and the last word of the run has no entry in a longer
+    context: its chance is only ever multiplied by what contexts free, so it is scored at once, and the factors as they come.
+    """
+
+    def __init__(self, rows: list[dict], level: int, totals: tuple[int, int, int, int], texts: str, states: str | None):
+        """After what came back of ``level`` (0: the words' counts)."""
+        self.bins, tokens, kinds, ends = totals
+        self.place, place = pickle.loads(next(r["data"] for r in rows if r["kind"] == STATE))
+        own = pickle.loads(_work.blob(texts, self.place))
+        self.key, self.held, self.size = own["key"], own["held"], own["size"]
+        gaps, index = _from_numbers(own["numbers"], "<u8", "<u4")
+        known, n = np.cumsum(gaps), len(self.size)
         self.owner = np.repeat(np.arange(n), self.size)
-        index = _from_planes(texts["index"], texts["fits"], len(self.owner), 0)
-        self.symbol = self.words[index]
+        self.symbol = known[index]
         self.inner = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         back = [r["data"] for r in rows if r["kind"] == ASKED]
         if not level:
-            count = np.empty(len(self.words), np.int64)
-            count[np.argsort((self.words % U64(bins)).astype(np.int64), kind="stable")] = np.concatenate([_from_planes(x, "<i8", len(x) // 8, 0) for x in back])
-            count[self.words == _END] = ends
-            count = count[index]
+            self.count = np.empty(len(known), np.int64)
+            self.count[np.argsort((known % U64(self.bins)).astype(np.int64), kind="stable")] = np.concatenate([_from_numbers(x, "<i8")[0] for x in back])
+            self.count[known == _END] = ends
+            count = self.count[index]
             self.base = np.bincount(self.owner, np.log10(count + 1.0), n) - self.size * np.log10(tokens + kinds + 1)
             self.known, self.score = np.bincount(self.owner, count > 0, n).astype(np.int64), np.zeros(n)
-            self.at, self.chance, self.rare = np.arange(len(self.owner)), ((count + 1) / (tokens + kinds + 1)).astype("<f4"), count < CONTEXT
+            self.at, self.chance, self.rare = np.arange(len(self.owner)), (count + 1) / (tokens + kinds + 1), count < CONTEXT
             return
-        state = pickle.loads(next(r["data"] for r in rows if r["kind"] == STATE))
+        state = pickle.loads(zstandard.ZstdDecompressor().decompress(_work.blob(states, place)))
         self.base, self.known, self.score = state["base"], state["known"], state["score"]
-        self.rare = np.unpackbits(np.frombuffer(state["rare"], np.uint8), count=len(self.owner)).astype(bool)
-        at = np.flatnonzero(np.unpackbits(np.frombuffer(state["at"], np.uint8), count=len(self.owner)))
-        value, seldom = [np.zeros(0, "<f4")], [np.zeros(0, bool)]
-        for x in back:
-            (m,) = np.frombuffer(x, "<u4", 1).tolist()
-            body = _unpacked_bytes(x[4:])
-            value.append(_from_planes(body, "<f4", m, 0))
-            seldom.append(np.unpackbits(np.frombuffer(body, np.uint8, -1, 4 * m), count=m).astype(bool))
-        place = self.runs(level, at)[-1]  # as they were asked for
-        value, self.rare[at] = np.concatenate(value)[place], np.concatenate(seldom)[place]
-        self.settle(at[value < 0], -value[value < 0])
-        self.at, self.chance = at[value > 0], value[value > 0]
+        rare, at = (np.unpackbits(np.frombuffer(state[k], np.uint8), count=len(self.owner)).astype(bool) for k in ("rare", "at"))
+        self.rare, at = rare, np.flatnonzero(at)
+        lone = rare[at]
+        chance = np.ones(len(at))
+        (held,) = _from_numbers(state["numbers"], "<i8" if level == 1 else "<f4")
+        chance[~lone] = (held[index[at[~lone]]] + 1) / (tokens + kinds + 1) if level == 1 else held
+        _, of, rest, _, pair = self.runs(level, at)  # as they were asked for
+        told = [np.concatenate(x) for x in zip(*(_from_numbers(x, "u1", "<u4", "<u4", "<u4", "<u4") for x in back), strict=True)] or [np.zeros(0, np.int64)] * 5
+        code, total, entries, kinds_, count = (x.astype(np.int64) for x in told)
+        kept = np.flatnonzero(code == KEPT)
+        free, every = np.ones(len(code)), np.ones(len(code))
+        free[kept], every[kept] = freed(total, entries, kinds_), total
+        times = np.zeros(len(at), np.int64)
+        times[rest] = count[pair]
+        self.rare[at[rest]] = count[pair] < CONTEXT
+        chance = chance * free[of] + np.where((times >= ENTRY) & (code[of] == KEPT), (times - DISCOUNT) / every[of], 0)
+        done = code[of] == DONE
+        self.settle(at[done], chance[done])
+        self.at, self.chance = at[~done], chance[~done]
 
     def settle(self, at: np.ndarray, chance: np.ndarray) -> None:
         """These places are scored with these chances."""
-        self.score = self.score + np.bincount(self.owner[at], np.log10(chance.astype(np.float64)), len(self.size))
+        self.score = self.score + np.bincount(self.owner[at], np.log10(chance), len(self.size))
 
     def runs(self, level: int, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct pairs of a context of ``level`` words and a next symbol at the places: the distinct contexts (in order), the number of pairs of each, then of each pair the next symbol (32 bits of its hash) and a place; and the pair of each place."""
+        """Distinct contexts of ``level`` words of the places (56 bits of their hashes, in order) and the context of each place; the places that are not rare; of these the distinct pairs of a context and a next symbol (32 bits of its hash), and the pair of each."""
         context = np.zeros(len(at), U64)
         for k in range(1, level + 1):
-            context = mix(context * _ODD + np.where(self.inner[at] >= k, self.symbol[np.maximum(at - k, 0)], _BEGIN))
-        contexts, rank = np.unique(context, return_inverse=True)
-        pair = rank.astype(U64) << U64(32) | self.symbol[at] >> U64(32) if len(at) else np.zeros(0, U64)
-        pairs, first, place = np.unique(pair, return_index=True, return_inverse=True)
-        return contexts, np.bincount((pairs >> U64(32)).astype(np.int64), minlength=len(contexts)), pairs.astype("<u4"), first, place
-
-    def ask(self, level: int) -> Iterator[tuple[int, bytes]]:
-        """What the texts ask of the contexts of ``level`` words, by bin. Places whose context reaches over the text's begin or is rare are done."""
-        before = np.where(self.inner[self.at] > 0, self.rare[np.maximum(self.at - 1, 0)], False)
+            before = self.symbol[np.maximum(at - k, 0)]
+            before[self.inner[at] < k] = _BEGIN
+            context = mix(context * _ODD + before)
+        contexts, _, of = _distinct(context >> U64(8))
+        rest = np.flatnonzero(~self.rare[at])
+        pairs, _, pair = _distinct(of[rest].astype(U64) << U64(32) | self.symbol[at[rest]] >> U64(32))
+        return contexts, of, rest, pairs, pair
+
+    def ask(self, level: int) -> Iterator[tuple[int, bytes, int]]:
+        """What the texts ask of the contexts of ``level`` words, by bin: contexts, how many next symbols of each are asked for and the training occurrences of others, then these next symbols, their chances and training occurrences. Places whose context reaches over the text's begin or is rare are done."""
+        before = (self.inner[self.at] > 0) & self.rare[np.maximum(self.at - 1, 0)]
         ended = (self.inner[self.at] < level - 1) | before
         self.rare[self.at[before]] = True
-        self.settle(self.at[ended], self.chance[ended])
+        lone = self.rare[self.at]
+        self.settle(self.at[ended | lone], self.chance[ended | lone])
+        self.chance[lone] = 1
         self.at, self.chance = self.at[~ended], self.chance[~ended]
-        contexts, size, next_, first, place = self.runs(level, self.at)
-        count = np.bincount(place, ~self.held.to_numpy(zero_copy_only=False)[self.owner[self.at]], len(next_))
-        to = bin_of(contexts, self.bins)
+        train = ~self.held.to_numpy(zero_copy_only=False)[self.owner[self.at]]
+        contexts, of, rest, pairs, pair = self.runs(level, self.at)
+        count = np.bincount(pair, train[rest], len(pairs)).astype("<u4")
+        parent = np.empty(len(pairs), "<u2")
+        parent[pair] = rounded(self.chance[rest])
+        others = np.bincount(of, train, len(contexts)) - np.bincount(of[rest], train[rest], len(contexts))
+        size = np.bincount((pairs >> U64(32)).astype(np.int64), minlength=len(contexts))
+        edges = np.searchsorted(bin_of(contexts, self.bins), np.arange(self.bins + 1))
         start = np.concatenate(([0], np.cumsum(size)))
-        edges = np.searchsorted(to, np.arange(self.bins + 1))
         for k in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[k], edges[k + 1]
             x, y = start[a], start[b]
-            yield k, _question(contexts[a:b], size[a:b], next_[x:y], self.chance[first[x:y]], count[x:y])
+            yield k, _numbers(_gaps(contexts[a:b]), size[a:b].astype("<u4"), others[a:b].astype("<u4"), pairs[x:y].astype("<u4"), parent[x:y], count[x:y])
 
-    def state(self) -> bytes:
+    def state(self, level: int) -> bytes:
         at = np.zeros(len(self.owner), bool)
         at[self.at] = True
-        return pickle.dumps({"base": self.base, "known": self.known, "score": self.score, "rare": np.packbits(self.rare).tobytes(), "at": np.packbits(at).tobytes()}, protocol=5)
+        held = {"base": self.base, "known": self.known, "score": self.score, "rare": np.packbits(self.rare).tobytes(), "at": np.packbits(at).tobytes()}
+        # chances before the first level follow from the words' counts
+        held |= {"numbers": _numbers(self.count.astype("<i8")) if level == 1 else _numbers(self.chance[~self.rare[self.at]].astype("<f4"))}
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(held, protocol=5))
 
 
 def bin_of(context: np.ndarray, bins: int) -> np.ndarray:
-    """The bin by the hash's upper bits, in order of the hash: the lower 48 tell the contexts of a bin apart."""
-    return ((context >> U64(40)) * U64(bins) >> U64(24)).astype(np.int64)
+    """The bin by the hash's upper bits, in order of the hash."""
+    return ((context >> U64(32)) * U64(bins) >> U64(24)).astype(np.int64)
 
 
-def _asked(level: int, bins: int, *totals: int):
-    """Slices -> STATE, and ASKED by bin of the context."""
+def _asked(level: int, totals: tuple[int, int, int, int], texts: str, before: str | None, after: str):
+    """Slices -> files of their states; rows STATE: a slice's places; ASKED, by bin of the context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _work.Blobs(after)
         for rows in _grouped(batches, "slice"):
             name = rows[0]["slice"]
-            texts = Slice(rows, level - 1, bins, *totals)
+            own = Slice(rows, level - 1, totals, texts, before)
             rows.clear()
-            out = [(k, name, ASKED, d, 0) for k, d in texts.ask(level)]
-            yield from _sent([(name % bins, name, STATE, texts.state(), 0)])
-            yield from _sent(out)
+            asked = [(k, name, ASKED, d, 0) for k, d in own.ask(level)]
+            yield from _sent([(name % totals[0], name, STATE, pickle.dumps((own.place, out.put(own.state(level)))), 0)])
+            yield from _sent(asked)
+        out.close()
 
     return run
 
 
 def _answered(level: int):
-    """A bin's contexts, of all slices -> chances in them, in the order that they were asked for, below 0 where no longer context is looked at; and whether context and next symbol together are rare."""
+    """A bin's contexts, of all slices -> of each, in the order that they were asked for, what becomes of it and, if kept, total, occurrences and number of its entries; and of each next symbol asked for its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "bin"):
@@ -341,29 +365,26 @@ def _answered(level: int):
                 continue
             read = []
             for row in rows:
-                read.append(_asked_of(row["data"]))
+                gaps, *others = _from_numbers(row["data"], "<u8", "<u4", "<u4", "<u4", "<u2", "<u4")
+                read.append((np.cumsum(gaps), *others))
                 row["data"] = None
-            context, size, next_, parent, count = (np.concatenate(x) for x in zip(*read, strict=True))
-            edges = np.cumsum([0, *(len(r[2]) for r in read)])
+            contexts, size, lone, next_, parent, count = (np.concatenate(x) for x in zip(*read, strict=True))
+            lengths = [(len(r[0]), len(r[3])) for r in read]
             del read
-            rank = np.repeat(np.unique(context, return_inverse=True)[1], size)
-            pair = rank.astype(U64) << U64(32) | next_
-            order = np.argsort(pair, kind="stable")
-            start = _starts(pair[order])
-            times = np.diff(np.append(start, len(order)))
-            rank, parent = rank[order[start]], parent[order[start]].astype(np.float64)
-            count = np.add.reduceat(count[order].astype(np.int64), start)
-            value = np.empty(len(start), "<f4")
-            for part in _parts_of(rank):
-                _, chance, keep, begins, _ = grown(rank[part], count[part], parent[part], CONTEXT, ENTRY)
-                longer = keep if level > 1 else np.add.reduceat(count[part], begins) >= CONTEXT
-                longer = np.repeat(longer, np.diff(np.append(begins, part.stop - part.start)))
-                value[part] = np.where(longer, chance, -chance)
-            out, seldom = np.empty(len(order), "<f4"), np.empty(len(order), bool)
-            out[order], seldom[order] = np.repeat(value, times), np.repeat(count < CONTEXT, times)
-            for row, x, y in zip(rows, edges[:-1], edges[1:], strict=True):
-                body = _planes(out[x:y]) + np.packbits(seldom[x:y]).tobytes()
-                yield from _sent([(row["bin"], row["slice"], ASKED, np.array([y - x], "<u4").tobytes() + _packed_bytes(body), int((out[x:y] > 0).sum()))])
+            contexts, _, of = _distinct(contexts)
+            lone = np.bincount(of, lone, len(contexts))
+            pairs, first, pair = _distinct(np.repeat(of, size).astype(U64) << U64(32) | next_)
+            count = np.bincount(pair, count, len(pairs))
+            total, entries, kinds, keep = grown((pairs >> U64(32)).astype(np.int64), count, np.exp2(parent[first] / -1024), lone)
+            code = np.where(keep, KEPT, np.where((level == 1) & (total >= CONTEXT), PASSED, DONE)).astype("u1")
+            x = y = 0
+            for row, (n, m) in zip(rows, lengths, strict=True):
+                mine = of[x : x + n]
+                kept = mine[keep[mine]]
+                told = (code[mine], *(v[kept].astype("<u4") for v in (total, entries, kinds)), count[pair[y : y + m]].astype("<u4"))
+                yield from _sent([(row["bin"], row["slice"], ASKED, _numbers(*told), int((told[0] != DONE).sum()))])
+                x, y = x + n, y + m
+            del contexts, of, pairs, first, pair, count
             release()
 
     return run
@@ -380,10 +401,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int | N
     keep their own next-symbol chances, smoothed by the shorter one's; each token is scored in the longest kept context before it.
     Contexts of one and two words are all tried, longer ones where the next shorter one is kept, of any length or up to ``depth``
     words. The tree is never in one place: level by level, the texts send their contexts to the bins where these are counted over all
-    training texts, and get their chances back; nothing is broadcast. Texts themselves are written once, as numbered words, and meet
-    the answers by slices; contexts known to occur once are not sent. A null text is an empty one (its end is a token); a null key is
-    trained on; repeated rows count each; an empty table gives none; without training rows N and V are 0. Words, contexts and pairs of a
-    context and a word are told apart by hashes of 64 bits, 48 with their bin, and 32 within a context.
+    training texts, and get what they need for their chances back; nothing is broadcast. Texts, as numbered words, and their states
+    between levels lie in files (spark.checkpoint.dir must be a store that pyarrow opens), and rows have their places. A null text is an
+    empty one (its end is a token); a null key is trained on; repeated rows count each; an empty table gives none; without training
+    rows N and V are 0. Words, contexts and next symbols in a context are told apart by 64, 56 and 32 bits of their hashes.
     """
     spark = df.sparkSession
     bins = 2 * _work.parts(spark)
@@ -396,29 +417,27 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", depth: int | N
     tokens, kinds = sums["tokens"] + ends, sums["words"] + (ends > 0)
     totals = bins, tokens, kinds, ends
     known = vocabulary.select("bin", F.lit(-1).cast("long").alias("slice"), F.lit(VOCABULARY).alias("kind"), "data", F.lit(0).cast("long").alias("alive"))
-    sent = _work.written(rows.mapInArrow(tidy(_sliced(bins)), _SENT_DDL), "slices")
-    back = _work.written(_work.by_bin(sent.filter(F.col("kind") == ASKED).unionByName(known), "bin", "kind").mapInArrow(tidy(_looked_up), _SENT_DDL), "counts")
+    texts, states = _work.folder(spark, "slices"), None
+    sent = rows.mapInArrow(tidy(_sliced(bins, texts)), _SENT_DDL).unionByName(known)
+    back = _work.written(_work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_looked_up), _SENT_DDL), "counts")
     _work.forget(vocabulary)
-    texts = sent.filter(F.col("kind") == TEXTS)
-
-    def slices(back: DataFrame) -> DataFrame:
-        return _work.by_bin(texts.unionByName(back), "slice", "kind", "bin")
-
-    level, alive = 0, 1
-    while alive and level != depth:
+    level = 0
+    while level != depth and back.agg(F.sum("alive")).first()[0]:
         level += 1
-        asked = slices(back).mapInArrow(tidy(_asked(level, *totals)), _SENT_DDL)
+        after = _work.folder(spark, "states")
+        asked = _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(_asked(level, totals, texts, states, after)), _SENT_DDL)
         new = _work.written(_work.by_bin(asked, "bin", "kind").mapInArrow(tidy(_answered(level)), _SENT_DDL), f"level-{level}")
         _work.forget(back)
-        back = new
-        alive = back.agg(F.sum("alive")).first()[0]
+        if states:
+            _work.delete(spark, states)
+        back, states = new, after
     kind_of_key = df.schema[key].dataType.simpleString()
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _grouped(batches, "slice"):
-            done = Slice(rows, level, *totals)
+            done = Slice(rows, level, totals, texts, states)
             done.settle(done.at, done.chance)
             made = [done.held, *map(pa.array, (done.size, done.known, np.full(len(done.size), tokens), done.base, done.score))]
             yield pa.RecordBatch.from_arrays([done.key, *(m.cast(kind) for m, (_, kind) in zip(made, _LAST, strict=True))], names=[key, *(n for n, _ in _LAST)])
 
-    return slices(back).mapInArrow(tidy(gathered), f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return _work.by_bin(back, "slice", "kind", "bin").mapInArrow(tidy(gathered), f"`{key}` {kind_of_key}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -274,10 +274,12 @@ def test_language_model(docs, none):
 
 def test_suffix_tree_is_a_distribution():
     chance = np.array([1, 11, 41, 61, 9]) / 123
-    context, n = np.array([7, 7, 7]), np.array([5, 90, 3])
-    entry, got, keep, start, free = lm.grown(context, n, chance[[1, 3, 4]], 10, 4)
-    assert keep.tolist() == [True] and entry.tolist() == [True, True, False]
-    assert got[entry].sum() + free[0] * chance[[0, 2, 4]].sum() == pytest.approx(1)
+    total, entries, kinds, keep = lm.grown(np.array([0, 0, 0]), np.array([5, 90, 1]), chance[[1, 3, 4]], np.array([2]))
+    assert (total[0], entries[0], kinds[0], keep.tolist()) == (98, 95, 2, [True])
+    free = lm.freed(total, entries, kinds)[0]
+    own = free * chance
+    own[[1, 3]] += (np.array([5, 90]) - lm.DISCOUNT) / total
+    assert own.sum() == pytest.approx(1)
 
 
 def tree_scores(rows, depth=None):
@@ -301,7 +303,8 @@ def tree_scores(rows, depth=None):
             total = sum(seen.values())
             own = {w: c for w, c in seen.items() if c >= 2}
             free = 1 - sum((c - 0.75) / total for c in own.values())
-            gain = sum(c * math.log((max(c - 1.75, 0) / (total - 1) if w in own else 0) / parent[w] + free) for w, c in seen.items()) if total > 1 else 0
+            near = {w: 2 ** (-round(-1024 * math.log2(p)) / 1024) for w, p in parent.items()}
+            gain = sum(c * math.log((max(c - 1.75, 0) / (total - 1) if w in own else 0) / near[w] + free) for w, c in seen.items()) if total > 1 else 0
             if keep := total >= 2 and own and gain > 0.002 * total:
                 for i, j in places:
                     w = texts[i][1][j]
