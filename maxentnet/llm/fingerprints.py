@@ -165,7 +165,9 @@ def _ranges(rows: DataFrame, count: int):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(place(batch.column(0), batch.column(1).to_numpy()).astype(np.int32)), batch.column(0), batch.column(1)], names=["part", "k", "h"])
 
-    tops = rows.select("k", "h").mapInArrow(first_of, "part int, k long, h long").groupBy("part").agg(F.max("k").alias("k"), F.min("h").alias("h")).collect()  # a row for each range
+    # whole texts are read for null keys only
+    keys = rows.filter("k IS NOT NULL").select("k", F.lit(0).cast("long").alias("h")).unionByName(rows.filter("k IS NULL").select("k", "h"))
+    tops = keys.mapInArrow(first_of, "part int, k long, h long").groupBy("part").agg(F.max("k").alias("k"), F.min("h").alias("h")).collect()  # a row for each range
     tops = {r["part"]: (r["k"], r["h"]) for r in tops}
     filled = sorted(tops)
     before = np.zeros(max(filled, default=0) + 1, np.int32)
@@ -188,8 +190,8 @@ def _ranges(rows: DataFrame, count: int):
 def against_next(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int | None = SAMPLE) -> DataFrame:
     """Each text against its edited form and against the next document: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    The next document is that of the next smaller key (null keys last; equal keys by a hash of the text, then the text; after the last
-    the first). Keys are whole numbers; others raise a TypeError. A null text is an empty one; an empty table gives none; other columns
+    The next document is that of the next smaller key (equal keys by text; null keys last, by a hash of the text, then the text; after
+    the last the first). Keys are whole numbers; others raise a TypeError. A null text is an empty one; an empty table gives none; other columns
     are ignored. Rows are dealt by ranges of the key, each with a copy of the row that begins the next range, and read in order.
     """
     kind = df.schema[key].dataType
@@ -197,7 +199,7 @@ def against_next(df: DataFrame, key: str = "doc_id", text: str = "text", sample:
         raise TypeError(f"The column {key} must hold whole numbers, not {kind.simpleString()}.")
     spark = df.sparkSession
     t = F.coalesce(F.col(text), F.lit(""))
-    rows = df.select(F.col(key).cast("long").alias("k"), F.xxhash64(t).alias("h"), t.alias("t"))
+    rows = df.select(F.col(key).cast("long").alias("k"), F.when(F.col(key).isNull(), F.xxhash64(t)).otherwise(0).alias("h"), t.alias("t"))
     count = _work.parts(spark)
     dealt = _ranges(rows, count).repartition(count, "part").sortWithinPartitions("part", "ahead", F.col("k").desc_nulls_last(), "h", "t")
 

@@ -290,12 +290,13 @@ class Slice:
 
     def runs(self, level: int, at: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct contexts of ``level`` words of the places (56 bits of their hashes, in order) and the context of each place; the places that are not rare; of these the distinct pairs of a context and a next symbol (32 bits of its hash), and the pair of each."""
-        context = np.zeros(len(at), U64)
+        context, factor, inner = np.zeros(len(at), U64), U64(1), self.inner[at]
         for k in range(1, level + 1):
+            factor = mix(np.array([factor + _ODD]))[0] | U64(1)
             before = self.symbol[np.maximum(at - k, 0)]
-            before[self.inner[at] < k] = _BEGIN
-            context = mix(context * _ODD + before)
-        contexts, _, of = _distinct(context >> U64(8))
+            before[inner < k] = _BEGIN
+            context += before * factor
+        contexts, _, of = _distinct(mix(context) >> U64(8))
         rest = np.flatnonzero(~self.rare[at])
         pairs, _, pair = _distinct(of[rest].astype(U64) << U64(32) | self.symbol[at[rest]] >> U64(32))
         return contexts, of, rest, pairs, pair

@@ -189,9 +189,13 @@ def plain_names(text):
     return sorted(out)
 
 
+def hashed(text):
+    return int(np.uint64(xxhash.xxh64(text.encode(), 42).intdigest()).astype(np.int64))
+
+
 def test_fingerprints(docs, none):
     got = fingerprints.against_next(docs).collect()
-    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), np.int64(np.uint64(xxhash.xxh64((r[1] or "").encode(), 42).intdigest()))))
+    order = sorted(ROWS, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1] or "") if r[0] is None else 0, r[1] or ""))
     want = Counter()
     for a, b in zip(order, [*order[1:], order[0]], strict=True):
         x, y = a[1] or "", b[1] or ""
@@ -212,8 +216,7 @@ def test_fingerprints(docs, none):
 def test_next_rows_over_many_ranges(spark):
     rows = [(i % 37 if i % 5 else None, f"{i} {prose(3)}") for i in range(400)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    hashed = [(k, t, np.int64(np.uint64(xxhash.xxh64(t.encode(), 42).intdigest()))) for k, t in rows]
-    order = sorted(hashed, key=lambda r: (r[0] is None, -(r[0] or 0), r[2]))
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed(r[1]) if r[0] is None else 0, r[1]))
     want = Counter((a[0], hashlib.sha256(fingerprints.edited(a[1], b[1]).encode()).hexdigest()) for a, b in zip(order, [*order[1:], order[0]], strict=True))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
