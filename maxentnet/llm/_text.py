@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -151,3 +152,36 @@ def shingle_sets(texts: list[bytes], n: int = 5) -> Iterator[np.ndarray]:
                 yield mix(np.array([short], U64))
             else:
                 yield np.zeros(0, U64)
+
+
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct numbers in order, a place of each, and of each place the number's index. Which of equal numbers' places, is not told."""
+    order = np.argsort(x)
+    head = np.ones(len(x), bool)
+    head[1:] = x[order[1:]] != x[order[:-1]]
+    index = np.empty(len(x), np.int64)
+    index[order] = np.cumsum(head) - 1
+    first = order[head]
+    return x[first], first, index
+
+
+def numbers(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, packed: the first bytes of all, then the second ones, and so on."""
+    heads = np.array([len(c) for c in columns], "<u4").tobytes()
+    return heads + zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns))
+
+
+def from_numbers(data: bytes, *kinds: str) -> list[np.ndarray]:
+    sizes = np.frombuffer(data, "<u4", len(kinds)).tolist()
+    body = zstandard.ZstdDecompressor().decompress(data[4 * len(kinds) :])
+    out, at = [], 0
+    for n, kind in zip(sizes, kinds, strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n))
+        at += n * width
+    return out
+
+
+def gaps(x: np.ndarray) -> np.ndarray:
+    """Numbers in order as differences, which pack well."""
+    return np.diff(x, prepend=U64(0))

@@ -36,25 +36,42 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternates two steps until nothing changes: every node hands its larger neighbours to its least neighbour, then every node
     hands its smaller neighbours to the least of these. The list of links never grows, each step is a sum by key and a join, and the
-    rounds grow with the logarithm of the longest path. Links of a node with itself or null ids are left out; an empty list gives none.
+    rounds grow with the logarithm of the longest path. A node with very many links (at most MOST_HOT are so) gets its least
+    neighbour by broadcast, so its links are in no one task. Links of a node with itself or null ids are left out; an empty list gives
+    none. The result's table can be given to ``forget``.
     """
-    spark = links.sparkSession
     now = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct()
     now = _work.written(now, "links")
-    before = None
+    before = _mark(now)
     for _ in range(most_rounds):
         # larger neighbours to the least one
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).union(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        now = both.filter("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        new = _with_least(both, 2 * before[0]).filter("v > u").select(F.col("v").alias("a"), F.least("m", "u").alias("b")).distinct()
         # smaller neighbours to the least of them
-        least = now.groupBy("a").agg(F.min("b").alias("m"))
-        now = now.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.*").filter("a > b").distinct()
-        now = _work.written(now, "links")
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))).alias("h")).first()
+        new = _with_least(new.select(F.col("a").alias("u"), F.col("b").alias("v")), before[0])
+        new = new.select(F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")), F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("l")).select("l.*").filter("a > b").distinct()
+        new = _work.written(new, "links")
+        _work.forget(now)
+        now, mark = new, _mark(new)
         if mark == before:
             break
         before = mark
     else:
         raise RuntimeError("the components did not settle")
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out.written_at = now.written_at
+    return out
+
+
+def _mark(links: DataFrame) -> tuple[int, int]:
+    """Their number, and a sum of hashes by which two lists differ."""
+    r = links.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.lit(0)).alias("h")).first()
+    return r["n"], r["h"]
+
+
+def _with_least(links: DataFrame, n: int) -> DataFrame:
+    """Rows (u, v) with m, the least v of their u."""
+    least = links.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("d"))
+    if n <= _work.HOT:
+        return links.join(least.drop("d"), "u")
+    return _work.attached(links, least.drop("d"), "u", least.filter(_work.is_hot(F.col("d"), n)))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, blocks, encoded, mix, portions, release, tidy, words
+from maxentnet.llm._text import U64, blocks, distinct, encoded, from_numbers, gaps, mix, numbers, portions, release, tidy, words
 
 #: Least occurrences, in the training texts, of a context and of a next symbol with its own entry in one: what occurs once has no others to be
 #: scored by. Neither depends on the size of the table.
@@ -107,17 +107,6 @@ def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _rows([(rows[0]["bin"], key.tobytes() + count.tobytes(), len(key), int(count.sum()))], *_BIN, ("words", pa.int64()), ("tokens", pa.int64()))
 
 
-def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct numbers in order, a place of each, and of each place the number's index. Which of equal numbers' places, is not told."""
-    order = np.argsort(x)
-    head = np.ones(len(x), bool)
-    head[1:] = x[order[1:]] != x[order[:-1]]
-    index = np.empty(len(x), np.int64)
-    index[order] = np.cumsum(head) - 1
-    first = order[head]
-    return x[first], first, index
-
-
 def freed(total: np.ndarray, entries: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """The share that a context's next symbols leave to the next shorter context: of those without an entry, and DISCOUNT of each kind with one."""
     return (total - entries + DISCOUNT * kinds) / np.maximum(total, 1)
@@ -160,28 +149,6 @@ def _sent(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         yield _rows(rows[at : at + 256], *_SENT)
 
 
-def _numbers(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, packed: the first bytes of all, then the second ones, and so on."""
-    heads = np.array([len(c) for c in columns], "<u4").tobytes()
-    return heads + zstandard.ZstdCompressor(level=1).compress(b"".join(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns))
-
-
-def _from_numbers(data: bytes, *kinds: str) -> list[np.ndarray]:
-    sizes = np.frombuffer(data, "<u4", len(kinds)).tolist()
-    body = zstandard.ZstdDecompressor().decompress(data[4 * len(kinds) :])
-    out, at = [], 0
-    for n, kind in zip(sizes, kinds, strict=True):
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).view(kind).reshape(n))
-        at += n * width
-    return out
-
-
-def _gaps(x: np.ndarray) -> np.ndarray:
-    """Numbers in order as differences, which pack well."""
-    return np.diff(x, prepend=U64(0))
-
-
 def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Slices of texts: keys, whether held out, sizes in symbols (an END after each text), distinct symbols, and the symbols' indices in these."""
     for batch in portions(batches, 8192):
@@ -197,9 +164,9 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 symbol[word] = hashes[first[0] : first[-1]]
                 parts.append(symbol)
                 sizes.append(size)
-            distinct, _, index = _distinct(np.concatenate(parts))
+            known, _, index = distinct(np.concatenate(parts))
             own = pa.array(range(a, b))
-            yield {"key": batch.column(0).take(own), "held": batch.column(1).take(own), "size": np.concatenate(sizes), "words": distinct, "index": index}
+            yield {"key": batch.column(0).take(own), "held": batch.column(1).take(own), "size": np.concatenate(sizes), "words": known, "index": index}
 
 
 def _sliced(bins: int, base: str):
@@ -208,11 +175,11 @@ def _sliced(bins: int, base: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, out = TaskContext.get().partitionId(), _work.Blobs(base)
         for number, texts in enumerate(_texts_of(batches)):
-            distinct, index = texts.pop("words"), texts.pop("index")
-            place = out.put(pickle.dumps(texts | {"numbers": _numbers(_gaps(distinct), index.astype("<u4"))}, protocol=5))
+            known, index = texts.pop("words"), texts.pop("index")
+            place = out.put(pickle.dumps(texts | {"numbers": numbers(gaps(known), index.astype("<u4"))}, protocol=5))
             name = task << 32 | number
             yield from _sent([(name % bins, name, STATE, pickle.dumps((place, None)), 1)])
-            yield from _sent([(k, name, ASKED, d, 0) for k, d in _packed((distinct % U64(bins)).astype(np.int64), bins, distinct)])
+            yield from _sent([(k, name, ASKED, d, 0) for k, d in _packed((known % U64(bins)).astype(np.int64), bins, known)])
         out.close()
 
     return run
@@ -229,7 +196,7 @@ def _looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 word = np.frombuffer(row["data"], "<u8")
                 i = np.minimum(np.searchsorted(key, word), max(len(key) - 1, 0))
                 c = np.where(key[i] == word, count[i], 0) if len(key) else np.zeros(len(word), np.int64)
-                out.append((row["bin"], row["slice"], ASKED, _numbers(c.astype("<i8")), 0))
+                out.append((row["bin"], row["slice"], ASKED, numbers(c.astype("<i8")), 0))
         yield from _sent(out)
 
 
@@ -247,15 +214,15 @@ class Slice:
         self.place, place = pickle.loads(next(r["data"] for r in rows if r["kind"] == STATE))
         own = pickle.loads(_work.blob(texts, self.place))
         self.key, self.held, self.size = own["key"], own["held"], own["size"]
-        gaps, index = _from_numbers(own["numbers"], "<u8", "<u4")
-        known, n = np.cumsum(gaps), len(self.size)
+        known, index = from_numbers(own["numbers"], "<u8", "<u4")
+        known, n = np.cumsum(known), len(self.size)
         self.owner = np.repeat(np.arange(n), self.size)
         self.symbol = known[index]
         self.inner = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
         back = [r["data"] for r in rows if r["kind"] == ASKED]
         if not level:
             self.count = np.empty(len(known), np.int64)
-            self.count[np.argsort((known % U64(self.bins)).astype(np.int64), kind="stable")] = np.concatenate([_from_numbers(x, "<i8")[0] for x in back])
+            self.count[np.argsort((known % U64(self.bins)).astype(np.int64), kind="stable")] = np.concatenate([from_numbers(x, "<i8")[0] for x in back])
             self.count[known == _END] = ends
             count = self.count[index]
             self.base = np.bincount(self.owner, np.log10(count + 1.0), n) - self.size * np.log10(tokens + kinds + 1)
@@ -268,10 +235,10 @@ class Slice:
         self.rare, at = rare, np.flatnonzero(at)
         lone = rare[at]
         chance = np.ones(len(at))
-        (held,) = _from_numbers(state["numbers"], "<i8" if level == 1 else "<f4")
+        (held,) = from_numbers(state["numbers"], "<i8" if level == 1 else "<f4")
         chance[~lone] = (held[index[at[~lone]]] + 1) / (tokens + kinds + 1) if level == 1 else held
         _, of, rest, _, pair = self.runs(level, at)  # as they were asked for
-        told = [np.concatenate(x) for x in zip(*(_from_numbers(x, "u1", "<u4", "<u4", "<u4", "<u4") for x in back), strict=True)] or [np.zeros(0, np.int64)] * 5
+        told = [np.concatenate(x) for x in zip(*(from_numbers(x, "u1", "<u4", "<u4", "<u4", "<u4") for x in back), strict=True)] or [np.zeros(0, np.int64)] * 5
         code, total, entries, kinds_, count = (x.astype(np.int64) for x in told)
         kept = np.flatnonzero(code == KEPT)
         free, every = np.ones(len(code)), np.ones(len(code))
@@ -296,9 +263,9 @@ class Slice:
             before = self.symbol[np.maximum(at - k, 0)]
             before[inner < k] = _BEGIN
             context += before * factor
-        contexts, _, of = _distinct(mix(context) >> U64(8))
+        contexts, _, of = distinct(mix(context) >> U64(8))
         rest = np.flatnonzero(~self.rare[at])
-        pairs, _, pair = _distinct(of[rest].astype(U64) << U64(32) | self.symbol[at[rest]] >> U64(32))
+        pairs, _, pair = distinct(of[rest].astype(U64) << U64(32) | self.symbol[at[rest]] >> U64(32))
         return contexts, of, rest, pairs, pair
 
     def ask(self, level: int) -> Iterator[tuple[int, bytes, int]]:
@@ -322,14 +289,14 @@ class Slice:
         for k in np.flatnonzero(np.diff(edges)).tolist():
             a, b = edges[k], edges[k + 1]
             x, y = start[a], start[b]
-            yield k, _numbers(_gaps(contexts[a:b]), size[a:b].astype("<u4"), others[a:b].astype("<u4"), pairs[x:y].astype("<u4"), parent[x:y], count[x:y])
+            yield k, numbers(gaps(contexts[a:b]), size[a:b].astype("<u4"), others[a:b].astype("<u4"), pairs[x:y].astype("<u4"), parent[x:y], count[x:y])
 
     def state(self, level: int) -> bytes:
         at = np.zeros(len(self.owner), bool)
         at[self.at] = True
         held = {"base": self.base, "known": self.known, "score": self.score, "rare": np.packbits(self.rare).tobytes(), "at": np.packbits(at).tobytes()}
         # chances before the first level follow from the words' counts
-        held |= {"numbers": _numbers(self.count.astype("<i8")) if level == 1 else _numbers(self.chance[~self.rare[self.at]].astype("<f4"))}
+        held |= {"numbers": numbers(self.count.astype("<i8")) if level == 1 else numbers(self.chance[~self.rare[self.at]].astype("<f4"))}
         return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(held, protocol=5))
 
 
@@ -366,15 +333,15 @@ def _answered(level: int):
                 continue
             read = []
             for row in rows:
-                gaps, *others = _from_numbers(row["data"], "<u8", "<u4", "<u4", "<u4", "<u2", "<u4")
-                read.append((np.cumsum(gaps), *others))
+                first, *others = from_numbers(row["data"], "<u8", "<u4", "<u4", "<u4", "<u2", "<u4")
+                read.append((np.cumsum(first), *others))
                 row["data"] = None
             contexts, size, lone, next_, parent, count = (np.concatenate(x) for x in zip(*read, strict=True))
             lengths = [(len(r[0]), len(r[3])) for r in read]
             del read
-            contexts, _, of = _distinct(contexts)
+            contexts, _, of = distinct(contexts)
             lone = np.bincount(of, lone, len(contexts))
-            pairs, first, pair = _distinct(np.repeat(of, size).astype(U64) << U64(32) | next_)
+            pairs, first, pair = distinct(np.repeat(of, size).astype(U64) << U64(32) | next_)
             count = np.bincount(pair, count, len(pairs))
             total, entries, kinds, keep = grown((pairs >> U64(32)).astype(np.int64), count, np.exp2(parent[first] / -1024), lone)
             code = np.where(keep, KEPT, np.where((level == 1) & (total >= CONTEXT), PASSED, DONE)).astype("u1")
@@ -383,7 +350,7 @@ def _answered(level: int):
                 mine = of[x : x + n]
                 kept = mine[keep[mine]]
                 told = (code[mine], *(v[kept].astype("<u4") for v in (total, entries, kinds)), count[pair[y : y + m]].astype("<u4"))
-                yield from _sent([(row["bin"], row["slice"], ASKED, _numbers(*told), int((told[0] != DONE).sum()))])
+                yield from _sent([(row["bin"], row["slice"], ASKED, numbers(*told), int((told[0] != DONE).sum()))])
                 x, y = x + n, y + m
             del contexts, of, pairs, first, pair, count
             release()

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, encoded, mix, portions, shingle_sets, tidy
+from maxentnet.llm._text import U64, distinct, encoded, from_numbers, gaps, mix, numbers, portions, shingle_sets, tidy
 from maxentnet.llm.components import Forest, components
 
 WORDS = 5
@@ -72,13 +72,12 @@ def _dealt(df: DataFrame, key: str, text: str, bins: int) -> DataFrame:
                 continue
             shingles = np.concatenate([sets[i] for i in chosen])
             owner = np.repeat(np.arange(len(chosen)), counts)
-            to = ((shingles >> U64(33)) % U64(bins)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            shingles, owner, to = shingles[order], owner[order], to[order]
-            edges = np.searchsorted(to, np.arange(bins + 1))
+            order = np.argsort(shingles)
+            shingles, owner = shingles[order], owner[order].astype("<u2")
+            edges = np.searchsorted(((shingles >> U64(40)) * U64(bins) >> U64(24)).astype(np.int64), np.arange(bins + 1))
             full = np.flatnonzero(np.diff(edges)).tolist()
             for at in range(0, len(full), 256):
-                yield made([(b, name, 1, shingles[edges[b] : edges[b + 1]].tobytes() + owner[edges[b] : edges[b + 1]].astype(np.uint16).tobytes()) for b in full[at : at + 256]])
+                yield made([(b, name, 1, numbers(gaps(shingles[edges[b] : edges[b + 1]]), owner[edges[b] : edges[b + 1]])) for b in full[at : at + 256]])
 
     return df.select(F.col(key).cast("long").alias("key"), text).mapInArrow(tidy(run), "bin int, slice long, kind int, data binary")
 
@@ -113,10 +112,10 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         shingles, owners, of = [], [], []
         for i, row in enumerate(rows):
-            n = len(row["data"]) // 10
-            shingles.append(np.frombuffer(row["data"], U64, n))
-            owners.append(np.frombuffer(row["data"], np.uint16, n, 8 * n))
-            of.append(np.full(n, i, np.int32))
+            shingle, owner = from_numbers(row["data"], "<u8", "<u2")
+            shingles.append(np.cumsum(shingle))
+            owners.append(owner)
+            of.append(np.full(len(owner), i, np.int32))
             row["data"] = None
         shingle, owner, where = np.concatenate(shingles), np.concatenate(owners), np.concatenate(of)
         del shingles, owners, of
@@ -131,7 +130,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(where, kind="stable")
         shingle, count, owner, where = shingle[order], count[order], owner[order], where[order]
         edges = np.searchsorted(where, np.arange(len(rows) + 1))
-        yield made([(r["bin"], r["slice"], 1, shingle[x:y].tobytes() + count[x:y].astype(np.uint32).tobytes() + owner[x:y].tobytes()) for r, x, y in zip(rows, edges[:-1], edges[1:], strict=True) if y > x])
+        yield made([(r["bin"], r["slice"], 1, numbers(gaps(shingle[x:y]), count[x:y].astype("<u4"), owner[x:y])) for r, x, y in zip(rows, edges[:-1], edges[1:], strict=True) if y > x])
 
 
 _FOUND = "key long, mark long, size long, shingles binary, counts binary"
@@ -147,12 +146,11 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = next(r["data"] for r in rows if r["kind"] == 0)
         marks, total, keys, every, sizes = pickle.loads(table)
         yield rows_of(keys, every, sizes, [None] * len(keys), [None] * len(keys))
-        parts = [(r["data"], len(r["data"]) // 14) for r in rows if r["kind"] == 1]
+        parts = [from_numbers(r["data"], "<u8", "<u4", "<u2") for r in rows if r["kind"] == 1]
         if not parts:
             continue
-        shingle = np.concatenate([np.frombuffer(p, U64, n) for p, n in parts])
-        count = np.concatenate([np.frombuffer(p, np.uint32, n, 8 * n) for p, n in parts])
-        owner = np.concatenate([np.frombuffer(p, np.uint16, n, 12 * n) for p, n in parts])
+        shingle = np.concatenate([np.cumsum(p[0]) for p in parts])
+        count, owner = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
         order = np.lexsort((shingle, count, owner))
         shingle, count, owner = shingle[order], count[order], owner[order]
         edges = np.searchsorted(owner, np.arange(len(marks) + 1))
@@ -174,7 +172,6 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(forest.parent) > 500_000:
             yield _edges(forest)
             forest = Forest()
-            last = None if last is None else last
     yield _edges(forest)
 
 
@@ -188,105 +185,118 @@ class Trie:
 
     def __init__(self, sets: list[np.ndarray], sizes: list[int]):
         self.sets, self.sizes = sets, sizes
-        order = sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes())
-        self.nodes: list[list] = []  # run, children, sets that end here, least and largest size below
-        self.root = self._build(order, 0)
+        self.nodes: list[tuple] = []  # run, children, sets that end here, least and largest size below
+        self._build(sorted(range(len(sets)), key=lambda i: sets[i].astype(">u4").tobytes()))
 
-    def _build(self, order: list[int], depth: int) -> int:
+    def _build(self, order: list[int]) -> None:
         # an explicit stack: sets can be long
-        root = len(self.nodes)
-        self.nodes.append([np.zeros(0, np.int64), [], [], 0, 0, None])
-        todo = [(root, order, depth)]
+        todo = [(order, 0, [])]
         while todo:
-            node, members, depth = todo.pop()
-            own = self.nodes[node]
-            own[3], own[4] = min(self.sizes[i] for i in members), max(self.sizes[i] for i in members)
-            own[5] = members
+            members, depth, beside = todo.pop()
             first, last = self.sets[members[0]], self.sets[members[-1]]
             most = min(len(first), len(last)) - depth
             differ = np.flatnonzero(first[depth : depth + most] != last[depth : depth + most])
             shared = int(differ[0]) if len(differ) else most
-            own[0] = first[depth : depth + shared]
-            depth += shared
-            own[2] = [i for i in members if len(self.sets[i]) == depth]
+            run, depth = first[depth : depth + shared], depth + shared
             rest = [i for i in members if len(self.sets[i]) > depth]
+            children: list[int] = []
+            beside.append(len(self.nodes))
+            self.nodes.append((run, children, [i for i in members if len(self.sets[i]) == depth], min(self.sizes[i] for i in members), max(self.sizes[i] for i in members)))
             at = 0
             while at < len(rest):
-                to = at
-                head = self.sets[rest[at]][depth]
+                to, head = at, self.sets[rest[at]][depth]
                 while to < len(rest) and self.sets[rest[to]][depth] == head:
                     to += 1
-                child = len(self.nodes)
-                self.nodes.append([None, [], [], 0, 0, None])
-                own[1].append(child)
-                todo.append((child, rest[at:to], depth))
+                todo.append((rest[at:to], depth, children))
                 at = to
-        return root
 
-    def links(self, probe: int, marked: np.ndarray, forest: Forest, names: list[int]) -> None:
-        """Joins ``probe`` with every set in the tree that it links with, unless they are connected already.
+    def links(self, probes: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs (probe, set of the tree) that link. The tree is walked once, with all probes that can still link below a node and their overlaps so far.
 
-        ``marked`` is true at the probe's shingles. Overlaps of a run count once for all sets below it; a subtree is left when
-        even a full match of what remains (of the probe, or of the largest set below) falls short of the overlap that the
-        smallest set below needs, when sizes are too far apart, or when all its sets are connected with the probe.
+        What a run adds to a probe's overlap counts for all sets below it. A probe leaves a subtree when even a full match of what
+        remains of it falls short of the overlap that the smallest set below needs, or when sizes are too far apart.
         """
-        size = self.sizes[probe]
-        own = self.sets[probe]
-        todo = [(self.root, 0, 0)]
+        size, length = np.array(sizes, np.int64), np.array([len(p) for p in probes])
+        flat, owner = np.concatenate(probes), np.repeat(np.arange(len(probes)), length)
+        kinds = 1 + max(int(flat.max(initial=0)), max((int(s[-1]) for s in self.sets if len(s)), default=0))
+        order = np.argsort(flat, kind="stable")
+        holder, begin = owner[order], np.searchsorted(flat[order], np.arange(kinds + 1))
+        place, edge = owner * kinds + flat, np.cumsum(length) - length
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        todo = [(0, np.arange(len(probes)), np.zeros(len(probes), np.int64))]
         while todo:
-            node, overlap, depth = todo.pop()
-            run, children, ends, least, largest, members = self.nodes[node]
-            if largest * 100 < size * PERCENT or least * PERCENT > size * 100:
+            node, alive, overlap = todo.pop()
+            run, children, ends, least, largest = self.nodes[node]
+            near = (largest * 100 >= size[alive] * PERCENT) & (least * PERCENT <= size[alive] * 100)
+            alive, overlap = alive[near], overlap[near]
+            if not len(alive):
                 continue
-            must = -(-(size + max(least, -(-size * PERCENT // 100))) * PERCENT // (100 + PERCENT))
+            left = length[alive]
             if len(run):
-                overlap += int(np.count_nonzero(marked[run]))
-                depth += len(run)
-                # of the probe, what comes after the run's last shingle in the global order
-                left = len(own) - int(np.searchsorted(own, run[-1], side="right"))
-            else:
-                left = len(own)
+                number = begin[run + 1] - begin[run]
+                held = holder[np.repeat(begin[run] - np.cumsum(number) + number, number) + np.arange(number.sum())]
+                overlap = overlap + np.bincount(held, minlength=len(probes))[alive]
+                # of a probe, what comes after the run's last shingle in the global order
+                left = left - (np.searchsorted(place, alive * kinds + run[-1], side="right") - edge[alive])
             for i in ends:
-                if i != probe and overlap * (100 + PERCENT) >= PERCENT * (size + self.sizes[i]):
-                    forest.join(names[probe], names[i])
-            if not children or overlap + left < must:
-                continue
-            root = forest.find(names[probe])
-            for child in children:
-                below = self.nodes[child][5]
-                if all(forest.find(names[i]) == root for i in below):
-                    continue
-                todo.append((child, overlap, depth))
+                linked = alive[overlap * (100 + PERCENT) >= PERCENT * (size[alive] + self.sizes[i])]
+                found.append((linked, np.full(len(linked), i)))
+            if children:
+                must = -(-(size[alive] + np.maximum(least, needed(size[alive]))) * PERCENT // (100 + PERCENT))
+                go = overlap + left >= must
+                if go.any():
+                    todo += [(child, alive[go], overlap[go]) for child in children]
+        return np.concatenate([a for a, _ in found] or [edge[:0]]), np.concatenate([b for _, b in found] or [edge[:0]])
+
+
+def _rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of each of n places the least that it is connected with by pairs."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, low)
+        np.minimum.at(new, b, low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    return root
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of candidate sets -> a forest of their links, found by a walk of the group's tree for each set."""
+    """Groups of candidate sets, or pairs of blocks of one, whose sets are linked across only -> (a, b): a forest of the links; (a, n): to how many documents a set's links lead."""
     for rows in _grouped(batches, "task"):
-        if len(rows) < 2:
+        across = rows[0]["across"]
+        blocks = sorted({r["block"] for r in rows})
+        if len(rows) < 2 or across and len(blocks) < 2:
             continue
-        forest = Forest()
         every = [np.frombuffer(r["shingles"], U64) for r in rows]
-        weights = [np.frombuffer(r["counts"], np.uint32) for r in rows]
-        flat, count = np.concatenate(every), np.concatenate(weights)
-        distinct, at, inverse = np.unique(flat, return_index=True, return_inverse=True)
-        rank = np.empty(len(distinct), np.int64)
-        rank[np.lexsort((distinct, -count[at].astype(np.int64)))] = np.arange(len(distinct))
-        ranks = rank[inverse]
+        count = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+        shingle, at, index = distinct(np.concatenate(every))
+        rank = np.empty(len(shingle), np.int64)
+        rank[np.lexsort((shingle, -count[at].astype(np.int64)))] = np.arange(len(shingle))
         edges = np.concatenate(([0], np.cumsum([len(x) for x in every])))
-        sets = [np.sort(ranks[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-        tree = Trie(sets, [r["size"] for r in rows])
-        names = [r["mark"] for r in rows]
-        marked = np.zeros(len(distinct), bool)
-        for probe in range(len(rows)):
-            marked[sets[probe]] = True
-            tree.links(probe, marked, forest, names)
-            marked[sets[probe]] = False
-        if forest.parent:
-            yield _edges(forest)
+        sets = [np.sort(rank[index[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
+        sizes = [r["size"] for r in rows]
+        mine = np.flatnonzero([not across or r["block"] == blocks[0] for r in rows])
+        other = np.flatnonzero([r["block"] != blocks[0] for r in rows]) if across else mine
+        a, b = Trie([sets[i] for i in mine], [sizes[i] for i in mine]).links([sets[i] for i in other], [sizes[i] for i in other])
+        a, b = other[a], mine[b]
+        a, b = a[a != b], b[a != b]
+        copies, marks = np.array([r["copies"] for r in rows]), np.array([r["mark"] for r in rows])
+        number = np.bincount(a, copies[b], len(rows))
+        if across:
+            number += np.bincount(b, copies[a], len(rows))
+        root = _rooted(len(rows), a, b)
+        below, linked = np.flatnonzero(root != np.arange(len(rows))), np.flatnonzero(number)
+        none = pa.nulls(len(linked), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(marks[below]), pa.array(marks[root[below]]), pa.nulls(len(below), pa.int64())], names=["a", "b", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(marks[linked]), none, pa.array(number[linked].astype(np.int64))], names=["a", "b", "n"])
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_shingles, component_id for every row: the least key reachable by links of Jaccard similarity 0.75 or more, itself included.
+    """key, n_shingles, component_id, n_links for every row: the least key reachable by links of Jaccard similarity 0.75 or more, itself included, and the number of other rows that it links with.
 
     Whole texts, all rows, no limit on sets, links or candidates:
 
@@ -294,8 +304,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
        those that two sets or more have, and counts the sets.
     2. A set fewer than 75% of whose shingles are shared links with none. For the others the rarest 25% (and one) of their shingles,
        those that none shares first, must hold a shingle of every set that they link with: sets connected by such shingles are a group.
-    3. Each group's sets become a tree, walked for each set. A group of more than BLOCK sets is dealt out as pairs of blocks, so that
-       every two sets meet in some task. Tasks give forests of links; their components are the result.
+    3. Each group's sets become a tree, walked once with all sets. A group of more than BLOCK sets is dealt out as pairs of blocks, so
+       that every two sets meet in one task. Tasks give numbers of links and forests of links; the forests' components are the result.
 
     Without words or text a row has 0 shingles and is its own component; a row with a null key has the least key it is linked with, null
     if none. Rows of one key with different texts are documents of their own. An empty table gives none; other columns are ignored.
@@ -305,8 +315,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     bins = 2 * _work.parts(spark)
     shared = _work.by_bin(_dealt(df, key, text, bins), "bin", "kind", "slice").mapInArrow(tidy(_shared), "bin int, slice long, kind int, data binary")
     found = _work.written(_work.by_bin(shared, "slice", "kind", "bin").mapInArrow(tidy(_candidates), _FOUND), "sets")
-    documents = found.filter("shingles IS NULL").select("key", "mark", "size")
-    sets = _work.written(found.filter("shingles IS NOT NULL").select("mark", "size", "shingles", "counts").dropDuplicates(["mark"]), "distinct-sets")
+    documents = _work.written(found.filter("shingles IS NULL").select("key", "mark", "size"), "documents")
+    classes = documents.filter("size > 0").groupBy("mark").agg(F.min("key").alias("least"), F.count("*").alias("copies"))
+    classes = _work.written(classes, "classes")
+    sets = found.filter("shingles IS NOT NULL").select("mark", "size", "shingles", "counts").dropDuplicates(["mark"])
+    sets = _work.written(sets.join(classes.select("mark", "copies"), "mark"), "distinct-sets")
+    _work.forget(found)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,24 +333,27 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
             if shingles:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles)), pa.array(np.concatenate(marks))], names=["shingle", "mark"])
 
-    postings = _work.by_bin(sets.mapInArrow(tidy(prefixes), "shingle long, mark long"), "shingle")
+    postings = _work.by_bin(sets.select("mark", "size", "shingles").mapInArrow(tidy(prefixes), "shingle long, mark long"), "shingle")
     groups = components(postings.mapInArrow(tidy(_stars), "a long, b long"))
-    groups = groups.join(groups.groupBy("component").agg(F.count("*").alias("n")), "component")
-    half = BLOCK // 2
-    blocks = F.ceil(F.col("n") / half).cast("int")
-    mine = F.pmod(F.xxhash64("id"), F.greatest(blocks, F.lit(1))).cast("int")
+    number = groups.groupBy("component").agg(F.count("*").alias("n"))
+    sized = _work.attached(groups, number, "component", number.filter(_work.is_hot(F.col("n"), groups.count())))
+    blocks = F.greatest(F.ceil(F.col("n") / (BLOCK // 2)).cast("int"), F.lit(1))
+    whole = F.col("n") <= BLOCK
     # a set of block i goes to each pair of blocks that has i; one block is one task
-    other = F.explode(F.when(F.col("n") <= BLOCK, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)))
-    tasks = groups.withColumn("mine", mine).withColumn("other", other)
-    tasks = tasks.select("id", F.xxhash64("component", F.when(F.col("other") < 0, -1).otherwise(F.least("mine", "other")), F.when(F.col("other") < 0, -1).otherwise(F.greatest("mine", "other"))).alias("task"))
-    joined = tasks.join(sets, F.col("id") == F.col("mark")).select("task", "mark", "size", "shingles", "counts")
-    links = _work.by_bin(joined, "task", "mark").mapInArrow(tidy(_joined), "a long, b long")
-    near = components(links)
+    block = F.when(whole, 0).otherwise(F.pmod(F.xxhash64("id"), blocks)).cast("int")
+    tasks = sized.withColumn("block", block).withColumn("other", F.explode(F.when(whole, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), blocks - 1))))
+    tasks = tasks.select("id", "block", (F.col("other") != F.col("block")).alias("across"), F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("task"))
+    joined = tasks.join(sets, F.col("id") == F.col("mark")).drop("id")
+    links = _work.written(_work.by_bin(joined, "task", "mark").mapInArrow(tidy(_joined), "a long, b long, n long"), "found-links")
+    _work.forget(groups, sets)
+    near = components(links.filter("b IS NOT NULL").select("a", "b"))
+    number = links.filter("b IS NULL").groupBy(F.col("a").alias("mark")).agg(F.sum("n").alias("links"))
     # documents of one set, then sets of one component, then rows of one key
-    classes = documents.filter("size > 0").groupBy("mark").agg(F.min("key").alias("least"))
-    named = classes.join(near, F.col("mark") == F.col("id"), "left").withColumn("class", F.coalesce("component", "mark"))
-    named = named.select("mark", F.col("class"), "least")
-    top = named.groupBy("class").agg(F.min("least").alias("component_id"))
-    named = named.join(top, "class").select("mark", "component_id")
-    out = documents.join(named, "mark", "left").select(F.col("key"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
-    return out.select(F.col("key").cast(df.schema[key].dataType).alias(key), "n_shingles", "component_id")
+    named = classes.join(near, F.col("mark") == F.col("id"), "left").join(number, "mark", "left")
+    named = named.select("mark", F.coalesce("component", "mark").alias("class"), "least", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    named = _work.written(named, "named")
+    top = named.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    named = _work.attached(named, top.drop("n"), "class", top.filter(_work.is_hot(F.col("n"), named.count())))
+    out = _work.attached(documents, named.select("mark", "component_id", "n_links"), "mark", classes.filter(_work.is_hot(F.col("copies"), documents.count())))
+    out = out.select(F.col("key"), F.col("size").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select(F.col("key").cast(df.schema[key].dataType).alias(key), "n_shingles", F.col("component_id").cast(df.schema[key].dataType), "n_links")

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from maxentnet.llm import fingerprints, licenses, lm, media, mixing, ngram_join, packing, suffix_array, suffix_dedup, toxicity, warc
+from maxentnet.llm import _work, fingerprints, licenses, lm, media, mixing, ngram_join, packing, suffix_array, suffix_dedup, toxicity, warc
 from maxentnet.llm._text import mix
 from maxentnet.llm.components import components
 from maxentnet.llm.queries import tokenizer_path
@@ -130,32 +130,41 @@ def components_of(rows):
             x = up[x]
         return x
 
+    links = [0] * len(sets)
     for i, (_, a) in enumerate(sets):
         for j, (_, b) in enumerate(sets[:i]):
             if a and b and 100 * len(a & b) >= 75 * len(a | b):
                 up[find(i)] = find(j)
+                links[i] += 1
+                links[j] += 1
     least = {}
     for i, (k, _) in enumerate(sets):
         if k is not None:
             least[find(i)] = min(least.get(find(i), k), k)
-    return Counter((k, len(s), least.get(find(i)) if s else k) for i, (k, s) in enumerate(sets))
+    return Counter((k, len(s), least.get(find(i)) if s else k, links[i]) for i, (k, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("block", [ngram_join.BLOCK, 4])
-def test_ngram_join(spark, docs, none, monkeypatch, block):
+@pytest.mark.parametrize(("block", "hot"), [(ngram_join.BLOCK, _work.HOT), (4, 2)])
+def test_ngram_join(spark, docs, none, monkeypatch, block, hot):
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(_work, "HOT", hot)
     rows = [(k, t) for k, t, _ in ROWS]
     near = [(1000 + i, edited(BASE, i, (7 * i) % 80)) for i in range(12)]
     df = docs.select("doc_id", "text", "size").union(spark.createDataFrame([(*r, 1) for r in near], "doc_id long, text string, size int"))
-    assert by_row(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id") == components_of(rows + near)
+    assert by_row(ngram_join.near_duplicates(df), "doc_id", "n_shingles", "component_id", "n_links") == components_of(rows + near)
     if block == 4:
         assert ngram_join.near_duplicates(none).count() == 0
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [_work.HOT, 3])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(_work, "HOT", hot)
     path = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (5, 5)]
     got = dict(map(tuple, components(spark.createDataFrame(path, "a long, b long")).collect()))
     assert got == {i: 0 for i in range(41)} | {100: 100, 200: 100}
+    stars = [(i % 3, 10 + i) for i in range(60)] + [(70 + i, 10 + i) for i in range(30)]
+    got = dict(map(tuple, components(spark.createDataFrame(stars, "a long, b long")).collect()))
+    assert got == {i: i % 3 for i in range(3)} | {10 + i: i % 3 for i in range(60)} | {70 + i: i % 3 for i in range(30)} | {10 + i: i % 3 for i in range(60)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
