@@ -443,6 +443,76 @@ def test_toxicity(spark):
     assert len(alone) == 1 and alone[0]["score"] < 0.05
 
 
+def plain_log_likelihood(counts, word, order=6, mark=0.75, class_mark=4.0):
+    """Of a word under both classes, from {word: (ordinary, toxic)}, by dictionaries of n-grams."""
+    seen = {}
+    for w, c in counts.items():
+        x = b"\1" + w + b"\2"
+        for e in range(1, len(x)):
+            for n in range(1, min(order, e + 1) + 1):
+                own = seen.setdefault(x[e - n + 1 : e + 1], [0, 0])
+                own[0] += c[0]
+                own[1] += c[1]
+    before = Counter(g[1:] for g in seen)
+    weight = {g: (*c, sum(c)) if len(g) == order or g[0] == 1 else (0, 0, before[g]) for g, c in seen.items()}
+    weight = {g: (*((c[0], c[1]) if len(g) == order or g[0] == 1 else (0, 0)), c[2]) for g, c in weight.items()}
+
+    def share(g, i, less, lower):
+        after = [c[i] for h, c in weight.items() if h[:-1] == g[:-1]]
+        if not sum(after):
+            return lower
+        freed = sum(after) - sum(max(a - less, 0) for a in after)
+        return (max(weight.get(g, (0, 0, 0))[i] - less, 0) + freed * lower) / sum(after)
+
+    x, out = b"\1" + word + b"\2", [0.0, 0.0]
+    for e in range(1, len(x)):
+        shared = 1 / 256
+        for n in range(1, min(order, e + 1) + 1):
+            g = x[e - n + 1 : e + 1]
+            shared = share(g, 2, mark, shared)
+        for c in (0, 1):
+            out[c] += math.log(share(g, c, class_mark, shared))
+    return out
+
+
+def test_kneser_ney_by_dictionaries():
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcé"), rng.integers(1, 10))).encode() for _ in range(40)]
+    words = sorted(set(words))
+    counts = {w: tuple(map(int, rng.integers(0, 12, 2))) for w in words}
+    model = toxicity.Model(words, np.array([counts[w] for w in words]))
+    asked = [*words, b"zzz", b"ab", b"abcabcabcabc", b""]
+    assert model(asked) == pytest.approx(np.array([plain_log_likelihood(counts, w) for w in asked]), rel=1e-5)
+
+
+def test_words_after_words():
+    words = [b"bad", b"day", b"dog"]
+    alone = np.array([[50, 5], [40, 40], [30, 30]])
+    pairs, own, totals = [b"bad day", b"bad dog"], np.array([[20, 1], [2, 12]]), np.array([[30, 20], [30, 20]])
+    model = toxicity.Model(words, alone, pairs, own, totals)
+    reader = toxicity.Reader(model)
+    got = reader.features([b"day bad dog", b"dog. bad", b"", b"bad day", b"dog"])
+    one = model([b"day", b"bad", b"dog"])
+    less = np.maximum(own - 4.0, 0)
+    free = totals[0] - less.sum(0)
+    for row, k, w in ((0, 1, 2), (3, 0, 0)):
+        after = np.log((less[k] + free * np.exp(one[w])) / totals[0])
+        gain = (after[1] - after[0]) - (one[w, 1] - one[w, 0])
+        assert got[row, 7] == pytest.approx(max(gain, 0), rel=1e-6)
+        rest = one[:2].sum(0) if row == 0 else one[1]
+        assert got[row, 6] == pytest.approx(np.diff(rest + after)[0] / (3 if row == 0 else 2), rel=1e-6)
+    assert (got[1, 6], got[1, 7]) == (pytest.approx(got[1, 1]), 0) and got[2].tolist() == [1] + [0] * 7
+    assert got[0, 7] > 0 and got[3, 7] == 0
+
+
+def test_toxicity_columns(spark):
+    rows = [(i, "good fine words here" if i % 3 else "awful rotten words here", "a", 2.0, 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out string, score double, predicted int")
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] * 2 + [(None, 1), (1, None)], "doc_id long, toxic int")
+    got = toxicity.score(df, lab, keep=("text",))
+    assert got.columns[:4] == ["doc_id", "held_out", "score", "predicted"] and got.columns[4:] == ["text"] and got.count() == 300
+
+
 def test_toxicity_keeps_all_counts():
     assert (toxicity.MOST_TOXIC, toxicity.MOST_ORDINARY) == (3000, 5000)
     words = [b"abcdefgh", b"abcxyz"]
