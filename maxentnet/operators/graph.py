@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,12 +98,10 @@ class Graph:
             raise ValueError("The graph has no groups.")
         other = "dst" if end == "src" else "src"
         view = self.adjacency_matrix(directed, weighted)
-        found = view.join(self.vertices.select(F.col("vid").alias(other), "group_id"), other).groupBy(F.col(end).alias("vid"), "group_id").agg((F.sum("w") if weighted else F.count("*")).alias(name))
-        every = self.vertices.select("vid").crossJoin(F.broadcast(self.groups.select("group_id"))) if self.num_groups <= 10_000 else self.vertices.select("vid").join(self.groups.select("group_id"))
-        return every.join(found, ["vid", "group_id"], "left").select("vid", "group_id", F.coalesce(F.col(name), F.lit(0)).cast("double" if weighted else "long").alias(name))
+        return view.join(self.vertices.select(F.col("vid").alias(other), "group_id"), other).groupBy(F.col(end).alias("vid"), "group_id").agg((F.sum("w") if weighted else F.count("*")).alias(name))
 
     def degree_by_group(self, recompute: bool = False) -> DataFrame:
-        """(vid, group_id, degree) for every vertex and group: neighbours in the group."""
+        """(vid, group_id, degree) of vertices that have neighbours in the group, and how many: the other places of the table are 0."""
         return self._keep("degree_by_group", lambda: self._by_group("degree", False, "src", False), recompute)
 
     def strength_by_group(self, recompute: bool = False) -> DataFrame:
@@ -259,6 +258,8 @@ def adjacency_of(g, num_vertices: int, spark: SparkSession, num_labels: int | No
     if isinstance(g, DataFrame):
         layered = "label_id" in g.columns and num_labels is not None
         return g.select(*(["label_id"] if layered else []), "src", "dst").distinct(), layered
+    if hasattr(g, "tocoo") or isinstance(g, list) and g and any(hasattr(x, "tocoo") for x in g):
+        return _sparse(g, num_vertices, spark, num_labels)
     if isinstance(g, list) and g and all(getattr(x, "ndim", 0) == 2 for x in g):
         g = np.array([np.asarray(x) for x in g])
     if isinstance(g, np.ndarray) and g.ndim in (2, 3):
@@ -273,3 +274,21 @@ def adjacency_of(g, num_vertices: int, spark: SparkSession, num_labels: int | No
     if isinstance(g, np.ndarray):
         raise ValueError("Adjacency array is neither 2 nor 3 dimensional.")
     raise ValueError("g input not a graph or adjacency matrix.")
+
+
+def _sparse(g, num_vertices: int, spark: SparkSession, num_labels: int | None) -> tuple[DataFrame, bool]:
+    """Of a sparse matrix (with tocoo) or a list of them, one for each layer; only their places are copied."""
+    layered = isinstance(g, list)
+    if layered and num_labels is None:
+        raise ValueError("g input not a graph or adjacency matrix.")
+    layers = [x.tocoo() if hasattr(x, "tocoo") else x for x in (g if layered else [g])]
+    shape = (len(layers), *layers[0].shape) if layered else layers[0].shape
+    wanted = (num_labels, num_vertices, num_vertices) if layered else (num_vertices, num_vertices)
+    if shape != wanted or any(x.shape != layers[0].shape for x in layers):
+        raise ValueError(f"Passed graph adjacency {'tensor' if layered else 'matrix'} does not have the correct shape: {shape} instead of {wanted}")
+    places = []
+    for k, x in enumerate(layers):
+        src, dst = (x.row[x.data != 0], x.col[x.data != 0]) if hasattr(x, "row") else np.nonzero(np.asarray(x))
+        places.append(pa.table({"label_id": np.full(len(src), k, np.int64), "src": np.asarray(src, np.int64), "dst": np.asarray(dst, np.int64)}))
+    edges = spark.createDataFrame(pa.concat_tables(places)).distinct()
+    return edges if layered else edges.drop("label_id"), layered

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.functions.kernels import Exponential, Kernel, Logistic, any_layer, log_any_layer
@@ -15,10 +15,19 @@ from maxentnet.operators.fitness import start_of
 from maxentnet.operators.graph import Graph, MultiDiGraph, adjacency_of
 from maxentnet.operators.solver import Newton, solve
 from maxentnet.plans import scratch
-from maxentnet.plans.pairs import Compressed
+from maxentnet.plans.pairs import Compressed, cross
 from maxentnet.sources.ingest import numbered
 
 
+#: Up to so many layers a profile's fitnesses are arrays with a place for each, and pairs of profiles are made side by side.
+DENSE_LABELS = 16
+
+
+def _by_place(value: str, num_labels: int) -> Column:
+    """The values of a profile's layers, each at its label's place."""
+    return F.array(*(F.aggregate("key", F.lit(0.0), lambda s, e: s + F.when(e["label_id"] == F.lit(k), e[value]).otherwise(0.0)) for k in range(num_labels)))
+
+
 class MultiFitnessModel(Ensemble):
     """Layer k links i to j with p = t / (1 + t), t = z_k x_ik y_jk; one z for all layers, or one each (``per_label``)."""
 
@@ -180,13 +189,9 @@ class MultiFitnessModel(Ensemble):
         self._forget()
 
     def _projected_density(self, z: float) -> tuple[float, float]:
-        profiles, _, _ = self._profile_tables()
-        n = profiles.select("pid", "n")
-        t = self._terms(lambda x, y, _: self.kernel.layer_term(z, x, y), slope=lambda x, y, _: self.kernel.layer_slope(z, x, y))
-        t = t.join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
-        pairs = F.col("na").cast("double") * F.col("nb") - (0 if self.selfloops else F.when(F.col("a") == F.col("b"), F.col("na")).otherwise(0))
+        t = self._counted(self.selfloops, [z] * self.num_labels, True)
         slope = F.when(F.col("s") == INF, 0.0).otherwise(F.exp(-F.col("s")) * F.col("slope"))
-        r = t.agg(F.coalesce(F.sum(pairs * any_layer(F.col("s"))), F.lit(0.0)).alias("p"), F.coalesce(F.sum(pairs * slope), F.lit(0.0)).alias("d")).first()
+        r = t.agg(F.coalesce(F.sum(F.col("w") * any_layer(F.col("s"))), F.lit(0.0)).alias("p"), F.coalesce(F.sum(F.col("w") * slope), F.lit(0.0)).alias("d")).first()
         return r["p"], r["d"]
 
     # projected graph: nodes with equal fitness in every layer are one profile
@@ -198,9 +203,11 @@ class MultiFitnessModel(Ensemble):
             empty = F.array().cast("array<struct<label_id:bigint,x:double,y:double>>")
             keyed = self._all_vertices().join(keyed, "vid", "left").select("vid", F.coalesce("key", empty).alias("key"))
             ids = numbered(keyed, "key", "pid").transform(scratch.kept)
-            profiles = keyed.groupBy("key").agg(F.count("*").alias("n")).join(ids, "key").select("pid", "key", "n").transform(scratch.kept)
-            long = profiles.select("pid", F.explode("key").alias("k")).select("pid", "k.label_id", "k.x", "k.y").transform(scratch.kept)
-            return profiles, keyed.join(ids, "key").select("vid", "pid").transform(scratch.kept), long
+            profiles = keyed.groupBy("key").agg(F.count("*").alias("n")).join(ids, "key").select("pid", "key", "n")
+            if self.num_labels <= DENSE_LABELS:
+                profiles = profiles.withColumns({c: _by_place(c, self.num_labels) for c in "xy"})
+            profiles = profiles.transform(scratch.kept)
+            return profiles, keyed.join(ids, "key").select("vid", "pid").transform(scratch.kept), profiles.count()
 
         return self._keep("profiles", build, False)
 
@@ -210,43 +217,76 @@ class MultiFitnessModel(Ensemble):
     def _members(self) -> DataFrame:
         return self._profile_tables()[1]
 
-    def _terms(self, term, slope=None) -> DataFrame:
-        """(a, b, s[, slope]): sums over layers for pairs of profiles that share one; others have 0."""
-        long = self._profile_tables()[2]
-        a = long.filter("x > 0").select("label_id", F.col("pid").alias("a"), "x")
-        b = long.filter("y > 0").select("label_id", F.col("pid").alias("b"), "y")
-        t = a.join(b, "label_id")
-        z = F.lit(0.0)
-        if self.param is not None and slope is None:
-            t = self._with_z(t)
-            z = F.col("z")
-        made = t.select("a", "b", term(F.col("x"), F.col("y"), z).alias("s"), *([slope(F.col("x"), F.col("y"), z).alias("slope")] if slope else []))
+    def _layer_sum(self, z: list[float], x: str, y: str, term) -> Column:
+        """The sum over layers of a function of z and of two profiles' arrays of fitnesses."""
+        values = F.zip_with(F.zip_with(F.col(x), F.col(y), lambda a, b: F.struct(a.alias("x"), b.alias("y"))), F.array(*(F.lit(float(v)) for v in z)), lambda f, v: term(f["x"], f["y"], v))
+        return F.aggregate(values, F.lit(0.0), lambda s, t: s + t)
+
+    def _long(self, values) -> DataFrame:
+        """(pid, label_id, z, x, y) of profiles."""
+        long = self._profile_tables()[0].select("pid", F.explode("key").alias("k")).select("pid", "k.label_id", "k.x", "k.y")
+        return self._with_z(long, values)
+
+    def _terms(self, values, slope: bool = False) -> DataFrame:
+        """(a, b, s[, slope]): sums over layers for pairs of profiles that share one; others have 0. For many layers, of which a pair shares few: one side of a layer is salted, so that no task has a whole one."""
+        long = self._long(values)
+        salts = max(1, self.spark.sparkContext.defaultParallelism)
+        a = long.filter("x > 0").select("label_id", F.col("pid").alias("a"), "x", "z", F.pmod(F.xxhash64("pid"), F.lit(salts)).cast("int").alias("salt"))
+        b = long.filter("y > 0").select("label_id", F.col("pid").alias("b"), "y", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+        t = a.join(b, ["label_id", "salt"])
+        args = F.col("z"), F.col("x"), F.col("y")
+        made = t.select("a", "b", self.kernel.layer_term(*args).alias("s"), *([self.kernel.layer_slope(*args).alias("slope")] if slope else []))
         return made.groupBy("a", "b").agg(F.sum("s").alias("s"), *([F.sum("slope").alias("slope")] if slope else []))
 
-    def _pair_terms(self) -> DataFrame:
-        return self._terms(lambda x, y, z: self.kernel.layer_term(z, x, y))
+    def _dense_pairs(self, values, weights: DataFrame | None = None) -> DataFrame:
+        """Pairs of profiles side by side (a, xa, ya, na, b, xb, yb, nb[, w]): no shuffle of pairs."""
+        profiles, _, rows = self._profile_tables()
+        some = profiles.filter(F.size("key") > 0)
+        a = some.select(F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("n").alias("na"))
+        b = some if weights is None else some.join(weights, "pid", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
+        return cross(a, b.select(F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("n").alias("nb"), *(["w"] if weights is not None else [])), rows)
+
+    @property
+    def _dense(self) -> bool:
+        return self.num_labels <= DENSE_LABELS
+
+    def _term(self, z, x, y) -> Column:
+        return self.kernel.layer_term(z, x, y)
 
     def _pair_probs(self, weights: DataFrame) -> DataFrame:
-        p = self._pair_terms().select("a", "b", any_layer(F.col("s")).alias("p"))
+        if self._dense:
+            t = self._dense_pairs(self.param, weights)
+            p, q = (any_layer(self._layer_sum(self.param, x, y, lambda x, y, z: self._term(z, x, y))) for x, y in (("xa", "yb"), ("xb", "ya")))
+            return t.select("a", "b", p.alias("p"), q.alias("q"), "w")
+        p = self._terms(self.param).select("a", "b", any_layer(F.col("s")).alias("p"))
         both = p.select("a", "b", "p", F.lit(0.0).alias("q")).unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0.0).alias("p"), F.col("p").alias("q")))
         both = both.groupBy("a", "b").agg(F.max("p").alias("p"), F.max("q").alias("q"))
         return both.join(weights.select(F.col("pid").alias("b"), "w"), "b", "left").select("a", "b", "p", "q", F.coalesce("w", F.lit(0.0)).alias("w"))
 
-    def _counted(self, selfloops: bool) -> DataFrame:
-        """(a, b, s, w): pairs of profiles that share a layer, with the number of pairs of nodes."""
-        n = self._profiles()
-        t = self._pair_terms().join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
+    def _counted(self, selfloops: bool, values=None, slope: bool = False) -> DataFrame:
+        """(a, b, s, w[, slope]): pairs of profiles, those that share no layer left out where layers are many, with the number of pairs of nodes."""
+        values = self.param if values is None else values
+        if self._dense:
+            t = self._dense_pairs(values).withColumn("s", self._layer_sum(values, "xa", "yb", lambda x, y, z: self._term(z, x, y)))
+            if slope:
+                t = t.withColumn("slope", self._layer_sum(values, "xa", "yb", lambda x, y, z: self.kernel.layer_slope(z, x, y)))
+        else:
+            n = self._profiles()
+            t = self._terms(values, slope).join(n.toDF("a", "na"), "a").join(n.toDF("b", "nb"), "b")
         own = F.lit(0.0) if selfloops else F.when(F.col("a") == F.col("b"), F.col("na").cast("double")).otherwise(0.0)
-        return t.select("a", "b", "s", (F.col("na").cast("double") * F.col("nb") - own).alias("w"))
+        return t.select("a", "b", "s", (F.col("na").cast("double") * F.col("nb") - own).alias("w"), *(["slope"] if slope else []))
 
     def _num_edges(self) -> float:
         return self._counted(self.selfloops).agg(F.coalesce(F.sum(any_layer(F.col("s")) * F.col("w")), F.lit(0.0))).first()[0]
 
     def _edge_values(self, edges: DataFrame) -> DataFrame:
-        m = self._members()
-        t = edges.join(m.toDF("src", "a"), "src").join(m.toDF("dst", "b"), "dst").join(self._pair_terms(), ["a", "b"], "left").withColumn("s", F.coalesce("s", F.lit(0.0)))
-        s = F.col("s")
-        return t.select("src", "dst", any_layer(s).alias("p"), log_any_layer(s).alias("logp"), (-s).alias("log1mp"))
+        x = self.nodes.filter("x > 0").select(F.col("vid").alias("src"), "label_id", "x")
+        y = self.nodes.filter("y > 0").select(F.col("vid").alias("dst"), F.col("label_id").alias("l"), "y")
+        # of an edge the layers that its ends share
+        t = self._with_z(edges.join(x, "src").join(y, "dst").filter("label_id = l"))
+        t = t.groupBy("src", "dst").agg(F.sum(self.kernel.layer_term(F.col("z"), F.col("x"), F.col("y"))).alias("s"))
+        s = F.coalesce(F.col("s"), F.lit(0.0))
+        return edges.join(t, ["src", "dst"], "left").select("src", "dst", any_layer(s).alias("p"), log_any_layer(s).alias("logp"), (-s).alias("log1mp"))
 
     def _no_link_sum(self, selfloops: bool) -> tuple[float, float]:
         s, w = F.col("s"), F.col("w")

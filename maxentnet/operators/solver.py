@@ -1,4 +1,4 @@
-"""A bracketed Newton method for monotonic functions of one number; many such equations advance together."""
+"""Newton's method within a shrinking interval, for monotonic functions of one number; many such equations advance together."""
 
 from __future__ import annotations
 
@@ -39,70 +39,51 @@ class Solution:
 
 
 class Newton:
-    """One equation fun(x) = target. Feed it with value and slope at ``x`` until ``done``.
+    """One equation fun(x) = target of a monotonic function. Feed it with value and slope at ``x`` until ``done``.
 
-    A value above the target bounds x from above if the slope is positive, and so on; a step that leaves the bounds goes to a bound
-    where the function is not known yet, else widens an infinite interval, else takes the secant.
+    The root lies between the last points on either side of it (or the bounds). Newton's step is taken while it stays strictly inside
+    and each step leaves three quarters of the error at most; otherwise the interval is halved, or, where it has no end yet, the
+    search goes on from its known end in steps that double.
     """
 
-    def __init__(self, x0: float, target: float, atol: float = 1e-24, rtol: float = 1e-9, max_iter: int = 100, x_l: float = -INF, x_u: float = INF, f_l: float | None = None, f_u: float | None = None):
+    def __init__(self, x0: float, target: float, atol: float = 1e-24, rtol: float = 1e-9, max_iter: int = 100, x_l: float = -INF, x_u: float = INF):
         if not x_l <= x0 <= x_u:
             raise ValueError("x0 must be between x_l and x_u.")
         self.x, self.target, self.atol, self.rtol, self.max_iter = x0, target, atol, rtol, max_iter
         self.low, self.high = x_l, x_u
-        self.f_low, self.f_high = f_l, f_u
-        self.n, self.f, self.slope = 0, None, None
+        self.n, self.rising, self.reach = 0, None, 0.0
         self.xs, self.steps, self.fs = [x0], [], []
         self.done = False
 
     def feed(self, value: float, slope: float) -> None:
-        first = self.f is None
-        self.f, self.slope = value - self.target, slope
-        self.fs.append(self.f)
-        self._bound()
-        if not first:
-            self.n += 1
-        if (first and abs(self.f) < self.atol) or abs(self.f) <= self.atol + self.rtol * self.target or self.n >= self.max_iter or (self.steps and self.steps[-1] <= self.rtol):
-            self.done = True
+        error = value - self.target
+        slow = bool(self.fs) and abs(error) > 0.75 * abs(self.fs[-1])
+        self.n += bool(self.fs)
+        self.fs.append(error)
+        self.done = abs(error) <= self.atol + self.rtol * abs(self.target) or self.n >= self.max_iter or bool(self.steps) and self.steps[-1] <= self.rtol
+        if self.done:
             return
-        self._step()
-
-    def _bound(self) -> None:
-        x, f, slope = self.x, self.f, self.slope
-        if f * slope > 0:
-            if x > self.high:
-                raise AssertionError("The function does not respect the expected monotonicity.")
-            self.high, self.f_high = x, f
-        elif f * slope < 0:
-            if x < self.low:
+        if slope:
+            if self.rising not in (None, bool(slope > 0)):
                 raise AssertionError("The function does not respect the expected monotonicity.")
-            self.low, self.f_low = x, f
-        elif slope == 0:
-            if x == self.high:
-                self.f_high = f
-            elif x == self.low:
-                self.f_low = f
-
-    def _step(self) -> None:
-        old = self.x
-        new = old - self.f / (self.slope if self.slope != 0 else self.atol)
-        if not self.low < new < self.high:
-            if self.f_high is None:
-                new = self.high
-            elif self.f_low is None:
-                new = self.low
-            elif self.low == -INF and self.high == INF:
-                new = 0.0
-            elif self.high == INF:
-                new = self.low + 2 * abs(self.low) if self.low else 1.0
-            elif self.low == -INF:
-                new = self.high - 2 * abs(self.high) if self.high else -1.0
-            else:
-                new = self.low - self.f_low * (self.high - self.low) / (self.f_high - self.f_low)
+            self.rising = bool(slope > 0)
+        if bool(error > 0) == (self.rising is not False):
+            self.high = self.x
+        else:
+            self.low = self.x
+        new = self.x - error / slope if slope else INF
+        if slow or not self.low < new < self.high:
+            new = self._within()
+        self.steps.append(abs(new - self.x) / abs(self.x) if self.x else 1.0)
         self.x = new
-        self.steps.append(1.0 if old == 0 or abs(old) == INF else abs((new - old) / old))
         self.xs.append(new)
 
+    def _within(self) -> float:
+        if self.low > -INF and self.high < INF:
+            return self.low + (self.high - self.low) / 2
+        self.reach = 2 * self.reach if self.reach else abs(self.x) or 1.0
+        return self.low + self.reach if self.low > -INF else self.high - self.reach if self.high < INF else 0.0
+
     def solution(self) -> Solution:
         return Solution(self.x, self.target, self.n, self.max_iter, self.atol, self.rtol, "newton", self.xs, self.steps, self.fs)
 
@@ -118,6 +99,6 @@ def solve(fun: Callable[[Sequence[float], Sequence[int]], Sequence[tuple[float,
 
 
 def monotonic_newton_solver(x0, fun, target, atol=1e-24, rtol=1e-9, max_iter=100, x_l=-INF, x_u=INF, f_l=None, f_u=None, full_return=False, verbose=False):
-    """x with fun(x)[0] = target; fun gives value and slope. With ``full_return`` the whole Solution."""
-    out = solve(lambda xs, _: [fun(xs[0])], [Newton(float(x0), target, atol, rtol, max_iter, x_l, x_u, f_l, f_u)], verbose)[0]
+    """x with fun(x)[0] = target; fun gives value and slope. With ``full_return`` the whole Solution. Values at the bounds (``f_l``, ``f_u``) may be given; the method needs none."""
+    out = solve(lambda xs, _: [fun(xs[0])], [Newton(float(x0), target, atol, rtol, max_iter, x_l, x_u)], verbose)[0]
     return out if full_return else out.x

@@ -17,7 +17,7 @@ def node_link(graph) -> tuple[DataFrame, DataFrame]:
 
 
 def to_networkx(graph):
-    """A networkx graph of the same kind; for graphs that fit the driver."""
+    """A networkx graph of the same kind; for graphs that fit the driver. A link without a weight has the weight True."""
     import networkx as nx
 
     kind = {(False, False): nx.Graph, (True, False): nx.DiGraph, (False, True): nx.MultiGraph, (True, True): nx.MultiDiGraph}
@@ -27,10 +27,10 @@ def to_networkx(graph):
     def plain(key):
         return key[0] if len(key) == 1 else tuple(key)
 
-    for r in nodes.toLocalIterator():
+    for r in nodes.orderBy("id").toLocalIterator():
         out.add_node(r["id"], node_id=plain(r["node_id"]), **({"group": plain(r["group"])} if "group" in nodes.columns else {}))
-    for r in links.toLocalIterator():
-        data = {"weight": r["weight"]} if graph.weighted else {}
+    for r in links.orderBy("src", "dst", *(["key"] if graph.labels is not None else [])).toLocalIterator():
+        data = {"weight": r["weight"] if graph.weighted else True}
         if graph.labels is not None:
             out.add_edge(r["src"], r["dst"], key=r["key"], label=plain(r["label"]), **data)
         else:

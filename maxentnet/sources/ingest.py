@@ -39,10 +39,10 @@ def key(spec: str | list[str]) -> Column:
     return F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(columns(spec))))
 
 
-def numbered(keys: DataFrame, column: str, number: str) -> DataFrame:
-    """Distinct keys with 0, 1, ... in their order. Beyond WINDOW_KEYS keys each range of a sorted table is numbered from where the one before ends."""
+def numbered(keys: DataFrame, column: str, number: str, rows: int | None = None) -> DataFrame:
+    """Distinct keys with 0, 1, ... in their order. Beyond WINDOW_KEYS keys (``rows``, counted if not given) each range of a sorted table is numbered from where the one before ends."""
     distinct = keys.select(column).distinct()
-    if distinct.count() <= WINDOW_KEYS:
+    if (distinct.count() if rows is None else rows) <= WINDOW_KEYS:
         return distinct.withColumn(number, (F.row_number().over(W.orderBy(column)) - 1).cast("long"))
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = distinct.repartitionByRange(parts, column).sortWithinPartitions(column)
@@ -76,32 +76,38 @@ def ingest(v, e, v_id, src, dst, weight=None, v_group=None, edge_label=None, spa
     if len(columns(src)) != len(columns(dst)):
         raise ValueError("src and dst can be either both lists or str.")
     keyed = v.select(key(v_id).alias("node_key"), *([key(v_group).alias("group_key")] if v_group else []))
-    if not keyed.groupBy("node_key").count().filter("count > 1").isEmpty():
+    found = keyed.groupBy("node_key").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count("*").alias("all")).first()
+    if found["most"] > 1:
         raise Exception("There is at least one repeated id in the vertex dataframe.")
-    vertices = numbered(keyed, "node_key", "vid")
+    num_vertices = found["all"]
+    vertices = numbered(keyed, "node_key", "vid", num_vertices)
     groups = labels = num_groups = num_labels = None
     if v_group:
-        groups = numbered(keyed, "group_key", "group_id").transform(scratch.kept)
+        groups = numbered(keyed, "group_key", "group_id", num_vertices if num_vertices <= WINDOW_KEYS else None).transform(scratch.kept)
         num_groups = groups.count()
         vertices = vertices.join(keyed, "node_key").join(groups, "group_key").select("vid", "node_key", "group_id", "group_key")
     vertices = vertices.transform(scratch.kept)
-    num_vertices = vertices.count()
-    wanted = [key(src).alias("src_key"), key(dst).alias("dst_key"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")]
-    edges = e.select(*wanted, *([key(edge_label).alias("label_key")] if edge_label else []))
+    # the edge table is read once: parallel edges are one before they meet the vertices, and what is wrong with them travels along
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    by = ["src_key", "dst_key", *(["label_key"] if edge_label else [])]
+    light = F.max((~F.coalesce(F.col("w") > 0, F.lit(False)) | F.isnan("w")).cast("int")).alias("light")
+    edges = e.select(key(src).alias("src_key"), key(dst).alias("dst_key"), w.alias("w"), *([key(edge_label).alias("label_key")] if edge_label else []))
+    edges = edges.groupBy(*by).agg((F.sum("w") if weight else F.lit(1.0)).alias("w"), light)
     ids = vertices.select("node_key", "vid")
-    found = edges.join(ids.toDF("src_key", "src"), "src_key", "left").join(ids.toDF("dst_key", "dst"), "dst_key", "left")
-    bad = found.agg(F.max((F.col("src").isNull() | F.col("dst").isNull()).cast("int")).alias("lost"), F.max((~F.coalesce(F.col("w") > 0, F.lit(False)) | F.isnan("w")).cast("int")).alias("light")).first()
+    edges = edges.join(ids.toDF("src_key", "src"), "src_key", "left").join(ids.toDF("dst_key", "dst"), "dst_key", "left")
+    edges = edges.select("src", "dst", "w", "light", *by[2:]).transform(scratch.kept)
+    bad = edges.agg(F.max((F.col("src").isNull() | F.col("dst").isNull()).cast("int")).alias("lost"), F.max("light").alias("light")).first()
     if bad["lost"]:
         raise AssertionError("Some vertices in e are not in v.")
     if bad["light"]:
         raise AssertionError("Zero or negative edge weights are not supported.")
-    by = ["src", "dst"]
     if edge_label:
-        labels = numbered(found, "label_key", "label_id").transform(scratch.kept)
+        labels = numbered(edges, "label_key", "label_id").transform(scratch.kept)
         num_labels = labels.count()
-        found = found.join(labels, "label_key")
-        by = ["label_id", *by]
-    adj = found.groupBy(*by).agg((F.sum("w") if weight else F.lit(1.0)).alias("w")).transform(scratch.kept)
+        adj = edges.join(labels, "label_key").select("label_id", "src", "dst", "w").transform(scratch.kept)
+        scratch.forget(edges)
+    else:
+        adj = edges.select("src", "dst", "w")
     ends = adj.select(F.col("src").alias("vid")).union(adj.select("dst"))
     alone = vertices.join(ends, "vid", "left_anti")
     names = [r["node_key"] for r in alone.select("node_key").orderBy("node_key").limit(11).collect()]
