@@ -106,6 +106,7 @@ class Ensemble:
                 raise ValueError("Number of parallel blocks must be an integer.") from None
             if blocks <= 0:
                 raise ValueError("Number of parallel blocks must be a positive number.")
+        self.p_blocks = None if blocks is None else int(blocks)
         self._kept: dict = {}
         self.vertices = None
         return args, kwargs
@@ -286,8 +287,8 @@ class Ensemble:
 
     # samples
 
-    def _sample_pairs(self, selfloops: bool) -> DataFrame:
-        """(src, dst, p[, label_id]) of all pairs that can be linked."""
+    def _drawn(self, selfloops: bool, seed: int, portable: bool) -> DataFrame:
+        """(src, dst, p) of the links of a sample."""
         raise NotImplementedError
 
     def _ends(self, out_strength, in_strength, label: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -326,7 +327,7 @@ class Ensemble:
         selfloops = self.selfloops if selfloops is None else selfloops
         if weights not in (None, "cremb"):
             raise ValueError("Weights method not recognised or implemented.")
-        links = self._sample_pairs(selfloops).filter(uniform(seed, "src", "dst", portable=portable) < F.col("p"))
+        links = self._drawn(selfloops, seed, portable)
         if weights == "cremb":
             out, in_ = self._strengths(out_strength, in_strength)
             total = self._same_totals(out, in_)

@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.functions.kernels import Exponential, Kernel, Logistic
+from maxentnet.functions.uniform import uniform
 from maxentnet.operators.ensemble import INF, Ensemble, number, numeric, take, whole
 from maxentnet.operators.graph import DiGraph
 from maxentnet.operators.solver import Newton, solve
 from maxentnet.plans import scratch
+from maxentnet.plans.draw import drawn
 from maxentnet.plans.pairs import Compressed, cross
 
 
@@ -96,7 +98,7 @@ class FitnessModel(Ensemble):
     # sums over pairs
 
     def _compressed(self) -> Compressed:
-        return self._keep("compressed", lambda: Compressed(self.nodes), False)
+        return self._keep("compressed", lambda: Compressed(self.nodes, blocks=self.p_blocks), False)
 
     def _forget(self) -> None:
         self._kept = {k: v for k, v in self._kept.items() if k in ("compressed", "profiles")}
@@ -105,7 +107,7 @@ class FitnessModel(Ensemble):
         """(src, dst, x, y) of nodes with a fitness each."""
         a = self.nodes.filter("x > 0").select(F.col("vid").alias("src"), "x")
         b = self.nodes.filter("y > 0").select(F.col("vid").alias("dst"), "y")
-        return cross(a, b, self.num_vertices, None if selfloops else F.col("src") != F.col("dst"))
+        return cross(a, b, self.num_vertices, None if selfloops else F.col("src") != F.col("dst"), self.p_blocks)
 
     def _sums(self, selfloops: bool, **terms) -> dict:
         """Sums of functions of (x, y, dyad) over all pairs with fitness."""
@@ -166,7 +168,7 @@ class FitnessModel(Ensemble):
         profiles, _, rows = self._profile_tables()
         a = profiles.select(F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
         b = profiles.join(weights, "pid", "left").select(F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.coalesce("w", F.lit(0.0)).alias("w"))
-        both = cross(a, b, rows)
+        both = cross(a, b, rows, blocks=self.p_blocks)
         return both.select("a", "b", self.kernel.p(self._z, F.col("xa"), F.col("yb"), self._dyad("a", "b")).alias("p"), self.kernel.p(self._z, F.col("xb"), F.col("ya"), self._dyad("b", "a")).alias("q"), "w")
 
     # comparison and samples
@@ -191,9 +193,13 @@ class FitnessModel(Ensemble):
             t = t.unionByName(c.selves.withColumn("w", -F.col("n").cast("double")).drop("n"))
         return t.select(self.kernel.p(self._z, F.col("x"), F.col("y")).alias("p"), "w")
 
-    def _sample_pairs(self, selfloops: bool) -> DataFrame:
-        t = self._full_pairs(selfloops)
-        return t.select("src", "dst", self.kernel.p(self._z, F.col("x"), F.col("y"), self._dyad("src", "dst")).alias("p"))
+    def _drawn(self, selfloops: bool, seed: int, portable: bool) -> DataFrame:
+        if self._dyadic:  # a factor of one's own need not grow with the fitness: each pair is asked
+            t = self._full_pairs(selfloops).withColumn("p", self.kernel.p(self._z, F.col("x"), F.col("y"), self._dyad("src", "dst")))
+            return t.filter(uniform(seed, "src", "dst", portable=portable) < F.col("p")).select("src", "dst", "p")
+        a = self.nodes.filter("x > 0").select(F.col("vid").alias("src"), "x")
+        b = self.nodes.filter("y > 0").select(F.col("vid").alias("dst"), "y")
+        return drawn(a, b, lambda y: self.kernel.p(self._z, F.col("x"), y), seed, portable, selfloops)
 
     def _default_strength(self, which: str):
         return self.nodes.select("vid", F.col("x" if which == "out" else "y").alias("s"))

@@ -15,6 +15,7 @@ from maxentnet.operators.fitness import start_of
 from maxentnet.operators.graph import Graph, MultiDiGraph, adjacency_of
 from maxentnet.operators.solver import Newton, solve
 from maxentnet.plans import scratch
+from maxentnet.plans.draw import drawn
 from maxentnet.plans.pairs import Compressed, cross
 from maxentnet.sources.ingest import numbered
 
@@ -244,7 +245,7 @@ class MultiFitnessModel(Ensemble):
         some = profiles.filter(F.size("key") > 0)
         a = some.select(F.col("pid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"), F.col("n").alias("na"))
         b = some if weights is None else some.join(weights, "pid", "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
-        return cross(a, b.select(F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("n").alias("nb"), *(["w"] if weights is not None else [])), rows)
+        return cross(a, b.select(F.col("pid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"), F.col("n").alias("nb"), *(["w"] if weights is not None else [])), rows, blocks=self.p_blocks)
 
     @property
     def _dense(self) -> bool:
@@ -361,12 +362,9 @@ class MultiFitnessModel(Ensemble):
         if weights not in (None, "cremb"):
             raise ValueError("Weights method not recognised or implemented.")
         selfloops = self.selfloops if selfloops is None else selfloops
-        a = self.nodes.filter("x > 0").select("label_id", F.col("vid").alias("src"), "x")
-        b = self.nodes.filter("y > 0").select(F.col("label_id").alias("lb"), F.col("vid").alias("dst"), "y")
-        on = F.col("label_id") == F.col("lb")
-        t = self._with_z(a.join(b, on if selfloops else on & (F.col("src") != F.col("dst"))).drop("lb"))
-        t = t.select("label_id", "src", "dst", self.kernel.p(F.col("z"), F.col("x"), F.col("y")).alias("p"))
-        links = t.filter(uniform(seed, "src", "dst", "label_id", portable=portable) < F.col("p"))
+        a = self._with_z(self.nodes.filter("x > 0").select("label_id", F.col("vid").alias("src"), "x"))
+        b = self.nodes.filter("y > 0").select("label_id", F.col("vid").alias("dst"), "y")
+        links = drawn(a, b, lambda y: self.kernel.p(F.col("z"), F.col("x"), y), seed, portable, selfloops, True)
         if weights == "cremb":
             default = lambda c, n: self.nodes.filter(F.col(c) > 0).select("vid", "label_id", F.col(c).alias(n))
             out, in_ = self._ends(out_strength if out_strength is not None else default("x", "s_out"), in_strength if in_strength is not None else default("y", "s_in"), True)

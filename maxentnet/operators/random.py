@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from maxentnet.functions.uniform import uniform
 from maxentnet.operators.ensemble import INF, Ensemble, number, numeric, take, whole
 from maxentnet.operators.graph import Graph
-from maxentnet.plans.pairs import cross
+from maxentnet.plans.draw import drawn
 
 
 class RandomDiGraph(Ensemble):
@@ -109,17 +109,16 @@ class RandomDiGraph(Ensemble):
     def _p_counts(self, selfloops: bool) -> DataFrame:
         return self.spark.createDataFrame([(float(self.param[0]), float(self.num_vertices * (self.num_vertices - (0 if selfloops else 1))))], "p double, w double")
 
-    def _sample_pairs(self, selfloops: bool) -> DataFrame:
-        a = self._all_vertices().select(F.col("vid").alias("src"))
-        b = self._all_vertices().select(F.col("vid").alias("dst"))
-        return cross(a, b, self.num_vertices, None if selfloops else F.col("src") != F.col("dst")).withColumn("p", F.lit(float(self.param[0])))
+    def _drawn(self, selfloops: bool, seed: int, portable: bool) -> DataFrame:
+        p = F.lit(float(self.param[0]))
+        return drawn(self._all_vertices().toDF("src"), self._all_vertices().select(F.col("vid").alias("dst"), F.lit(1.0).alias("y")), lambda y: p + 0 * y, seed, portable, selfloops)
 
     def sample(self, ref_g: Graph | None = None, weights: str | None = None, out_strength=None, in_strength=None, selfloops: bool | None = None, seed: int = 0, portable: bool = False):
         """As for other models; ``weights`` 'random' draws from the model's own weights."""
         if weights != "random":
             return super().sample(ref_g, weights, out_strength, in_strength, selfloops, seed, portable)
         self._fitted("Ensemble has to be fitted before sampling.")
-        links = self._sample_pairs(self.selfloops if selfloops is None else selfloops).filter(uniform(seed, "src", "dst", portable=portable) < F.col("p"))
+        links = self._drawn(self.selfloops if selfloops is None else selfloops, seed, portable)
         u, q = uniform(seed, "src", "dst", salt="w", portable=portable), float(self.param[1])
         if self.discrete_weights:
             w = F.greatest(F.lit(1.0), F.ceil(F.log1p(-u) / F.lit(math.log(q)))) if 0 < q < 1 else F.lit(1.0)

@@ -17,16 +17,16 @@ from maxentnet.plans import scratch
 BROADCAST_ROWS = 1_000_000
 
 
-def cross(left: DataFrame, right: DataFrame, rows: int, condition: Column | None = None) -> DataFrame:
+def cross(left: DataFrame, right: DataFrame, rows: int, condition: Column | None = None, blocks: int | None = None) -> DataFrame:
     """Every row of ``left`` beside every row of ``right``, which has ``rows`` rows.
 
-    A right side of a checked size is broadcast. A larger one is dealt to blocks, and a copy of the left side meets each block in a
-    shuffled join, so that no task holds more than a block.
+    A right side of a checked size is broadcast. A larger one, or one for which a number of blocks is asked, is dealt to blocks, and a
+    copy of the left side meets each block in a shuffled join, so that no task holds more than a block.
     """
-    if rows <= BROADCAST_ROWS:
+    if rows <= BROADCAST_ROWS and not blocks:
         left = spread(left)
         return left.join(F.broadcast(right), condition) if condition is not None else left.crossJoin(F.broadcast(right))
-    blocks = -(-rows // BROADCAST_ROWS) * 4
+    blocks = max(blocks or 0, -(-rows // BROADCAST_ROWS) * 4 if rows > BROADCAST_ROWS else 1)
     first = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     second = right.withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)).cast("int"))
     on = F.col("_block") == F.col("_part")
@@ -44,7 +44,8 @@ class Compressed:
     ``nodes`` has x and y (and label_id).
     """
 
-    def __init__(self, nodes: DataFrame, labelled: bool = False):
+    def __init__(self, nodes: DataFrame, labelled: bool = False, blocks: int | None = None):
+        self.blocks = blocks
         key = ["label_id"] if labelled else []
         self.labelled = labelled
         self.nodes = nodes
@@ -56,9 +57,13 @@ class Compressed:
     def pairs(self) -> DataFrame:
         """(label_id,) x, y and w, the number of ordered pairs, of which a node with itself counts too."""
         if self.labelled:
-            both = self.outs.join(self.ins, F.col("label_id") == F.col("label_in")).drop("label_in")
+            # labels may be few: the side that streams is dealt by its rows, the other one's copies meet it
+            salts = self.nodes.sparkSession.sparkContext.defaultParallelism
+            outs = self.outs.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(salts)).cast("int"))
+            ins = self.ins.withColumn("salt_in", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+            both = outs.join(ins, (F.col("label_id") == F.col("label_in")) & (F.col("salt") == F.col("salt_in"))).drop("label_in", "salt", "salt_in")
         else:
-            both = cross(self.outs, self.ins, self.rows)
+            both = cross(self.outs, self.ins, self.rows, blocks=self.blocks)
         return both.withColumn("w", (F.col("n") * F.col("m")).cast("double")).drop("n", "m")
 
     def sums(self, selfloops: bool, **terms: Callable[[Column, Column], Column]) -> DataFrame:

@@ -75,6 +75,12 @@ def forget(*frames: DataFrame) -> None:
         delete(df.sparkSession, df.written_at)
 
 
+def exists(df: DataFrame) -> bool:
+    """Whether the table of a frame that ``written`` gave is still there."""
+    where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(where)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """For ``transform``: what several later plans read is written once. Their plans then begin at a scan, where cached frames would nest."""
     return written(df, "kept")

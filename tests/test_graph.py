@@ -124,3 +124,72 @@ def test_export_and_files(spark, multi, tmp_path):
         write_table(links.select("src", "dst", "weight"), path, fmt)
         back = read_table(spark, path, fmt, "src long, dst long, weight double")
         assert sorted(map(tuple, back.collect())) == sorted(map(tuple, links.select("src", "dst", "weight").collect()))
+
+
+def test_bad_weights(spark):
+    for bad in (None, float("nan"), -1.0):
+        with pytest.raises(AssertionError, match="Zero or negative"):
+            M.DiGraph(V3, E3.assign(value=[1.0, bad, 1.0, 1.0]), **ONE)
+
+
+class _Links(dict):
+    """What the export asks of a networkx graph."""
+
+    def __init__(self):
+        self.nodes, self.edges = [], []
+
+    def add_node(self, i, **data):
+        self.nodes.append((i, data))
+
+    def add_edge(self, a, b, **data):
+        self.edges.append((a, b, data))
+
+
+def test_networkx(spark, multi, monkeypatch):
+    import sys
+    import types
+
+    monkeypatch.setitem(sys.modules, "networkx", types.SimpleNamespace(**dict.fromkeys(("Graph", "DiGraph", "MultiGraph", "MultiDiGraph"), _Links)))
+    ids = {"v_id": "name", "src": "creditor", "dst": "debtor", "v_group": "country"}
+    nodes = [(0, {"node_id": "ABN", "group": "NL"}), (1, {"node_id": "BNP", "group": "FR"}), (2, {"node_id": "ING", "group": "NL"})]
+    plain = M.Graph(V3, E3, **ids).to_networkx()
+    assert plain.nodes == nodes and plain.edges == [(0, 1, {"weight": True}), (0, 2, {"weight": True}), (1, 2, {"weight": True})]
+    weighted = M.Graph(V3, E3, weight="value", **ids).to_networkx()
+    assert weighted.edges == [(0, 1, {"weight": 1e4 + 1.7e5}), (0, 2, {"weight": 1e6}), (1, 2, {"weight": 3e3})]
+    directed = M.DiGraph(V3, E3, weight="value", **ids).to_networkx()
+    assert directed.edges == [(0, 1, {"weight": 1e4}), (1, 0, {"weight": 1.7e5}), (1, 2, {"weight": 3e3}), (2, 0, {"weight": 1e6})]
+    layers = multi.to_networkx()
+    assert sorted((a, b, x["key"], x["label"]) for a, b, x in layers.edges)[0] == (0, 1, 2, ("interbank", False)) and len(layers.edges) == 6
+
+
+class _Coo:
+    """A sparse matrix as scipy's are asked."""
+
+    def __init__(self, a):
+        self.shape, (self.row, self.col) = a.shape, np.nonzero(a)
+        self.data = a[self.row, self.col]
+
+    def tocoo(self):
+        return self
+
+
+def test_sparse_matrices(spark):
+    g = M.DiGraph(V4, E4, **KEYS)
+    m = M.FitnessModel(g, param=1e-12)
+    a = np.zeros((4, 4))
+    for r in g.adj.collect():
+        a[r["src"], r["dst"]] = r["w"]
+    assert m.log_likelihood(_Coo(a)) == pytest.approx(m.log_likelihood(g))
+    with pytest.raises(ValueError, match="correct shape"):
+        m.log_likelihood(_Coo(np.ones((3, 3))))
+    with pytest.raises(ValueError, match="not a graph"):
+        m.log_likelihood([_Coo(a)])
+
+
+def test_sparse_layers(spark, multi):
+    m = M.MultiFitnessModel(multi, param=1e-9)
+    a = np.zeros((4, 4, 4))
+    for r in multi.adj.collect():
+        a[r["label_id"], r["src"], r["dst"]] = r["w"]
+    assert m.log_likelihood([_Coo(x) for x in a]) == pytest.approx(m.log_likelihood(multi))
+    assert m.log_likelihood([_Coo(a[0]), *a[1:]]) == pytest.approx(m.log_likelihood(a))

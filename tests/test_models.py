@@ -157,3 +157,44 @@ def test_constant_chance(graph):
     w = M.RandomDiGraph(num_vertices=20, param=np.array([0.5, 0.3]), discrete_weights=True).sample(weights="random", seed=1)
     values = [r["w"] for r in w.adj.collect()]
     assert min(values) == 1 and all(v == int(v) for v in values) and 1.1 < np.mean(values) < 1.9
+
+
+@pytest.mark.parametrize("selfloops", [False, True])
+def test_draws_make_no_list_of_pairs(spark, selfloops):
+    n = 400
+    rng = np.random.default_rng(5)
+    x, y = rng.pareto(1.5, n) * (rng.random(n) < 0.8), np.ones(n)
+    m = M.FitnessModel(num_vertices=n, prop_out=x, prop_in=y, param=0.01, selfloops=selfloops)
+    p = 0.01 * np.outer(x, y) / (1 + 0.01 * np.outer(x, y))
+    if not selfloops:
+        np.fill_diagonal(p, 0)
+    drawn = [m._drawn(selfloops, seed, False) for seed in range(12)]
+    made = np.array([d.count() for d in drawn])
+    spread = np.sqrt((p * (1 - p)).sum() / len(made))
+    assert abs(made.mean() - p.sum()) < 5 * spread
+    hub = int(np.argmax(x))
+    assert abs(np.mean([d.filter(f"src = {hub}").count() for d in drawn]) - p[hub].sum()) < 5 * np.sqrt((p[hub] * (1 - p[hub])).sum() / len(made))
+    plan = drawn[0]._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert drawn[0].filter("src = dst").count() in ((0,) if not selfloops else range(n))
+
+
+def test_draws_go_on_until_every_place_is_passed(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from maxentnet.plans import draw
+
+    whole = sorted(map(tuple, M.RandomDiGraph(num_vertices=60, param=0.5).sample(seed=3).adj.collect()))
+    monkeypatch.setattr(draw.F, "ceil", lambda _: F.lit(2))  # two gaps at a time
+    assert sorted(map(tuple, M.RandomDiGraph(num_vertices=60, param=0.5).sample(seed=3).adj.collect())) == whole
+
+
+def test_certain_links_are_drawn(spark):
+    assert M.RandomDiGraph(num_vertices=7, param=1.0).sample(seed=1).num_edges() == 42
+    assert M.RandomDiGraph(num_vertices=7, param=0.0).sample(seed=1).num_edges() == 0
+
+
+def test_blocks_of_pairs(graph):
+    a, b = M.FitnessModel(graph, param=1e-12), M.FitnessModel(graph, param=1e-12, p_blocks=3)
+    assert b.expected_num_edges() == pytest.approx(a.expected_num_edges())
+    assert vector(b.expected_degree()) == pytest.approx(vector(a.expected_degree()))

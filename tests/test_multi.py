@@ -97,3 +97,15 @@ def test_errors(spark):
             M.MultiFitnessModel(**(base | more))
     with pytest.raises(AssertionError, match="two dimensional"):
         M.MultiFitnessModel(**(base | {"prop_out": OUTM[:3], "param": 1.0}))
+
+
+@pytest.mark.parametrize("kind", [M.MultiFitnessModel, M.MultiInvariantModel])
+def test_many_layers_take_the_other_plan(spark, graph, monkeypatch, kind):
+    from maxentnet.operators import multi as module
+
+    few = kind(graph, param=np.array([1e-9, 2e-9, 1e-10, 3e-9]))
+    want = [vector(few.expected_degree()), few.expected_num_edges(), few.log_likelihood(graph.adjacency_matrix())]
+    monkeypatch.setattr(module, "DENSE_LABELS", 0)
+    many = kind(graph, param=few.param)
+    got = [vector(many.expected_degree()), many.expected_num_edges(), many.log_likelihood(graph.adjacency_matrix())]
+    assert got[0] == pytest.approx(want[0]) and got[1:] == pytest.approx(want[1:])
