@@ -43,17 +43,21 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, most: float = 3.0, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, size, source_size, target, taken, source for every row, with the columns named in ``keep``.
+    """key, size, source_size, target, taken, source for every row, with the columns named in ``keep`` (as <name>_kept where a result has the name).
 
-    Each row gets a hash-random key; a source's rows lie in order of it, and the words before each row are a prefix sum: ranges of
+    Each row gets a hash-random key, of its key and text, so that null and repeated keys are spread too; a source's rows lie in order of it, and the words before each row are a prefix sum: ranges of
     the key are summed first, so that no window holds more than about BUCKET_ROWS rows however large a source is. A source whose
     target is e times its size and r words takes every row e times, and once more the rows that begin before r; the row across the
-    cut gives only its words before it, so that taken adds up to the whole part of the target. A null text has size 0, a null source
+    cut gives only its words before it, so that taken adds up to the whole part of the target. The sources, not their rows, are put in
+    one window to deal the targets: there may be some millions. A null text has size 0, a null source
     is a source of its own (last), a null key is a key like others. Repeated rows are interchangeable; the result is the same on
     each run. An empty table gives none.
     """
-    spread = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long")
-    rows = df.select(F.col(key), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *keep).withColumn("spread", spread)
+    own = F.concat_ws("|", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    spread = F.conv(F.substring(F.md5(own), 1, 13), 16, 10).cast("long").alias("spread")
+    result = (key, "size", "source_size", "target", "taken", "source")
+    kept = {c: f"_keep{i}" for i, c in enumerate(keep)}
+    rows = df.select(F.col(key).alias("_key"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), spread, *(F.col(c).alias(k) for c, k in kept.items()))
     rows = _work.written(rows, "mix-sizes")
     total = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     plan = targets(total, weights, share, most)
@@ -68,17 +72,18 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     summed = placed.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     earlier = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
     starts = summed.select(F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("in_range").over(earlier), F.lit(0)).alias("range_start"))
-    inside = W.partitionBy("source", "range").orderBy("spread", F.col(key).asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("spread", F.col("_key").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, -1)
     placed = placed.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
     begin = F.col("range_start") + F.coalesce(F.sum("size").over(inside), F.lit(0))
     part = F.greatest(F.lit(0), F.least(F.col("rest") - F.col("begin"), F.col("size")))
-    return placed.withColumn("begin", begin).select(key, "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source", *keep)
+    named = [F.col(k).alias(f"{c}_kept" if c in result else c) for c, k in kept.items()]
+    return placed.withColumn("begin", begin).select(F.col("_key").alias(key), "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source", *named)
 
 
 #: The same rows in DuckDB's SQL.
 MIX_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT AS spread FROM documents),
+                  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))), 1, 13))::BIGINT AS spread FROM documents),
 t AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 3.0::DOUBLE AS ceiling FROM t),
 l AS (SELECT *, sum(source_size) OVER () * 1.0::DOUBLE - coalesce(sum(ceiling) OVER b, 0) AS "left", sum(weight) OVER () - coalesce(sum(weight) OVER b, 0) AS "open"

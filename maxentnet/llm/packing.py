@@ -36,7 +36,10 @@ def coder(path: str):
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        special = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        added, before = spec.get("added_tokens", []), spec.get("pre_tokenizer") or {}
+        if before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or any(x.get(k) for x in added for k in ("lstrip", "rstrip", "single_word", "normalized")):
+            raise ValueError(f"{path} is not a byte-level vocabulary that cuts texts by PATTERN and at its added tokens only")
+        special = {x["content"]: x["id"] for x in added}
         to_byte = byte_characters()
         ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         _coders[path] = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
@@ -125,13 +128,13 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", wind
 
     A text longer than a window is cut into full windows first; the rest of it is packed by best-fit decreasing. A null text is
     empty: its END alone is packed. Null keys and repeated rows are documents like others; an empty table gives no piece; other
-    columns are ignored. Pieces are dealt by hash to groups of about GROUP_PIECES, and each group is packed by itself: a group
-    leaves few windows unfilled, as it has pieces of every length. The groups grow in number with the input, not in size.
+    columns are ignored. Pieces are dealt by hash (of their place in the table too, so that equal rows are spread) to groups of about
+    GROUP_PIECES, and each group is packed by itself: a group leaves few windows unfilled, as it has pieces of every length. The groups grow in number with the input, not in size.
     """
     spark = df.sparkSession
     cut = _work.written(pieces(df, path, key, text, window, ids), "pieces")
     groups = max(1, -(-cut.count() // GROUP_PIECES))
-    cut = cut.withColumn("group", F.pmod(F.xxhash64(key, "start", "ids_crc32"), F.lit(groups)).cast("int"))
+    cut = cut.withColumn("group", F.pmod(F.xxhash64(key, "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)).cast("int"))
     cut = cut.repartition(min(groups, _work.parts(spark) * 4), "group").sortWithinPartitions("group", key, "start", "ids_crc32")
     kind = cut.schema
 

@@ -174,7 +174,7 @@ public class Grouping implements org.apache.spark.sql.api.java.UDF1, java.io.Ser
     int[] length = new int[count];
     int total = 0;
     for (int i = 0; i < count; i++) owner[i] = in.getLong();
-    for (int i = 0; i < count; i++) { length[i] = in.getInt(); total += length[i]; }
+    for (int i = 0; i < count; i++) { length[i] = in.getInt(); total = Math.addExact(total, length[i]); }
     /* symbol 1 parts the strings */
     int[] text = new int[total + count + 1], of = new int[total + count + 1], left = new int[total + count + 1];
     int at = 0;

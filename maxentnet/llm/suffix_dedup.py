@@ -25,6 +25,8 @@ _REQUEST = 2 << 20
 #: Bytes of text that are hashed at once, and anchors that are packed together, about.
 _SLICE = 1 << 20
 _PACKED = 1 << 18
+#: Bytes of text of a room, which is one table in a task's memory, about.
+_ROOM = 128 << 20
 _LOW48 = U64((1 << 48) - 1)
 
 
@@ -84,8 +86,14 @@ def _split(to: np.ndarray, bins: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _room(document: np.ndarray, rooms: int) -> np.ndarray:
-    """Where a document's text and what is found for it meet; the same as the column of _texts."""
-    return document % rooms
+    """Where a document's text and what is found for it meet: by Spark's xxhash64 of the key, whatever steps keys come in."""
+    p1, p2, p3, p4, p5 = (U64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turned = lambda x, n: x << U64(n) | x >> U64(64 - n)
+    h = turned(document.astype(np.int64).view(U64) * p2, 31) * p1 ^ (U64(42 + 8) + p5)
+    h = turned(h, 27) * p1 + p4
+    h = (h ^ h >> U64(33)) * p2
+    h = (h ^ h >> U64(29)) * p3
+    return (h ^ h >> U64(32)).view(np.int64) % rooms
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[dict]]:
@@ -421,14 +429,19 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
     Runs of windows with one anchor are met by anchor in packed bins. Where all runs of an anchor are equal, later documents lose
     them; the others' strings (the different ones only) meet again by 33 bytes, and a suffix array of each bin's strings, made by
-    grouping of Lyndon prefixes, finds which windows a smaller document has. All of it is one plan; texts are shuffled once.
+    grouping of Lyndon prefixes, finds which windows a smaller document has. All of it is one plan; texts are shuffled once for each of
+    the two times that they are looked at. Equal runs are told by 48-bit hashes of anchor and bytes: of n runs with one anchor two
+    different ones are taken for equal with a chance of n * n / 2 ** 49, which is the only way in which a byte can go that should
+    stay; strings that meet by 33 bytes are compared themselves.
     """
     spark = df.sparkSession
     suffix_array.registered(spark)
     bins = _work.parts(spark)
-    rooms = _work.parts(spark)
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    rooms = max(_work.parts(spark), -(-size // _ROOM))
     whole = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), *keep)
-    room = F.coalesce(F.pmod(F.col("key"), F.lit(rooms)), F.lit(0)).cast("long")
+    # nothing is found for null keys: their rows may be in any room
+    room = F.pmod(F.xxhash64(F.coalesce("key", F.monotonically_increasing_id())), F.lit(rooms)).cast("long")
     texts = whole.withColumn("room", room).repartition(_work.parts(spark), "room")
     met = _work.by_bin(whole.select("key", "text").mapInArrow(tidy(_anchors(bins)), "bin int, data binary"), "bin").mapInArrow(tidy(_met(rooms)), "room long, kind int, data binary")
     sent = texts.groupBy("room").cogroup(met.groupBy("room")).applyInArrow(_sent(bins), "bin long, kind int, data binary")

@@ -114,6 +114,20 @@ def test_media(spark, docs, none):
     assert len(places) == 1
     with pytest.raises(ValueError):
         media.png_header(b"x" * 33)
+    # the stored form is the same for equal payloads, and what another reader of pictures would decode
+    forms = {}
+    for r in media.media_columns(docs).collect():
+        text = next((t or "").encode() for k, t, _ in ROWS if k == r["doc_id"] and len((t or "").encode()) == r["n_bytes"])
+        p = text + b"\0" * (64 if not text else -len(text) % 64)
+        picture = media.to_png(p)
+        assert (r["media_bytes"], r["media_sha256"], r["width"], r["height"]) == (len(picture), hashlib.sha256(picture).hexdigest(), 64, len(p) // 64)
+        lines = zlib.decompress(picture[41 : 41 + int.from_bytes(picture[33:37], "big")])
+        assert b"".join(lines[i + 1 : i + 65] for i in range(0, len(lines), 65)) == p
+        mean = sum(p) / len(p)
+        strips = np.array_split(np.frombuffer(p, np.uint8), 64)
+        bits = "".join("1" if len(x) and sum(map(int, x)) / len(x) > mean or not len(x) and 0 > mean else "0" for x in strips)
+        assert r["feature"] == f"{mean:.3f}:{int(bits, 2):016x}"
+        assert forms.setdefault(p, r["media_sha256"]) == r["media_sha256"]
 
 
 def sets_of(text):
@@ -267,6 +281,19 @@ def test_mixing(docs, none):
     assert mixing.mix(none.drop("size")).count() == 0
 
 
+def test_mixing_keeps_columns_of_any_name(spark):
+    import duckdb
+
+    rows = [(None, f"word {i % 7} " * (i % 9), "a", 1, 2) for i in range(200)] + [(5, f"again {i}", "b", 3, 4) for i in range(100)] + [(5, "same", None, 3, 4)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, spread int")
+    got = mixing.mix(df, keep=("size", "spread", "text", "source"))
+    assert got.columns == ["doc_id", "size", "source_size", "target", "taken", "source", "size_kept", "spread", "text", "source_kept"] and got.count() == 350
+    con = duckdb.connect()
+    con.register("documents", df.toPandas().astype({"doc_id": "Int64"}))
+    columns = ["doc_id", "size", "taken", "source"]
+    assert by_row(got, *columns) == Counter(con.execute(f"SELECT {', '.join(columns)} FROM ({mixing.MIX_SQL})").fetchall())
+
+
 def test_mixing_in_many_ranges(docs, monkeypatch):
     before = by_row(mixing.mix(docs.drop("size")), "doc_id", "taken")
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 2)
@@ -403,6 +430,30 @@ def test_packing_reads_added_tokens(spark):
     assert got == {i: [*tok.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)} and 50256 in got[0]
 
 
+def test_packing_in_many_groups(spark, monkeypatch):
+    df = spark.createDataFrame([(None, "")] * 300 + [(3, "one two three")] * 300 + [(4, None)] * 50, "doc_id long, text string")
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    rows = packing.pack(df, tokenizer_path()).collect()
+    windows = {}
+    for r in rows:
+        windows.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    groups = Counter(w >> 32 for r in rows for w in [r["sequence_id"]])
+    assert len(rows) == 650 and len(groups) == 13 and max(groups.values()) < 100  # equal rows are spread
+    for own in windows.values():
+        ends = [0, *(o + n for o, n in sorted(own))]
+        assert [o for o, _ in sorted(own)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(tokenizer_path(), encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="byte-level"):
+        packing.coder(str(tmp_path / "v.json"))
+
+
 def test_best_fit_equals_a_plain_search():
     lengths = RNG.integers(1, 1025, 700)
     at, offset = packing.best_fit(lengths)
@@ -570,3 +621,15 @@ def test_repeats(spark, docs, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
     texts = suffix_dedup.remove_repeats(df, text_out=True).filter("doc_id = 2").first()
     assert texts["kept_text"] == ""
+
+
+def test_rooms_are_those_of_spark(spark):
+    keys = [0, 1, -1, 5, 2**62, -(2**63), 211, 422]
+    want = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.xxhash64("k"), F.lit(211))).collect()]
+    assert suffix_dedup._room(np.array(keys, np.int64), 211).tolist() == want
+
+
+def test_repeats_of_many_equal_keys(spark):
+    rows = [(None, BASE)] * 40 + [(3, BASE)] * 40 + [(4 * i, BASE + f" {i}") for i in range(1, 40)] + [(2, "x " + BASE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert by_row(suffix_dedup.remove_repeats(df), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == removed(rows)
