@@ -64,11 +64,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = folder(spark, name)
     with freed_shuffles(spark):
         df.write.parquet(path)
+    _trimmed(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     return out
 
 
+def _trimmed(spark: SparkSession) -> None:
+    """Loops leave many plans behind: a driver's heap that is more than half full of them gives its memory back."""
+    heap = spark._jvm.java.lang.Runtime.getRuntime()
+    if 2 * (heap.totalMemory() - heap.freeMemory()) > heap.maxMemory():
+        spark._jvm.java.lang.System.gc()
+
+
 def forget(*frames: DataFrame) -> None:
     """Deletes the tables of frames that ``written`` gave, which nothing reads any more."""
     for df in frames:
