@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.MIX_SQL}
+    return {"op5_mixing": mixing.MIX_SQL, "op7_warc": warc.ROUND_TRIP_SQL}

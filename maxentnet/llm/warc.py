@@ -229,3 +229,12 @@ def round_trip(df: DataFrame, key: str = "page_id", text: str = "html", url: str
     """
     base = base or _work.folder(df.sparkSession, "warc")
     return read(_work.written(write(df, base, key, text, url, least), "warc-names"), base)
+
+
+#: The same rows in DuckDB's SQL, of a table whose keys are distinct and not null.
+ROUND_TRIP_SQL = r"""
+WITH p AS (SELECT page_id, replace(replace(coalesce(url, ''), chr(13), ''), chr(10), '') AS url, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+SELECT page_id, url, strlen(body)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM p
+"""
