@@ -429,8 +429,8 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
 
     Runs of windows with one anchor are met by anchor in packed bins. Where all runs of an anchor are equal, later documents lose
     them; the others' strings (the different ones only) meet again by 33 bytes, and a suffix array of each bin's strings, made by
-    grouping of Lyndon prefixes, finds which windows a smaller document has. Texts are shuffled once for each of the two times that
-    they are looked at. Equal runs are told by 48-bit hashes of anchor and bytes: of n runs with one anchor two
+    grouping of Lyndon prefixes, finds which windows a smaller document has. All of it is one plan; texts are shuffled once and read
+    twice. Equal runs are told by 48-bit hashes of anchor and bytes: of n runs with one anchor two
     different ones are taken for equal with a chance of n * n / 2 ** 49, which is the only way in which a byte can go that should
     stay; strings that meet by 33 bytes are compared themselves.
     """
@@ -446,9 +446,9 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", keep:
     met = _work.by_bin(whole.select("key", "text").mapInArrow(tidy(_anchors(bins)), "bin int, data binary"), "bin").mapInArrow(tidy(_met(rooms)), "room long, kind int, data binary")
     sent = texts.groupBy("room").cogroup(met.groupBy("room")).applyInArrow(_sent(bins), "bin long, kind int, data binary")
     asked = _work.by_bin(sent, "bin", "kind").mapInArrow(tidy(_requests(rooms)), "room long, data binary, request binary")
-    # written here, so that a stage has one Python worker a core, and what is on disk so far goes
-    asked = _work.written(asked.select("room", "data", suffix_array.grouped(spark, F.col("request")).alias("flags")), "repeats")
-    answered = asked.mapInArrow(tidy(_answers(rooms)), "room long, data binary")
+    # flags are dealt anew (they pack well), so that each stage has one Python worker a core
+    flagged = asked.select("room", "data", suffix_array.grouped(spark, F.col("request")).alias("flags")).repartition(_work.parts(spark), "data")
+    answered = flagged.mapInArrow(tidy(_answers(rooms)), "room long, data binary")
     columns = [(c, None) for c in ("key", *keep)]
     kept_ddl = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
     out = texts.groupBy("room").cogroup(answered.groupBy("room")).applyInArrow(_kept(columns, text_out), f"key long, {kept_ddl}n_bytes long, n_removed long, n_spans long, " + ("kept_text string" if text_out else "kept_sha256 string"))
