@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work, suffix_array
-from maxentnet.llm._text import U64, blocks, encoded, joined, portions, prefix_hash, release, span_hash, tidy
+from maxentnet.llm._text import U64, blocks, encoded, from_numbers, gaps, joined, numbers, portions, prefix_hash, release, span_hash, tidy
 
 #: Bytes of a string that counts as a repeat.
 WIDTH = 50
@@ -110,7 +110,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[di
 
 
 def _anchors(bins: int):
-    """Texts -> for each bin the anchors of a slice, packed: anchor and context (6 bytes each), document (8)."""
+    """Texts -> for each bin the anchors of a slice, packed: gaps of anchors, contexts, documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -131,12 +131,14 @@ def _anchors(bins: int):
 
     def packed(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         anchor, context, document = (np.concatenate([h[i] for h in held]) for i in range(3))
-        order, edges = _split((anchor % U64(bins)).astype(np.int64), bins)
-        anchor, context, document = anchor[order], context[order], document[order]
+        to = anchor % U64(bins)
+        order = np.argsort(to << U64(48) | anchor) if bins <= 1 << 16 else np.lexsort((anchor, to))
+        anchor, context, document = anchor[order], context[order], document[order].astype("<i8")
+        edges = np.searchsorted(to[order], np.arange(bins + 1, dtype=U64))
         full = np.flatnonzero(np.diff(edges)).tolist()
         for at in range(0, len(full), 256):
             some = full[at : at + 256]
-            data = [_six(anchor[edges[k] : edges[k + 1]]) + _six(context[edges[k] : edges[k + 1]]) + document[edges[k] : edges[k + 1]].astype("<i8").tobytes() for k in some]
+            data = [numbers(gaps(anchor[edges[k] : edges[k + 1]]), context[edges[k] : edges[k + 1]], document[edges[k] : edges[k + 1]]) for k in some]
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(data, pa.binary())], names=["bin", "data"])
 
     return run
@@ -150,10 +152,10 @@ def _met(rooms: int):
             anchors, contexts, documents = [], [], []
             for row in rows:
                 data, row["data"] = row["data"], None
-                n = len(data) // 20
-                anchors.append(_from_six(data, 0, n))
-                contexts.append(_from_six(data, 6 * n, n))
-                documents.append(np.frombuffer(data, "<i8", n, 12 * n))
+                anchor, context, document = from_numbers(data, "<u8", "<u8", "<i8")
+                anchors.append(np.cumsum(anchor))
+                contexts.append(context)
+                documents.append(document)
             anchor, context, document = np.concatenate(anchors), np.concatenate(contexts), np.concatenate(documents)
             del anchors, contexts, documents
             order = np.argsort(anchor, kind="stable")
