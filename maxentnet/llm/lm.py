@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from maxentnet.llm import _work
-from maxentnet.llm._text import U64, blocks, distinct, encoded, from_numbers, gaps, mix, numbers, portions, release, tidy, words
+from maxentnet.llm._text import U64, blocks, encoded, from_numbers, gaps, mix, numbers, portions, ranked, release, tidy, words
 
 #: Least occurrences, in the training texts, of a context and of a next symbol with its own entry in one: what occurs once has no others to be
 #: scored by. Neither depends on the size of the table.
@@ -164,7 +164,7 @@ def _texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
                 symbol[word] = hashes[first[0] : first[-1]]
                 parts.append(symbol)
                 sizes.append(size)
-            known, _, index = distinct(np.concatenate(parts))
+            known, _, index = ranked(np.concatenate(parts))
             own = pa.array(range(a, b))
             yield {"key": batch.column(0).take(own), "held": batch.column(1).take(own), "size": np.concatenate(sizes), "words": known, "index": index}
 
@@ -218,16 +218,15 @@ class Slice:
         known, n = np.cumsum(known), len(self.size)
         self.owner = np.repeat(np.arange(n), self.size)
         self.symbol = known[index]
-        self.inner = np.arange(len(self.owner)) - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        self.begin = np.cumsum(self.size) - self.size
         back = [r["data"] for r in rows if r["kind"] == ASKED]
         if not level:
             self.count = np.empty(len(known), np.int64)
             self.count[np.argsort((known % U64(self.bins)).astype(np.int64), kind="stable")] = np.concatenate([from_numbers(x, "<i8")[0] for x in back])
             self.count[known == _END] = ends
-            count = self.count[index]
-            self.base = np.bincount(self.owner, np.log10(count + 1.0), n) - self.size * np.log10(tokens + kinds + 1)
-            self.known, self.score = np.bincount(self.owner, count > 0, n).astype(np.int64), np.zeros(n)
-            self.at, self.chance, self.rare = np.arange(len(self.owner)), (count + 1) / (tokens + kinds + 1), count < CONTEXT
+            self.base = np.bincount(self.owner, np.log10(self.count + 1.0)[index], n) - self.size * np.log10(tokens + kinds + 1)
+            self.known, self.score = np.bincount(self.owner, (self.count > 0)[index], n).astype(np.int64), np.zeros(n)
+            self.at, self.chance, self.rare = np.arange(len(self.owner)), ((self.count + 1) / (tokens + kinds + 1))[index], (self.count < CONTEXT)[index]
             return
         state = pickle.loads(zstandard.ZstdDecompressor().decompress(_work.blob(states, place)))
         self.base, self.known, self.score = state["base"], state["known"], state["score"]
@@ -246,8 +245,11 @@ class Slice:
         times = np.zeros(len(at), np.int64)
         times[rest] = count[pair]
         self.rare[at[rest]] = count[pair] < CONTEXT
-        chance = chance * free[of] + np.where((times >= ENTRY) & (code[of] == KEPT), (times - DISCOUNT) / every[of], 0)
-        done = code[of] == DONE
+        code = code.astype("u1")[of]
+        entry = np.flatnonzero((times >= ENTRY) & (code == KEPT))
+        chance = chance * free[of]
+        chance[entry] += (times[entry] - DISCOUNT) / every[of[entry]]
+        done = code == DONE
         self.settle(at[done], chance[done])
         self.at, self.chance = at[~done], chance[~done]
 
@@ -256,22 +258,24 @@ class Slice:
         self.score = self.score + np.bincount(self.owner[at], np.log10(chance), len(self.size))
 
     def runs(self, level: int, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Distinct contexts of ``level`` words of the places (56 bits of their hashes, in order) and the context of each place; the places that are not rare; of these the distinct pairs of a context and a next symbol (32 bits of its hash), and the pair of each."""
-        context, factor, inner = np.zeros(len(at), U64), U64(1), self.inner[at]
+        """Distinct contexts of ``level`` words of the places, none of which has fewer than ``level`` - 1 words of its text before it (56 bits of their hashes, in order) and the context of each place; the places that are not rare; of these the distinct pairs of a context and a next symbol (32 bits of its hash), and the pair of each."""
+        context, factor = np.zeros(len(at), U64), U64(1)
         for k in range(1, level + 1):
             factor = mix(np.array([factor + _ODD]))[0] | U64(1)
-            before = self.symbol[np.maximum(at - k, 0)]
-            before[inner < k] = _BEGIN
+            before = self.symbol[at - k]  # of the first place of all the last one, which is not taken
+            if k == level:
+                before[at - self.begin[self.owner[at]] < k] = _BEGIN
             context += before * factor
-        contexts, _, of = distinct(mix(context) >> U64(8))
+        contexts, _, of = ranked(mix(context) >> U64(8))
         rest = np.flatnonzero(~self.rare[at])
-        pairs, _, pair = distinct(of[rest].astype(U64) << U64(32) | self.symbol[at[rest]] >> U64(32))
+        pairs, _, pair = ranked(of[rest].astype(U64) << U64(32) | self.symbol[at[rest]] >> U64(32))
         return contexts, of, rest, pairs, pair
 
     def ask(self, level: int) -> Iterator[tuple[int, bytes, int]]:
         """What the texts ask of the contexts of ``level`` words, by bin: contexts, how many next symbols of each are asked for and the training occurrences of others, then these next symbols, their chances and training occurrences. Places whose context reaches over the text's begin or is rare are done."""
-        before = (self.inner[self.at] > 0) & self.rare[np.maximum(self.at - 1, 0)]
-        ended = (self.inner[self.at] < level - 1) | before
+        inner = self.at - self.begin[self.owner[self.at]]
+        before = (inner > 0) & self.rare[np.maximum(self.at - 1, 0)]
+        ended = (inner < level - 1) | before
         self.rare[self.at[before]] = True
         lone = self.rare[self.at]
         self.settle(self.at[ended | lone], self.chance[ended | lone])
@@ -280,8 +284,9 @@ class Slice:
         train = ~self.held.to_numpy(zero_copy_only=False)[self.owner[self.at]]
         contexts, of, rest, pairs, pair = self.runs(level, self.at)
         count = np.bincount(pair, train[rest], len(pairs)).astype("<u4")
-        parent = np.empty(len(pairs), "<u2")
-        parent[pair] = rounded(self.chance[rest])
+        parent = np.empty(len(pairs), self.chance.dtype)
+        parent[pair] = self.chance[rest]
+        parent = rounded(parent)
         others = np.bincount(of, train, len(contexts)) - np.bincount(of[rest], train[rest], len(contexts))
         size = np.bincount((pairs >> U64(32)).astype(np.int64), minlength=len(contexts))
         edges = np.searchsorted(bin_of(contexts, self.bins), np.arange(self.bins + 1))
@@ -339,9 +344,9 @@ def _answered(level: int):
             contexts, size, lone, next_, parent, count = (np.concatenate(x) for x in zip(*read, strict=True))
             lengths = [(len(r[0]), len(r[3])) for r in read]
             del read
-            contexts, _, of = distinct(contexts)
+            contexts, _, of = ranked(contexts)
             lone = np.bincount(of, lone, len(contexts))
-            pairs, first, pair = distinct(np.repeat(of, size).astype(U64) << U64(32) | next_)
+            pairs, first, pair = ranked(np.repeat(of, size).astype(U64) << U64(32) | next_)
             count = np.bincount(pair, count, len(pairs))
             total, entries, kinds, keep = grown((pairs >> U64(32)).astype(np.int64), count, np.exp2(parent[first] / -1024), lone)
             code = np.where(keep, KEPT, np.where((level == 1) & (total >= CONTEXT), PASSED, DONE)).astype("u1")
